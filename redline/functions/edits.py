@@ -8,11 +8,14 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from redline.functions.text import tokens
 
 EDIT = "struct<offset:int,length:int,original:string,replacement:string,rule_id:string,category:string,message:string>"
-OPCODE = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
+OPCODES = T.ArrayType(T.StructType(
+    [T.StructField("tag", T.StringType())] + [T.StructField(n, T.IntegerType()) for n in ("i1", "i2", "j1", "j2")]
+))
 
 
 def rule_array(pairs: list[tuple[str, str]]) -> Column:
@@ -70,7 +73,7 @@ def apply_edits(text: Column, edits: Column) -> Column:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp ratio with the popularity heuristic on, as in the standard library."""
     for left, right in pairs:
@@ -80,7 +83,7 @@ def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         ], dtype="float64")
 
 
-@F.pandas_udf(OPCODE)
+@F.pandas_udf(OPCODES)
 def opcodes(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Diff opcodes with the popularity heuristic off."""
     for left, right in pairs:
