@@ -399,5 +399,5 @@ def error_catalogue(catalogue: DataFrame, corrected: DataFrame) -> DataFrame:
     """
     fixed = F.contains("text", F.col("expected")) & ((F.col("wrong") == "") | ~F.contains("text", F.col("wrong")))
     return catalogue.join(corrected, ["doc_id", "paragraph_index"]).groupBy("category").pivot("run", ["A", "B"]).agg(
-        F.count_if(fixed).alias("fixed"), F.count("*").alias("errors")
+        F.count_if(fixed).alias("fixed"), F.count(F.lit(1)).alias("errors")
     )

@@ -84,7 +84,7 @@ def chain(c: str, pairs: list[tuple[str, str]]) -> str:
 
 def rule_hits(c: str) -> str:
     active = [(a, b) for a, b in triage.RULES if a != b]
-    return " + ".join(f"(contains({chain(c, active[:i])}, {q(a)}))::INT" for i, (a, _) in enumerate(active))
+    return " + ".join(f"(contains({chain(c, active[:i])}, {q(a)}))::BIGINT" for i, (a, _) in enumerate(active))
 
 
 def first_hit(c: str, pairs: list[tuple[str, str]]) -> str:
@@ -114,7 +114,7 @@ def classify(s: str, location: str, style: str, table: str = "false", terms: str
 
 
 def page_of(index: str, n: str, pages: str) -> str:
-    return f"greatest(1, least(floor({index}::DOUBLE / greatest({n}, 1)::DOUBLE * {pages})::INT + 1, {pages}))::INT"
+    return f"greatest(1, least(floor({index}::DOUBLE / greatest({n}, 1)::DOUBLE * {pages})::BIGINT + 1, {pages}))::BIGINT"
 
 
 def jaccard(a: str, b: str) -> str:
@@ -170,8 +170,8 @@ def html_text(c: str) -> str:
 
 
 TABLES: dict[str, str] = {
-    "t_lines": """SELECT doc_id, lang, source, key_word, unnest(ls) AS text, (generate_subscripts(ls, 1) - 1)::INT AS paragraph_index,
-        len(ls)::INT AS n_paragraphs
+    "t_lines": """SELECT doc_id, lang, source, key_word, unnest(ls) AS text, (generate_subscripts(ls, 1) - 1)::BIGINT AS paragraph_index,
+        len(ls)::BIGINT AS n_paragraphs
         FROM (SELECT doc_id, lang, source, regexp_extract(text, '[A-Za-z]{6,}') AS key_word, string_split(text, chr(10)) AS ls FROM documents)""",
     "t_paras": """SELECT *, 'body:' || paragraph_index AS location,
         CASE WHEN paragraph_index = 0 AND length(text) BETWEEN 1 AND 60 THEN 'Heading 1'
@@ -180,7 +180,7 @@ TABLES: dict[str, str] = {
         bool_or(paragraph_index > 0 AND length(text) BETWEEN 1 AND 30) OVER (PARTITION BY doc_id) AS has_sections
         FROM t_lines""",
     "t_sectioned": """SELECT *,
-        CASE WHEN chunked THEN paragraph_index // 30 ELSE sum((opens AND NOT chunked)::INT) OVER (PARTITION BY doc_id ORDER BY paragraph_index) END::INT AS section_index,
+        CASE WHEN chunked THEN paragraph_index // 30 ELSE sum((opens AND NOT chunked)::BIGINT) OVER (PARTITION BY doc_id ORDER BY paragraph_index) END::BIGINT AS section_index,
         CASE WHEN starts THEN 'first' WHEN ends THEN 'last' ELSE 'middle' END AS section_position,
         starts AND paragraph_index > 0 AS is_transition
         FROM (SELECT *, (CASE WHEN chunked THEN paragraph_index % 30 = 0 ELSE opens END) OR paragraph_index = 0 AS starts,
@@ -232,9 +232,9 @@ TABLES: dict[str, str] = {
             WHEN NOT (g_rewrite AND g_language AND g_readability) THEN 'manual_review' ELSE 'auto_accepted' END AS review_status FROM t_gates)""",
     "t_patches": f"""SELECT doc_id || '-' || paragraph_index || '-' || position AS patch_id, doc_id, lang, paragraph_index, position, location,
         stripped AS original_text, final_text AS corrected_text, origin AS source, route, review_status, rule_hits, n_paragraphs,
-        {page_of('paragraph_index', 'n_paragraphs', 'greatest(1, ceil(n_paragraphs / 10.0))::INT')} AS page_no,
-        CASE WHEN contains(origin, 'chatgpt') THEN ({str_list(V.CATEGORIES)})[((doc_id + paragraph_index + position) % 9 + 1)::INT] END AS category,
-        CASE WHEN contains(origin, 'chatgpt') THEN ({str_list(V.SEVERITIES)})[((doc_id + paragraph_index + position) % 3 + 1)::INT] END AS severity,
+        {page_of('paragraph_index', 'n_paragraphs', 'greatest(1, ceil(n_paragraphs / 10.0))::BIGINT')} AS page_no,
+        CASE WHEN contains(origin, 'chatgpt') THEN ({str_list(V.CATEGORIES)})[((doc_id + paragraph_index + position) % 9 + 1)::BIGINT] END AS category,
+        CASE WHEN contains(origin, 'chatgpt') THEN ({str_list(V.SEVERITIES)})[((doc_id + paragraph_index + position) % 3 + 1)::BIGINT] END AS severity,
         CASE WHEN contains(origin, 'chatgpt') THEN 'model' ELSE 'rules' END AS model_used
         FROM (SELECT *, unnest(range(0, CASE WHEN contains(origin, 'chatgpt') THEN 1 + rule_hits ELSE 1 END)) AS position
             FROM t_proposals WHERE changed)""",
@@ -253,13 +253,13 @@ TABLES: dict[str, str] = {
     "t_decisions": """SELECT event_id, ts, user_id, event_id % n AS doc_id, (event_id % n) || '-' || (user_id % 5) || '-0' AS patch_id,
         CASE event_type WHEN 'click' THEN 'accepted' WHEN 'error' THEN 'rejected' WHEN 'purchase' THEN 'edit' WHEN 'signup' THEN 'recorrect' ELSE 'note' END AS action
         FROM events, (SELECT count(*) AS n FROM documents)""",
-    "t_status": f"""SELECT doc_id, source, ({str_list(STATUSES)})[(doc_id % 12 + 1)::INT] AS status, total AS stage_total,
-        (doc_id % (total + 1))::INT AS stage_current, greatest(1, ceil(total / 10.0))::INT AS total_pages,
+    "t_status": f"""SELECT doc_id, source, ({str_list(STATUSES)})[(doc_id % 12 + 1)::BIGINT] AS status, total AS stage_total,
+        (doc_id % (total + 1))::BIGINT AS stage_current, greatest(1, ceil(total / 10.0))::BIGINT AS total_pages,
         TIMESTAMP '{AS_OF}' AS as_of, TIMESTAMP '{AS_OF}' - to_seconds(doc_id % 300) AS heartbeat_at,
         TIMESTAMP '{AS_OF}' - to_seconds(doc_id % 3600 + 60) AS stage_started_at, TIMESTAMP '{AS_OF}' - to_seconds(doc_id * 60) AS created_at
-        FROM (SELECT doc_id, source, len(string_split(text, chr(10)))::INT AS total FROM documents)""",
+        FROM (SELECT doc_id, source, len(string_split(text, chr(10)))::BIGINT AS total FROM documents)""",
     "t_pages": """SELECT doc_id, page_no, CASE WHEN (doc_id + page_no) % 9 = 0 THEN 'failed' ELSE 'corrected' END AS status
-        FROM (SELECT doc_id, unnest(range(1, total_pages + 1))::INT AS page_no FROM t_status)""",
+        FROM (SELECT doc_id, unnest(range(1, total_pages + 1))::BIGINT AS page_no FROM t_status)""",
     "t_checked": f"""SELECT d.*, CASE WHEN p.patch_id IS NULL THEN 'unknown_patch' WHEN NOT coalesce(s.status IN {in_list(V.REVIEWABLE_STATES)}, false) THEN 'bad_state'
         WHEN d.action NOT IN ('accepted', 'rejected') THEN 'bad_action' ELSE 'valid' END AS verdict
         FROM t_decisions d LEFT JOIN t_patches p USING (patch_id) LEFT JOIN t_status s ON s.doc_id = d.doc_id""",
@@ -277,7 +277,7 @@ TABLES: dict[str, str] = {
         CASE WHEN e.patch_id IS NULL THEN p.decision_source ELSE 'manual_edit' END AS decision_source
         FROM t_decided p LEFT JOIN (SELECT patch_id, edited_text FROM t_edits WHERE verdict = 'accepted'
             QUALIFY row_number() OVER (PARTITION BY patch_id ORDER BY ts DESC, event_id DESC) = 1) e USING (patch_id)""",
-    "t_blocks": f"""SELECT doc_id, {page_of('paragraph_index', 'n_paragraphs', 'greatest(1, ceil(n_paragraphs / 10.0))::INT')} AS page_no,
+    "t_blocks": f"""SELECT doc_id, {page_of('paragraph_index', 'n_paragraphs', 'greatest(1, ceil(n_paragraphs / 10.0))::BIGINT')} AS page_no,
         paragraph_index AS block_no, CASE WHEN (doc_id + paragraph_index) % 5 = 0 THEN '• ' || text ELSE text END AS block_text FROM t_paras""",
     "t_page_texts": "SELECT doc_id, page_no, string_agg(block_text, chr(10) ORDER BY block_no) AS page_text FROM t_blocks GROUP BY ALL",
     "t_grams": f"""SELECT doc_id, paragraph_index, n, pos, lower(trim(array_to_string(w[pos:pos + n - 1], ' '), {q(V.TERM_EDGE_CHARS)})) AS term
@@ -301,8 +301,8 @@ TABLES: dict[str, str] = {
             LEFT JOIN t_kept k ON k.doc_id = p.doc_id WHERE NOT coalesce(list_contains(k.kept, lower(p.term)), false)))
         WHERE term_no < 50""",
     "t_term_lists": "SELECT doc_id, list(term ORDER BY term_no) AS terms FROM t_terms GROUP BY doc_id",
-    "t_batches": """SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS batch_index, s AS start_paragraph, e AS end_paragraph FROM t_cuts""",
-    "t_html": f"""SELECT page_id, (generate_subscripts(ch, 1) - 1)::INT AS paragraph_index, unnest(ch) AS chunk, nav_end, has_nav
+    "t_batches": """SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::BIGINT AS batch_index, s AS start_paragraph, e AS end_paragraph FROM t_cuts""",
+    "t_html": f"""SELECT page_id, (generate_subscripts(ch, 1) - 1)::BIGINT AS paragraph_index, unnest(ch) AS chunk, nav_end, has_nav
         FROM (SELECT page_id, string_split(marked, chr(1)) AS ch, contains(marked, chr(1) || 'nav' || chr(2)) AS has_nav,
             len(string_split(string_split(marked, chr(1) || 'body' || chr(2))[1], chr(1))) AS nav_end
             FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, {q(scan.HTML_NOISE)}, '', 'g'),

@@ -146,7 +146,7 @@ def cross_page_paragraphs(c: Corpus) -> DataFrame:
 
 
 @query("structural_map", f"""SELECT doc_id, paragraph_index, location, paragraph_type, section_index, section_position, has_page_break,
-    {O.page_of('paragraph_index', 'n_paragraphs', 'greatest(1, ceil(n_paragraphs / 10.0))::INT')} AS page_no
+    {O.page_of('paragraph_index', 'n_paragraphs', 'greatest(1, ceil(n_paragraphs / 10.0))::BIGINT')} AS page_no
     FROM (SELECT *, contains(text, chr(12)) AS has_page_break FROM t_typed)""")
 def structural_map(c: Corpus) -> DataFrame:
     columns = [*KEY, "text", "location", "style_name", "is_in_table", "has_page_break"]
@@ -270,12 +270,10 @@ def block_pass(c: Corpus) -> DataFrame:
     regexp_replace(substr(stripped, place + 1), {O.q('^' + V.WS + '+')}, '') AS after
     FROM (SELECT *, CASE WHEN cut > 0 AND cut < length(stripped) AND space > cut - 30 THEN space + 1 ELSE cut END AS place
         FROM (SELECT *, CASE WHEN instr(reverse(left(stripped, cut + 1)), ' ') > 0 THEN cut + 1 - instr(reverse(left(stripped, cut + 1)), ' ') ELSE -1 END AS space
-            FROM (SELECT *, greatest(0, least(floor(length(stripped) * ((doc_id + paragraph_index) % 10)::DOUBLE / 10)::INT, length(stripped))) AS cut FROM t_typed)))""")
+            FROM (SELECT *, greatest(0, least(floor(length(stripped) * (((doc_id + paragraph_index) % 10)::DOUBLE / 10::DOUBLE))::BIGINT, length(stripped))) AS cut FROM t_typed)))""")
 def page_split(c: Corpus) -> DataFrame:
-    fraction = ((F.col("doc_id") + F.col("paragraph_index")) % 10).cast("double")
-    size = F.length("stripped")
-    # The fraction is applied as length × tenths ÷ 10, as the checking SQL does.
-    cut = text.split_at_fraction(F.col("stripped"), F.when(size > 0, size * fraction / 10 / size).otherwise(0.0))
+    fraction = ((F.col("doc_id") + F.col("paragraph_index")) % 10).cast("double") / 10
+    cut = text.split_at_fraction(F.col("stripped"), fraction)
     return c.typed.select(*KEY, F.inline(F.array(cut))).select(*KEY, "cut", "before", "after")
 
 
@@ -361,15 +359,15 @@ def call_costs(c: Corpus) -> DataFrame:
 
 
 @query("parse_responses", """SELECT doc_id, paragraph_index, pass_number,
-    CASE WHEN error_text IS NOT NULL THEN NULL WHEN pass_number = 2 THEN NULL WHEN length(final_text) > floor(length(pass0_text) * 1.1::DOUBLE)::INT THEN 'skip' ELSE 'correct' END AS action,
-    CASE WHEN error_text IS NOT NULL OR pass_number = 2 THEN NULL WHEN length(final_text) > floor(length(pass0_text) * 1.1::DOUBLE)::INT THEN '' ELSE final_text END AS corrected_text FROM t_audit""")
+    CASE WHEN error_text IS NOT NULL THEN NULL WHEN pass_number = 2 THEN NULL WHEN length(final_text) > floor(length(pass0_text) * 1.1::DOUBLE)::BIGINT THEN 'skip' ELSE 'correct' END AS action,
+    CASE WHEN error_text IS NOT NULL OR pass_number = 2 THEN NULL WHEN length(final_text) > floor(length(pass0_text) * 1.1::DOUBLE)::BIGINT THEN '' ELSE final_text END AS corrected_text FROM t_audit""")
 def parse_responses(c: Corpus) -> DataFrame:
     limit = F.floor(F.length("pass0_text") * 1.1).cast("int")
     parsed = requests.parse_response(analytics.audit_content(c.audit), limit)
     return c.audit.select(*KEY, "pass_number", parsed["action"].alias("action"), parsed["corrected_text"].alias("corrected_text"))
 
 
-_DISPATCH = """SELECT doc_id, paragraph_index, CASE WHEN error_text IS NULL AND final_text <> '' AND length(final_text) <= floor(length(pass0_text) * 1.1::DOUBLE)::INT THEN final_text ELSE pass0_text END AS text
+_DISPATCH = """SELECT doc_id, paragraph_index, CASE WHEN error_text IS NULL AND final_text <> '' AND length(final_text) <= floor(length(pass0_text) * 1.1::DOUBLE)::BIGINT THEN final_text ELSE pass0_text END AS text
     FROM t_audit WHERE pass_number = 1"""
 
 
@@ -412,7 +410,7 @@ def request_table(c: Corpus) -> DataFrame:
 def _profile_sql() -> str:
     return ("'PERFIL: ' || register || ' | Intervención: ' || intervention_level || ' | Audiencia: ' || audience_type || ' (' || audience_expertise || ') | Tono: ' || tone "
             "|| CASE WHEN preserve_author_voice THEN chr(10) || 'PRESERVAR VOZ DEL AUTOR: sí' ELSE '' END "
-            "|| chr(10) || 'MAX REESCRITURA: ' || floor(max_rewrite_ratio * 100)::INT || '%' "
+            "|| chr(10) || 'MAX REESCRITURA: ' || floor(max_rewrite_ratio * 100)::BIGINT || '%' "
             "|| CASE WHEN len(style_priorities) > 0 THEN chr(10) || 'PRIORIDADES: ' || array_to_string(style_priorities, ', ') ELSE '' END "
             "|| CASE WHEN len(protected_terms) > 0 THEN chr(10) || 'PROTEGER TÉRMINOS: ' || array_to_string(protected_terms, ', ') ELSE '' END")
 
@@ -445,7 +443,7 @@ def route_decisions(c: Corpus) -> DataFrame:
     return c.prepared.select(*KEY, "paragraph_type", "section_position", "is_transition", F.size("ops").alias("rule_hits"), "route", "route_reason")
 
 
-@query("route_counts", """SELECT lang, route, grouping_id(lang, route)::INT AS level, count(*) AS paragraphs, count(*) FILTER (gated) AS gated,
+@query("route_counts", """SELECT lang, route, grouping_id(lang, route)::BIGINT AS level, count(*) AS paragraphs, count(*) FILTER (gated) AS gated,
     count(*) FILTER (review_status = 'gate_rejected') AS rejected, count(*) FILTER (review_status = 'manual_review') AS flagged
     FROM t_proposals GROUP BY CUBE (lang, route)""")
 def route_counts(c: Corpus) -> DataFrame:
@@ -468,9 +466,9 @@ def pass2_candidates(c: Corpus) -> DataFrame:
     return p.filter(routing.second_pass(F.col("route"), F.col("rewrite_ratio"), F.col("intervention_level"), F.col("changed"))).select(*KEY, "route")
 
 
-@query("model_budget", """SELECT route, count(*) AS paragraphs, max(CASE route WHEN 'editorial' THEN 4000 WHEN 'cheap' THEN 2000 END) AS max_tokens FROM t_routed GROUP BY route""")
+@query("model_budget", """SELECT route, count(*) AS paragraphs, coalesce(max(CASE route WHEN 'editorial' THEN 4000 WHEN 'cheap' THEN 2000 END), 0) AS max_tokens FROM t_routed GROUP BY route""")
 def model_budget(c: Corpus) -> DataFrame:
-    return c.prepared.groupBy("route").agg(F.count("*").alias("paragraphs"), F.max(routing.token_budget(F.col("route"))).alias("max_tokens"))
+    return c.prepared.groupBy("route").agg(F.count("*").alias("paragraphs"), F.coalesce(F.max(routing.token_budget(F.col("route"))), F.lit(0)).alias("max_tokens"))
 
 
 def _profile_requests(c: Corpus) -> DataFrame:
@@ -484,10 +482,10 @@ def _profile_requests(c: Corpus) -> DataFrame:
 
 _RESOLVED = f"""SELECT d.doc_id, d.preset_name, coalesce(d.o_level, p.intervention_level, 'moderada') AS intervention_level,
     coalesce(d.o_rewrite, p.max_rewrite_ratio, 0.30::DOUBLE) AS max_rewrite_ratio, coalesce(p.max_expansion_ratio, 1.10::DOUBLE) AS max_expansion_ratio,
-    p.genre, p.audience_type, coalesce(p.register, 'neutro') AS register, coalesce(p.tone, 'neutro') AS tone, p.readability_min,
+    p.genre, p.audience_type, coalesce(p.register, 'neutro') AS register, coalesce(p.tone, 'neutro') AS tone, p.readability_min::DOUBLE AS readability_min,
     array_to_string(coalesce(p.style_priorities, {O.str_list(presets.DEFAULT_PRIORITIES)}), '|') AS style_priorities,
     CASE WHEN d.o_level IS NOT NULL OR d.o_rewrite IS NOT NULL THEN 'custom' WHEN p.name IS NOT NULL THEN 'preset' ELSE 'default' END AS source
-    FROM (SELECT doc_id, ({O.str_list([p[1] for p in V.PRESETS])} || [NULL, 'unknown'])[(doc_id % 12 + 1)::INT] AS preset_name,
+    FROM (SELECT doc_id, ({O.str_list([p[1] for p in V.PRESETS])} || [NULL, 'unknown'])[(doc_id % 12 + 1)::BIGINT] AS preset_name,
         CASE WHEN source = 'src0' THEN 'agresiva' END AS o_level, CASE WHEN doc_id % 5 = 0 THEN 0.45::DOUBLE END AS o_rewrite FROM documents) d
     LEFT JOIN t_presets p ON p.name = d.preset_name"""
 
@@ -496,7 +494,7 @@ _RESOLVED = f"""SELECT d.doc_id, d.preset_name, coalesce(d.o_level, p.interventi
 def profile_resolution(c: Corpus) -> DataFrame:
     rows = presets.resolve(_profile_requests(c))
     return rows.select("doc_id", "preset_name", "intervention_level", "max_rewrite_ratio", "max_expansion_ratio", "genre", "audience_type", "register", "tone",
-                       "readability_min", joined("style_priorities").alias("style_priorities"), "source")
+                       F.col("readability_min").cast("double").alias("readability_min"), joined("style_priorities").alias("style_priorities"), "source")
 
 
 @query("inferred_fields", f"""SELECT r.doc_id, coalesce(r.genre, 'inferred_' || d.lang) AS genre, coalesce(r.audience_type, 'audience_' || d.lang) AS audience_type, r.register, r.tone
@@ -513,7 +511,7 @@ def inferred_fields(c: Corpus) -> DataFrame:
 
 
 @query("gate_results", """SELECT doc_id, paragraph_index, g.n AS gate_name, g.p AS passed, g.v AS value, g.c AS critical FROM (SELECT doc_id, paragraph_index, unnest([
-    {'n': 'not_empty', 'p': g_not_empty, 'v': g_not_empty::INT::DOUBLE, 'c': true},
+    {'n': 'not_empty', 'p': g_not_empty, 'v': g_not_empty::BIGINT::DOUBLE, 'c': true},
     {'n': 'expansion_ratio', 'p': g_expansion, 'v': expansion, 'c': true},
     {'n': 'rewrite_ratio', 'p': g_rewrite, 'v': rewrite_ratio, 'c': false},
     {'n': 'protected_terms', 'p': g_terms, 'v': CASE WHEN len(checked) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(checked, lambda t: contains(lower(candidate), lower(t))))::DOUBLE / len(checked)::DOUBLE END, 'c': true},
@@ -648,7 +646,7 @@ def profile_sample(c: Corpus) -> DataFrame:
     return structure.profile_sample(c.paragraphs)
 
 
-@query("page_estimate", f"SELECT doc_id, paragraph_index, {O.page_of('paragraph_index', 'n_paragraphs', 'greatest(1, ceil(n_paragraphs / 10.0))::INT')} AS page_no FROM t_lines")
+@query("page_estimate", f"SELECT doc_id, paragraph_index, {O.page_of('paragraph_index', 'n_paragraphs', 'greatest(1, ceil(n_paragraphs / 10.0))::BIGINT')} AS page_no FROM t_lines")
 def page_estimate(c: Corpus) -> DataFrame:
     n = F.col("n_paragraphs")
     return c.paragraphs.select(*KEY, structure.page_estimate(F.col("paragraph_index"), n, match.page_count(n)).alias("page_no"))
@@ -686,12 +684,12 @@ def protected_union(c: Corpus) -> DataFrame:
 @query("analysis_stats", """SELECT doc_id, total_paragraphs, non_empty_paragraphs, sections_detected, coalesce(tn, 0) AS terms_extracted, coalesce(tp, 0) AS terms_protected, needing_model, narrative
     FROM (SELECT doc_id, count(*) AS total_paragraphs, count(*) FILTER (stripped <> '') AS non_empty_paragraphs,
         count(*) FILTER (paragraph_type NOT IN ('vacio', 'encabezado', 'footer', 'titulo', 'subtitulo', 'cita')) AS needing_model,
-        nullif(count(*) FILTER (paragraph_type = 'narrativo'), 0) AS narrative FROM t_typed GROUP BY doc_id)
+        count(*) FILTER (paragraph_type = 'narrativo') AS narrative FROM t_typed GROUP BY doc_id)
     JOIN (SELECT doc_id, count(*) AS sections_detected FROM t_sections GROUP BY doc_id) USING (doc_id)
     LEFT JOIN (SELECT doc_id, count(*) AS tn, count(*) FILTER (is_protected) AS tp FROM t_terms GROUP BY doc_id) USING (doc_id)""")
 def analysis_stats(c: Corpus) -> DataFrame:
     stats = analytics.analysis_stats(c.typed, structure.section_table(c.sectioned), c.terms)
-    return stats.withColumn("narrative", F.try_element_at("paragraph_types", F.lit("narrativo"))).drop("paragraph_types")
+    return stats.withColumn("narrative", F.coalesce(F.try_element_at("paragraph_types", F.lit("narrativo")), F.lit(0))).drop("paragraph_types")
 
 
 # --- patches and review --------------------------------------------------------------------------------
@@ -716,10 +714,11 @@ def patch_fanout(c: Corpus) -> DataFrame:
     return analytics.fan_out_versions(c.patches).select("patch_id", *KEY, "position", "category", "severity", "version")
 
 
-@query("patch_costs", """SELECT p.patch_id, u.cost_e8, u.total_tokens, u.calls FROM t_patches p LEFT JOIN (SELECT doc_id, paragraph_index, sum(cost_e8)::BIGINT AS cost_e8,
+@query("patch_costs", """SELECT p.patch_id, u.cost_e8::DOUBLE AS cost_e8, u.total_tokens::DOUBLE AS total_tokens, coalesce(u.calls, 0) AS calls FROM t_patches p LEFT JOIN (SELECT doc_id, paragraph_index, sum(cost_e8)::BIGINT AS cost_e8,
     sum(total_tokens)::BIGINT AS total_tokens, count(*) AS calls FROM t_usage GROUP BY ALL) u ON u.doc_id = p.doc_id AND u.paragraph_index = p.paragraph_index AND p.position = 0""")
 def patch_costs(c: Corpus) -> DataFrame:
-    return analytics.with_cost(c.patches, c.usage).select("patch_id", "cost_e8", "total_tokens", "calls")
+    rows = analytics.with_cost(c.patches, c.usage)
+    return rows.select("patch_id", *[F.col(n).cast("double").alias(n) for n in ("cost_e8", "total_tokens")], F.coalesce("calls", F.lit(0)).alias("calls"))
 
 
 @query("facet_filter", f"SELECT {', '.join(_PATCH_COLUMNS)} FROM t_patches WHERE (contains(source, 'chatgpt') OR source = 'llm') AND severity = 'importante' AND (contains(lower(original_text), 'the') OR contains(lower(corrected_text), 'the'))")
@@ -827,7 +826,7 @@ def recorrection_limits(c: Corpus) -> DataFrame:
 
 @query("recorrections", """SELECT p.patch_id, CASE WHEN ok THEN new_text ELSE corrected_text END AS corrected_text, CASE WHEN ok THEN 'pending' ELSE review_status END AS review_status
     FROM (SELECT p.*, r.new_text, coalesce(r.new_text <> '' AND length(r.new_text) <= length(p.original_text) * 2.2::DOUBLE, false) AS ok FROM t_patches p
-        LEFT JOIN (SELECT DISTINCT d.patch_id, q.original_text || repeat('.', (q.doc_id % 50)::INT) AS new_text FROM t_decisions d JOIN t_patches q USING (patch_id) WHERE d.action = 'recorrect') r USING (patch_id)) p""")
+        LEFT JOIN (SELECT DISTINCT d.patch_id, q.original_text || repeat('.', (q.doc_id % 50)::BIGINT) AS new_text FROM t_decisions d JOIN t_patches q USING (patch_id) WHERE d.action = 'recorrect') r USING (patch_id)) p""")
 def recorrections(c: Corpus) -> DataFrame:
     asked = c.decisions.filter("action = 'recorrect'").select("patch_id").distinct()
     new = F.concat("original_text", F.expr("repeat('.', cast(doc_id % 50 as int))"))
@@ -922,13 +921,15 @@ def block_match_exact(c: Corpus) -> DataFrame:
     return match.match_blocks(c.patches.filter("position = 0"), c.blocks, "difflib")
 
 
-@query("locate_on_page", """SELECT doc_id, paragraph_index, est_page, hit.page_no AS page_no, hit.length AS matched_length, hit.at AS at, hit.far = 0 AS is_near FROM (
+@query("locate_on_page", """SELECT doc_id, paragraph_index, est_page, hit.page_no::DOUBLE AS page_no, hit.length::DOUBLE AS matched_length, hit.at::DOUBLE AS at, coalesce(hit.far = 0, false) AS is_near FROM (
     SELECT c.doc_id, c.paragraph_index, c.est_page, (SELECT min({'rank': k.rank, 'far': CASE WHEN abs(g.page_no - c.est_page) <= 2 THEN 0 ELSE 1 END, 'page_no': g.page_no,
         'length': length(left(c.corrected_text, k.size)), 'at': instr(g.page_text, left(c.corrected_text, k.size))})
         FROM t_page_texts g, (VALUES (0, 150), (1, 70), (2, 35)) k(rank, size) WHERE g.doc_id = c.doc_id AND contains(g.page_text, left(c.corrected_text, k.size))) AS hit
     FROM x_changes c WHERE length(c.corrected_text) >= 4)""")
 def locate_on_page(c: Corpus) -> DataFrame:
-    return match.locate_on_pages(c.patches.filter("position = 0"), match.page_texts(c.blocks))
+    rows = match.locate_on_pages(c.patches.filter("position = 0"), match.page_texts(c.blocks))
+    place = [F.col(n).cast("double").alias(n) for n in ("page_no", "matched_length", "at")]
+    return rows.select(*KEY, "est_page", *place, F.coalesce("is_near", F.lit(False)).alias("is_near"))
 
 
 @query("location_backfill", """SELECT p.patch_id, l.location FROM t_patches p LEFT JOIN (SELECT doc_id, paragraph_index, left(text, 50) AS head, max(location) AS location FROM t_paras GROUP BY ALL) l
@@ -954,13 +955,14 @@ def annotation_match(c: Corpus) -> DataFrame:
 # --- flow, cost, audit, documents --------------------------------------------------------------------------
 
 
-@query("correction_flow", """SELECT doc_id, paragraph_index, block_no, type, context_blocks, cost_e8, row_number() OVER (PARTITION BY doc_id ORDER BY block_no, k) AS step FROM (
+@query("correction_flow", """SELECT doc_id, paragraph_index, block_no, type, context_blocks, cost_e8::DOUBLE AS cost_e8, row_number() OVER (PARTITION BY doc_id ORDER BY block_no, k) AS step FROM (
     SELECT p.doc_id, p.paragraph_index, p.block_no, s.k, s.type, CASE WHEN s.k = 0 THEN 0 ELSE p.block_no END AS context_blocks, CASE WHEN s.k = 1 THEN u.cost_e8 END AS cost_e8
     FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index, position) - 1 AS block_no FROM t_patches) p
     JOIN (VALUES (0, 'languagetool'), (1, 'chatgpt_style')) s(k, type) ON (s.k = 0 AND p.rule_hits > 0) OR (s.k = 1 AND contains(p.source, 'chatgpt'))
     LEFT JOIN (SELECT doc_id, paragraph_index, sum(cost_e8)::BIGINT AS cost_e8 FROM t_usage GROUP BY ALL) u ON u.doc_id = p.doc_id AND u.paragraph_index = p.paragraph_index)""")
 def correction_flow(c: Corpus) -> DataFrame:
-    return analytics.correction_flow(c.patches, c.usage).drop("context_preview")
+    rows = analytics.correction_flow(c.patches, c.usage).drop("context_preview")
+    return rows.withColumn("cost_e8", F.col("cost_e8").cast("double"))
 
 
 @query("flow_summary", """SELECT p.*, coalesce(u.cost, 0)::DOUBLE AS total_cost_usd FROM (SELECT doc_id, count(*) AS total_blocks, count(*) FILTER (rule_hits > 0) + count(*) FILTER (contains(source, 'chatgpt')) AS total_requests,
@@ -1044,12 +1046,13 @@ def audit_by_paragraph(c: Corpus) -> DataFrame:
     return analytics.audit_by_paragraph(rows, True).drop("passes")
 
 
-@query("audit_diff", """SELECT coalesce(p.doc_id, a.doc_id) AS doc_id, coalesce(p.paragraph_index, a.paragraph_index) AS paragraph_index, p.original_text, a.pass1_text, p.final_text, a.t1 AS pass1_tokens, a.t2 AS pass2_tokens, a.t2 IS NOT NULL AS has_pass2
+@query("audit_diff", """SELECT coalesce(p.doc_id, a.doc_id) AS doc_id, coalesce(p.paragraph_index, a.paragraph_index) AS paragraph_index, p.original_text, a.pass1_text, p.final_text, a.t1::DOUBLE AS pass1_tokens, a.t2::DOUBLE AS pass2_tokens, a.t2 IS NOT NULL AS has_pass2
     FROM (SELECT doc_id, paragraph_index, arg_max(original_text, position) AS original_text, arg_max(corrected_text, position) AS final_text FROM t_patches GROUP BY ALL) p
     FULL JOIN (SELECT doc_id, paragraph_index, max(pass0_text) FILTER (pass_number = 1) AS pass1_text, max(total_tokens) FILTER (pass_number = 1) AS t1, max(total_tokens) FILTER (pass_number = 2) AS t2 FROM t_audit GROUP BY ALL) a
       ON a.doc_id = p.doc_id AND a.paragraph_index = p.paragraph_index""")
 def audit_diff(c: Corpus) -> DataFrame:
-    return analytics.audit_diff(c.patches, c.audit).drop("review_status", "pass1_model", "pass2_model")
+    rows = analytics.audit_diff(c.patches, c.audit).drop("review_status", "pass1_model", "pass2_model")
+    return rows.withColumns({n: F.col(n).cast("double") for n in ("pass1_tokens", "pass2_tokens")})
 
 
 @query("progress_eta", """SELECT s.doc_id, s.status, CASE WHEN s.status = 'completed' THEN 1.0::DOUBLE WHEN s.status IN ('pending_review', 'candidate_ready') THEN 0.85::DOUBLE
@@ -1067,12 +1070,12 @@ def dashboard(c: Corpus) -> DataFrame:
     return analytics.dashboard(c.doc_status)
 
 
-@query("point_lookup", """SELECT p.patch_id, p.corrected_text, u.cost_e8 FROM t_patches p LEFT JOIN (SELECT doc_id, paragraph_index, sum(cost_e8)::BIGINT AS cost_e8 FROM t_usage GROUP BY ALL) u
+@query("point_lookup", """SELECT p.patch_id, p.corrected_text, u.cost_e8::DOUBLE AS cost_e8 FROM t_patches p LEFT JOIN (SELECT doc_id, paragraph_index, sum(cost_e8)::BIGINT AS cost_e8 FROM t_usage GROUP BY ALL) u
     ON u.doc_id = p.doc_id AND u.paragraph_index = p.paragraph_index AND p.position = 0 WHERE p.patch_id IN (SELECT patch_id FROM t_decisions)""")
 def point_lookup(c: Corpus) -> DataFrame:
     """Single corrections with their cost, for all requested ids at once."""
     wanted = c.decisions.select("patch_id").distinct()
-    return analytics.with_cost(c.patches.join(wanted, "patch_id", "left_semi"), c.usage).select("patch_id", "corrected_text", "cost_e8")
+    return analytics.with_cost(c.patches.join(wanted, "patch_id", "left_semi"), c.usage).select("patch_id", "corrected_text", F.col("cost_e8").cast("double").alias("cost_e8"))
 
 
 @query("error_catalogue", """SELECT category, count(*) FILTER (run = 'A' AND ok) AS "A_fixed", count(*) FILTER (run = 'A') AS "A_errors", count(*) FILTER (run = 'B' AND ok) AS "B_fixed", count(*) FILTER (run = 'B') AS "B_errors" FROM (
@@ -1120,10 +1123,10 @@ def stream_stalls(c: Corpus) -> DataFrame:
     return jobs.run_available(jobs.stalls(_events(c)), _sink(c, "stalls"))
 
 
-@query("stream_throttle", """WITH RECURSIVE e AS (SELECT user_id AS doc_id, event_type AS stage, event_id, ts, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
-    walk AS (SELECT doc_id, stage, event_id, at, rn, at AS last, true AS keep FROM e WHERE rn = 1 UNION ALL
-        SELECT e.doc_id, e.stage, e.event_id, e.at, e.rn, CASE WHEN e.at - w.last >= 86400000000 THEN e.at ELSE w.last END, e.at - w.last >= 86400000000 FROM walk w JOIN e ON e.doc_id = w.doc_id AND e.stage = w.stage AND e.rn = w.rn + 1)
-    SELECT doc_id, stage, event_id, at FROM walk WHERE keep""")
+@query("stream_throttle", """WITH RECURSIVE e AS (SELECT user_id AS doc_id, event_type AS stage, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+    walk AS (SELECT doc_id, stage, event_id, us, rn, us AS passed_at, true AS passes FROM e WHERE rn = 1 UNION ALL
+        SELECT e.doc_id, e.stage, e.event_id, e.us, e.rn, CASE WHEN e.us - w.passed_at >= 86400000000 THEN e.us ELSE w.passed_at END, e.us - w.passed_at >= 86400000000 FROM walk w JOIN e ON e.doc_id = w.doc_id AND e.stage = w.stage AND e.rn = w.rn + 1)
+    SELECT doc_id, stage, event_id, us AS "at" FROM walk WHERE passes""")
 def stream_throttle(c: Corpus) -> DataFrame:
     c.spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     updates = _events(c).select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("stage"), "event_id", "ts", F.lit(False).alias("is_start"))
@@ -1151,8 +1154,9 @@ def stream_dedup(c: Corpus) -> DataFrame:
     return jobs.run_available(jobs.deduplicated(twice).select("event_id", "user_id", "event_type"), _sink(c, "dedup"))
 
 
-@query("stream_cost", """SELECT event_type AS model_used, date_trunc('day', ts) AS day, count(*) AS calls, sum(floor(value * 10)::BIGINT + user_id)::BIGINT AS tokens, sum(75 * floor(value * 10)::BIGINT + 450 * user_id)::BIGINT AS cost_e8
-    FROM events GROUP BY ALL HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+@query("stream_cost", """SELECT model_used, day, count(*) AS calls, sum(p + c)::BIGINT AS tokens, sum(75 * p + 450 * c)::BIGINT AS cost_e8
+    FROM (SELECT event_type AS model_used, date_trunc('day', ts) AS day, floor(value * 10)::BIGINT AS p, user_id AS c FROM events)
+    WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY model_used, day""")
 def stream_cost(c: Corpus) -> DataFrame:
     calls = _events(c).select("ts", F.col("event_type").alias("model_used"), F.floor(F.col("value") * 10).cast("long").alias("prompt_tokens"), F.col("user_id").alias("completion_tokens"))
     return jobs.run_available(jobs.cost_rollup(calls), _sink(c, "cost"))

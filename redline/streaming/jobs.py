@@ -24,7 +24,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def event_stream(spark: SparkSession, path: str, schema: str = EVENTS) -> DataFrame:
-    rows = spark.readStream.schema(schema).parquet(path)
+    folder, _, name = path.rpartition("/")
+    rows = spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}")  # as a glob: a file or a folder
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
