@@ -96,15 +96,29 @@ def opcodes(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
         ])
 
 
+def token_set(text: Column) -> Column:
+    return F.array_distinct(tokens(text))
+
+
+def set_jaccard(left: Column, right: Column) -> Column:
+    """Share of two word sets in common; 1 when both are empty."""
+    common = F.size(F.array_intersect(left, right))
+    union = F.size(left) + F.size(right) - common
+    return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
+
+
 def token_jaccard(left: Column, right: Column) -> Column:
-    """Share of distinct words in common; 1 when both are empty. Native, linear in the text."""
-    a, b = F.array_distinct(tokens(left)), F.array_distinct(tokens(right))
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Share of distinct words in common. Native, linear in the text."""
+    return set_jaccard(token_set(left), token_set(right))
+
+
+# Similarity metrics as (form to compute once per text, comparison of two forms).
+METRICS = {"difflib": (lambda text: text, similarity), "jaccard": (token_set, set_jaccard)}
 
 
 def similarity_by(metric: str, left: Column, right: Column) -> Column:
-    return {"difflib": similarity, "jaccard": token_jaccard}[metric](left, right)
+    form, compare = METRICS[metric]
+    return compare(form(left), form(right))
 
 
 def link_ranges(text: Column, links: Column) -> Column:

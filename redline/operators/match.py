@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redline.functions.edits import similarity_by
+from redline.functions.edits import METRICS
 from redline.functions.text import normalise, tokens
 from redline.operators.structure import page_estimate
 
@@ -48,8 +48,10 @@ def match_blocks(changes: DataFrame, block_rows: DataFrame, metric: str = "diffl
     estimated page and three pages each side, in page order: the first with a score over 0.8, else the best.
     A best score under 0.3 falls back to the first block of the estimated page, else of the document.
     """
-    block = F.struct("page_no", "block_no")
+    # A block's place as one number, so that "first block" is a hash aggregate.
+    block = F.shiftleft(F.col("page_no").cast("long"), 32) + F.col("block_no")
     index = block_rows.withColumn("_norm", normalise(F.col("block_text")))
+    form, compare = METRICS[metric]
     pages = page_count(F.col("n_paragraphs"))
     rows = changes.select(
         "doc_id", "paragraph_index", normalise(F.col("original_text")).alias("_norm"),
@@ -63,12 +65,13 @@ def match_blocks(changes: DataFrame, block_rows: DataFrame, metric: str = "diffl
     window = F.sequence(F.col("est_page") - WINDOW, F.col("est_page") + WINDOW)
     search = F.col("_hit").isNull() & (F.col("_norm") != "")
     others = index.filter("_norm <> ''").select(
-        "doc_id", "page_no", "block_no", F.left("_norm", F.lit(SNIPPET)).alias("_other")
+        "doc_id", "page_no", "block_no", form(F.left("_norm", F.lit(SNIPPET))).alias("_other")
     )
     near = (
-        looked.withColumn("page_no", F.explode(F.when(search, window).otherwise(F.array(F.lit(None).cast("int")))))
+        looked.withColumn("_mine", F.when(search, form(F.left("_norm", F.lit(SNIPPET)))))
+        .withColumn("page_no", F.explode(F.when(search, window).otherwise(F.array(F.lit(None).cast("int")))))
         .join(others, ["doc_id", "page_no"], "left")
-        .withColumn("score", F.when(F.col("_other").isNotNull(), similarity_by(metric, F.left("_norm", F.lit(SNIPPET)), F.col("_other"))))
+        .withColumn("score", F.when(F.col("_other").isNotNull(), compare(F.col("_mine"), F.col("_other"))))
     )
     found = F.struct("page_no", "block_no", "score")
     best = near.groupBy("doc_id", "paragraph_index").agg(
@@ -83,10 +86,11 @@ def match_blocks(changes: DataFrame, block_rows: DataFrame, metric: str = "diffl
     )
     exact = F.col("_hit").isNotNull()
     fuzzy = F.coalesce(F.col("_b.score") >= POOR, F.lit(False))
-    similar = F.struct(F.col("_b.page_no").alias("page_no"), F.col("_b.block_no").alias("block_no"))
+    similar = F.shiftleft(F.col("_b.page_no").cast("long"), 32) + F.col("_b.block_no")
     chosen = F.when(exact, F.col("_hit")).when(fuzzy, similar).otherwise(F.coalesce("_page_first", "_doc_first"))
     return ranked.withColumn("_c", chosen).select(
-        "doc_id", "paragraph_index", "est_page", F.col("_c.page_no").alias("page_no"), F.col("_c.block_no").alias("block_no"),
+        "doc_id", "paragraph_index", "est_page", F.shiftright("_c", 32).cast("int").alias("page_no"),
+        F.col("_c").bitwiseAND((1 << 32) - 1).cast("int").alias("block_no"),
         F.when(exact, "prefix").when(fuzzy, "similar").otherwise("fallback").alias("how"), F.col("_b.score").alias("score"),
     )
 
@@ -100,9 +104,9 @@ def _best_prefix(text: Column, page: Column) -> Column:
     out = None
     for rank, size in enumerate(SEARCH_LENGTHS):
         needle = F.left(text, F.lit(size))
-        at = F.position(needle, page)
-        found = F.struct(F.lit(rank).alias("rank"), F.length(needle).alias("length"), at.alias("at"))
-        out = F.when(at > 0, found) if out is None else out.when(at > 0, found)
+        found = F.struct(F.lit(rank).alias("rank"), F.length(needle).alias("length"), F.position(needle, page).alias("at"))
+        test = F.contains(page, needle)
+        out = F.when(test, found) if out is None else out.when(test, found)
     return out
 
 
@@ -121,6 +125,7 @@ def locate_on_pages(changes: DataFrame, pages: DataFrame) -> DataFrame:
     ).select(
         "doc_id", "paragraph_index", "corrected_text",
         page_estimate(F.col("paragraph_index"), total, page_count(total)).alias("est_page"),
+        page_count(total).alias("_pages"),
     )
     key = ["doc_id", "paragraph_index"]
     spot = F.struct("_h.rank", "_far", "page_no", "_h.length", "_h.at")
@@ -130,18 +135,21 @@ def locate_on_pages(changes: DataFrame, pages: DataFrame) -> DataFrame:
         .withColumn("_h", _best_prefix(F.col("corrected_text"), F.col("page_text"))).withColumn("_far", F.lit(0))
         .groupBy(*key).agg(
             F.first("corrected_text").alias("corrected_text"), F.first("est_page").alias("est_page"),
-            F.min(F.when(F.col("_h").isNotNull(), spot)).alias("_near"),
+            F.first("_pages").alias("_pages"), F.min(F.when(F.col("_h").isNotNull(), spot)).alias("_near"),
         )
     )
-    open_rows = near.filter("_near is null or _near.rank > 0")
+    # Only documents that reach beyond the near pages need the wider search.
+    open_rows = near.filter("_near is null or _near.rank > 0").filter(
+        (F.col("est_page") - NEAR > 1) | (F.col("est_page") + NEAR < F.col("_pages"))
+    )
     words = tokens(F.left("corrected_text", F.lit(35)))
     inner = F.size(words) - 2
-    anchored = open_rows.withColumn(
+    anchored = open_rows.withColumn("_n", F.when(inner >= 1, F.least(inner, F.lit(3))).otherwise(0)).withColumn(
         "anchor",
         F.when(inner >= 1, F.concat(F.lit("w:"), F.array_join(F.slice(words, F.lit(2), F.least(inner, F.lit(3))), " ")))
         .otherwise(F.concat(F.lit("c:"), F.left("corrected_text", F.lit(4)))),
     )
-    wanted = anchored.select("doc_id", "anchor").distinct()
+    wanted = anchored.select("doc_id", "anchor", "_n").distinct()
     text = F.col("page_text")
     page_words = F.col("_words")
 
@@ -154,14 +162,15 @@ def locate_on_pages(changes: DataFrame, pages: DataFrame) -> DataFrame:
     grams = F.when(F.length(text) >= 4, F.transform(
         F.sequence(F.lit(1), F.length(text) - 3), lambda i: F.concat(F.lit("c:"), F.substring(text, i, F.lit(4)))
     )).otherwise(F.array().cast("array<string>"))
-    needs = wanted.groupBy("doc_id").agg(F.bool_or(F.col("anchor").startswith("c:")).alias("_chars"))
+    needs = wanted.groupBy("doc_id").agg(*[F.bool_or(F.col("_n") == n).alias(f"_need{n}") for n in range(4)])
+    none = F.array().cast("array<string>")
     index = (
         pages.join(needs, "doc_id").select("*", F.inline(F.array(F.struct(tokens(text).alias("_words")))))
         .select("doc_id", "page_no", F.explode(F.array_distinct(F.concat(
-            word_runs(1), word_runs(2), word_runs(3),
-            F.when(F.col("_chars"), grams).otherwise(F.array().cast("array<string>")),
+            *[F.when(F.col(f"_need{n}"), word_runs(n)).otherwise(none) for n in (1, 2, 3)],
+            F.when(F.col("_need0"), grams).otherwise(none),
         ))).alias("anchor"))
-        .join(wanted, ["doc_id", "anchor"], "left_semi")
+        .join(wanted.drop("_n"), ["doc_id", "anchor"], "left_semi")
     )
     far = (
         anchored.join(index, ["doc_id", "anchor"])

@@ -711,12 +711,14 @@ def patch_layout(c: Corpus) -> DataFrame:
 
 @query("patch_fanout", """SELECT patch_id, doc_id, paragraph_index, position, category, severity, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index, position) AS version FROM t_patches""")
 def patch_fanout(c: Corpus) -> DataFrame:
+    c.keep_proposals()
     return analytics.fan_out_versions(c.patches).select("patch_id", *KEY, "position", "category", "severity", "version")
 
 
 @query("patch_costs", """SELECT p.patch_id, u.cost_e8::DOUBLE AS cost_e8, u.total_tokens::DOUBLE AS total_tokens, coalesce(u.calls, 0) AS calls FROM t_patches p LEFT JOIN (SELECT doc_id, paragraph_index, sum(cost_e8)::BIGINT AS cost_e8,
     sum(total_tokens)::BIGINT AS total_tokens, count(*) AS calls FROM t_usage GROUP BY ALL) u ON u.doc_id = p.doc_id AND u.paragraph_index = p.paragraph_index AND p.position = 0""")
 def patch_costs(c: Corpus) -> DataFrame:
+    c.keep_proposals()
     rows = analytics.with_cost(c.patches, c.usage)
     return rows.select("patch_id", *[F.col(n).cast("double").alias(n) for n in ("cost_e8", "total_tokens")], F.coalesce("calls", F.lit(0)).alias("calls"))
 
@@ -748,6 +750,7 @@ def top_categories(c: Corpus) -> DataFrame:
     {', '.join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in V.SEVERITIES)},
     count(*) FILTER (review_status IN ('pending', 'manual_review')) = 0 AS can_finalize_strict, count(*) > 0 AS can_finalize_quick FROM t_decided GROUP BY doc_id""")
 def review_summary(c: Corpus) -> DataFrame:
+    c.keep_proposals()
     return analytics.review_summary(review.apply_decisions(c.patches, c.decisions, c.doc_status))
 
 
@@ -773,11 +776,13 @@ def decision_verdicts(c: Corpus) -> DataFrame:
 
 @query("apply_decisions", "SELECT patch_id, review_status, decision_source FROM t_decided")
 def apply_decisions(c: Corpus) -> DataFrame:
+    c.keep_proposals()
     return review.apply_decisions(c.patches, c.decisions, c.doc_status).select("patch_id", "review_status", "decision_source")
 
 
 @query("bulk_lookup", """SELECT d.patch_id, p.patch_id IS NOT NULL AS found FROM (SELECT DISTINCT patch_id FROM t_decisions) d LEFT JOIN t_patches p USING (patch_id)""")
 def bulk_lookup(c: Corpus) -> DataFrame:
+    c.keep_proposals()
     found, missing = review.bulk_lookup(c.decisions, c.patches)
     return found.withColumn("found", F.lit(True)).unionByName(missing.withColumn("found", F.lit(False)))
 
@@ -803,6 +808,7 @@ def transitions(c: Corpus) -> DataFrame:
 
 @query("manual_edits", "SELECT event_id, patch_id, edited_text, verdict FROM t_edits")
 def manual_edits(c: Corpus) -> DataFrame:
+    c.keep_proposals()
     return review.manual_edits(c.patches, c.edits.drop("doc_id").join(c.patches.select("patch_id", "doc_id"), "patch_id"), c.doc_status).select("event_id", "patch_id", "edited_text", "verdict")
 
 
@@ -813,6 +819,7 @@ def _edited(c: Corpus) -> DataFrame:
 
 @query("effective_text", "SELECT patch_id, coalesce(nullif(edited_text, ''), corrected_text) AS text, review_status, decision_source FROM t_edited")
 def effective_text(c: Corpus) -> DataFrame:
+    c.keep_proposals()
     return _edited(c).select("patch_id", review.effective_text(F.col("edited_text"), F.col("corrected_text")).alias("text"), "review_status", "decision_source")
 
 
@@ -828,6 +835,7 @@ def recorrection_limits(c: Corpus) -> DataFrame:
     FROM (SELECT p.*, r.new_text, coalesce(r.new_text <> '' AND length(r.new_text) <= length(p.original_text) * 2.2::DOUBLE, false) AS ok FROM t_patches p
         LEFT JOIN (SELECT DISTINCT d.patch_id, q.original_text || repeat('.', (q.doc_id % 50)::BIGINT) AS new_text FROM t_decisions d JOIN t_patches q USING (patch_id) WHERE d.action = 'recorrect') r USING (patch_id)) p""")
 def recorrections(c: Corpus) -> DataFrame:
+    c.keep_proposals()
     asked = c.decisions.filter("action = 'recorrect'").select("patch_id").distinct()
     new = F.concat("original_text", F.expr("repeat('.', cast(doc_id % 50 as int))"))
     results = c.patches.join(asked, "patch_id", "left_semi").select("patch_id", new.alias("new_text"))
@@ -849,6 +857,7 @@ def _render_sql(where: str, source: str) -> str:
 
 @query("final_render", _render_sql(f"review_status IN {O.in_list(V.APPLY_MODES['accepted_and_auto'])}", "SELECT * FROM t_edited"))
 def final_render(c: Corpus) -> DataFrame:
+    c.keep_proposals()
     return review.render(review.apply_to_text(c.paragraphs, review.approved(_edited(c))))
 
 
@@ -860,6 +869,7 @@ def candidate_render(c: Corpus) -> DataFrame:
 @query("apply_modes", f"""SELECT m.mode, review_status, count(*) AS patches FROM t_decided, (VALUES ('accepted_only'), ('accepted_and_auto'), ('all')) m(mode)
     WHERE mode = 'all' OR (mode = 'accepted_only' AND review_status = 'accepted') OR (mode = 'accepted_and_auto' AND review_status IN {O.in_list(V.APPLY_MODES['accepted_and_auto'])}) GROUP BY ALL""")
 def apply_modes(c: Corpus) -> DataFrame:
+    c.keep_proposals()
     decided = review.apply_decisions(c.patches, c.decisions, c.doc_status)
     modes = F.array(*[F.when(F.col("review_status").isin(s), F.lit(m)) for m, s in V.APPLY_MODES.items()])
     return decided.select("review_status", F.explode(F.array_compact(modes)).alias("mode")).groupBy("mode", "review_status").agg(F.count("*").alias("patches"))
@@ -867,6 +877,7 @@ def apply_modes(c: Corpus) -> DataFrame:
 
 @query("cascade_delete", """SELECT (SELECT count(*) FROM t_paras WHERE doc_id % 4 <> 1) AS paragraphs, (SELECT count(*) FROM t_patches WHERE doc_id % 4 <> 1) AS patches, (SELECT count(*) FROM t_usage WHERE doc_id % 4 <> 1) AS usage""")
 def cascade_delete(c: Corpus) -> DataFrame:
+    c.keep_proposals()
     gone = c.documents.filter("doc_id % 4 = 1")
     counts = [
         review.delete_documents(t.select("doc_id"), gone).agg(F.count("*").alias(n))
@@ -880,6 +891,7 @@ def cascade_delete(c: Corpus) -> DataFrame:
     FROM t_changes p FULL JOIN (SELECT doc_id, paragraph_index, CASE WHEN doc_id % 2 = 0 THEN stripped || '!' END AS new FROM t_proposals WHERE paragraph_index = 0) n
       ON n.doc_id = p.doc_id AND n.paragraph_index = p.paragraph_index WHERE NOT (p.doc_id IS NULL AND n.new IS NULL)""")
 def merge_patches(c: Corpus) -> DataFrame:
+    c.keep_proposals()
     again = c.proposals.filter("paragraph_index = 0").select(*KEY, F.when(F.col("doc_id") % 2 == 0, F.concat("stripped", F.lit("!"))).alias("corrected_text"))
     return match.merge_patches(c.patches.filter("position = 0"), again)
 
@@ -888,6 +900,7 @@ def merge_patches(c: Corpus) -> DataFrame:
     final <> stripped AS is_patch FROM (SELECT p.doc_id, p.paragraph_index, p.stripped, p.final_text AS pass1_text, CASE WHEN p.changed THEN p.origin END AS src, coalesce(nullif(u.t, ''), p.final_text) AS final
     FROM t_proposals p LEFT JOIN (SELECT doc_id, paragraph_index, CASE WHEN doc_id % 3 = 0 THEN final_text ELSE rtrim(final_text, '.') END AS t FROM t_usage WHERE pass_number = 2) u USING (doc_id, paragraph_index))""")
 def second_pass_merge(c: Corpus) -> DataFrame:
+    c.keep_proposals()
     first = c.proposals.select(*KEY, F.col("stripped").alias("original_text"), F.col("final_text").alias("corrected_text"), F.when(F.col("changed"), F.col("origin")).alias("source"))
     second = c.usage.filter("pass_number = 2").select(*KEY, F.when(F.col("doc_id") % 3 == 0, F.col("final_text")).otherwise(F.rtrim("final_text", F.lit("."))).alias("final_text"))
     return corrector.second_pass_merge(first, second).drop("original_text")
@@ -943,6 +956,7 @@ def location_backfill(c: Corpus) -> DataFrame:
     UNION ALL SELECT p.patch_id, x.patch_id, 'text' FROM t_changes p JOIN t_patches x ON x.doc_id = p.doc_id AND starts_with(x.original_text, left(p.original_text, 50)) AND starts_with(x.corrected_text, left(p.corrected_text, 50)) WHERE p.paragraph_index % 2 = 1)""")
 def annotation_match(c: Corpus) -> DataFrame:
     """Annotations of even paragraphs carry the ids of their patches, the others only snippets."""
+    c.keep_proposals()
     even = F.col("paragraph_index") % 2 == 0
     notes = review.one_per_paragraph(c.patches).select(
         F.concat_ws("-", "doc_id", "paragraph_index", F.lit("0")).alias("annotation_id"), "doc_id",
@@ -961,6 +975,7 @@ def annotation_match(c: Corpus) -> DataFrame:
     JOIN (VALUES (0, 'languagetool'), (1, 'chatgpt_style')) s(k, type) ON (s.k = 0 AND p.rule_hits > 0) OR (s.k = 1 AND contains(p.source, 'chatgpt'))
     LEFT JOIN (SELECT doc_id, paragraph_index, sum(cost_e8)::BIGINT AS cost_e8 FROM t_usage GROUP BY ALL) u ON u.doc_id = p.doc_id AND u.paragraph_index = p.paragraph_index)""")
 def correction_flow(c: Corpus) -> DataFrame:
+    c.keep_proposals()
     rows = analytics.correction_flow(c.patches, c.usage).drop("context_preview")
     return rows.withColumn("cost_e8", F.col("cost_e8").cast("double"))
 
@@ -969,6 +984,7 @@ def correction_flow(c: Corpus) -> DataFrame:
     count(*) FILTER (source = 'languagetool') AS rule_requests, count(*) FILTER (contains(source, 'chatgpt')) AS model_requests FROM t_patches GROUP BY doc_id) p
     LEFT JOIN (SELECT doc_id, (sum(cost_e8)::DECIMAL(28,0) / 100000000)::DECIMAL(18,8) AS cost FROM t_usage GROUP BY doc_id) u USING (doc_id)""")
 def flow_summary(c: Corpus) -> DataFrame:
+    c.keep_proposals()
     rows = analytics.flow_summary(c.patches, c.usage)
     return rows.withColumn("total_cost_usd", F.col("total_cost_usd").cast("double"))
 
@@ -1051,6 +1067,7 @@ def audit_by_paragraph(c: Corpus) -> DataFrame:
     FULL JOIN (SELECT doc_id, paragraph_index, max(pass0_text) FILTER (pass_number = 1) AS pass1_text, max(total_tokens) FILTER (pass_number = 1) AS t1, max(total_tokens) FILTER (pass_number = 2) AS t2 FROM t_audit GROUP BY ALL) a
       ON a.doc_id = p.doc_id AND a.paragraph_index = p.paragraph_index""")
 def audit_diff(c: Corpus) -> DataFrame:
+    c.keep_proposals()
     rows = analytics.audit_diff(c.patches, c.audit).drop("review_status", "pass1_model", "pass2_model")
     return rows.withColumns({n: F.col(n).cast("double") for n in ("pass1_tokens", "pass2_tokens")})
 
@@ -1074,6 +1091,7 @@ def dashboard(c: Corpus) -> DataFrame:
     ON u.doc_id = p.doc_id AND u.paragraph_index = p.paragraph_index AND p.position = 0 WHERE p.patch_id IN (SELECT patch_id FROM t_decisions)""")
 def point_lookup(c: Corpus) -> DataFrame:
     """Single corrections with their cost, for all requested ids at once."""
+    c.keep_proposals()
     wanted = c.decisions.select("patch_id").distinct()
     return analytics.with_cost(c.patches.join(wanted, "patch_id", "left_semi"), c.usage).select("patch_id", "corrected_text", F.col("cost_e8").cast("double").alias("cost_e8"))
 
@@ -1083,6 +1101,7 @@ def point_lookup(c: Corpus) -> DataFrame:
     FROM (SELECT *, unnest(['A', 'B']) AS run, unnest([stripped, final_text]) AS t FROM t_proposals WHERE contains(stripped, '!!') OR contains(stripped, '###') OR contains(stripped, '$$$'))) GROUP BY category""")
 def error_catalogue(c: Corpus) -> DataFrame:
     """Known defects of the corpus against the text before (run A) and after (run B) correction."""
+    c.keep_proposals()
     s = F.col("stripped")
     wrong = F.when(F.contains(s, F.lit("!!")), "!!").when(F.contains(s, F.lit("###")), "###").when(F.contains(s, F.lit("$$$")), "$$$")
     rows = c.proposals.withColumn("wrong", wrong).filter("wrong is not null")

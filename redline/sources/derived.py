@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from redline import vocab as V
 from redline.operators import match, structure, terms, triage
+from redline.session import store
 from redline.sources import paragraphs as scan
 
 AS_OF = "2024-02-01 00:00:00"
@@ -78,6 +79,10 @@ class Corpus:
         """Decisions with the native similarity and unrounded values, as SQL engines can check them."""
         return triage.proposed(self.prepared, "jaccard", False)
 
+    def keep_proposals(self) -> None:
+        """Store the proposals once, for plans that read patches or usage in several branches."""
+        self.__dict__["proposals"] = store(self.proposals, "proposals")
+
     @cached_property
     def patches(self) -> DataFrame:
         return triage.patches(self.proposals)
