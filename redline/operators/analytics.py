@@ -264,10 +264,10 @@ def document_totals(doc_rows: DataFrame, usage: DataFrame) -> DataFrame:
 
 
 def cost_share(usage: DataFrame) -> DataFrame:
-    """Cost of each document over the highest one: the maximum is one aggregated row, not a global window."""
+    """Cost of each document over the highest one: the maximum is a scalar subquery, not a global window."""
     per_doc = usage.groupBy("doc_id").agg(F.sum("cost_e8").alias("cost_e8"))
-    top = per_doc.agg(F.max("cost_e8").alias("_top"))
-    return per_doc.crossJoin(F.broadcast(top)).select("doc_id", "cost_e8", (F.col("cost_e8") / F.col("_top")).alias("share"))
+    top = per_doc.agg(F.max("cost_e8")).scalar()
+    return per_doc.select("doc_id", "cost_e8", (F.col("cost_e8") / top).alias("share"))
 
 
 # --- audit ---------------------------------------------------------------------------------------------

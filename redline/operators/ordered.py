@@ -22,11 +22,12 @@ def block_of(index: str, size: int = BLOCK) -> Column:
 
 def with_neighbours(
     df: DataFrame, keys: list[str], index: str, compute: Callable[[WindowSpec], dict[str, Column]],
-    before: int = 0, after: int = 0, size: int = BLOCK,
+    before: int = 0, after: int = 0, size: int = BLOCK, keep_block: bool = False,
 ) -> DataFrame:
     """Window columns that look at most ``before`` rows back and ``after`` rows ahead.
 
-    ``index`` must count 0, 1, 2 … without gaps inside each key (see ``dense``).
+    ``index`` must count 0, 1, 2 … without gaps inside each key (see ``dense``). ``keep_block`` leaves the block
+    number in, so that a ``running`` over the same index and size needs no second shuffle.
     """
     offset = F.pmod(F.col(index), F.lit(size))
     homes = F.array_compact(F.array(
@@ -37,7 +38,7 @@ def with_neighbours(
     spread = df.withColumn("_home", block_of(index, size)).withColumn("_blk", F.explode(homes))
     window = Window.partitionBy(*keys, "_blk").orderBy(index)
     out = spread.select("*", *[c.alias(name) for name, c in compute(window).items()])
-    return out.filter("_home = _blk").drop("_home", "_blk")
+    return out.filter("_home = _blk").drop("_home" if keep_block else "_blk", "_home")
 
 
 def running(
@@ -46,7 +47,7 @@ def running(
 ) -> DataFrame:
     """Inclusive running sums ``sums`` in order of ``index``, and whole-key sums ``totals``."""
     totals = totals or {}
-    rows = df.withColumn("_blk", block_of(index, size))
+    rows = df if "_blk" in df.columns else df.withColumn("_blk", block_of(index, size))
     part = rows.groupBy(*keys, "_blk").agg(
         *[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()],
         *[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()],

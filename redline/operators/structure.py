@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from redline.functions.text import ends_abruptly, is_heading, strip, type_or_fallback
 from redline.operators.ordered import BLOCK, dense, first_k, running, with_neighbours
-from redline.session import checkpoint_dir
+from redline.session import checkpoint_dir, store
 
 KEY = ["doc_id"]
 CHUNK = 30
@@ -34,7 +34,7 @@ def with_sections(paragraphs: DataFrame, size: int = BLOCK) -> DataFrame:
     rows = paragraphs.withColumn("_opens", opens)
     rows = with_neighbours(
         rows, KEY, "paragraph_index", lambda w: {"_next": F.coalesce(F.lead("_opens").over(w), F.lit(False))},
-        after=1, size=size,
+        after=1, size=size, keep_block=True,
     )
     one = F.col("_opens").cast("int")
     rows = running(rows, KEY, "paragraph_index", {"_sec": one}, {"n_paragraphs": F.lit(1), "_heads": one}, size)
@@ -72,7 +72,7 @@ def neighbours(paragraphs: DataFrame, size: int = BLOCK) -> DataFrame:
     rows = with_neighbours(
         paragraphs, KEY, "paragraph_index",
         lambda w: {"next_type": F.lead(type_or_fallback(F.col("paragraph_type"), F.col("location"))).over(w)},
-        after=1, size=size,
+        after=1, size=size, keep_block=True,
     ).filter(F.length("stripped") >= 3)
     rows = dense(rows, KEY, "paragraph_index", "kept_index", size=size)
     prev = F.struct("stripped", "paragraph_type", F.split("location", ":")[0].alias("kind"))
@@ -148,21 +148,18 @@ def batch_boundaries(sectioned: DataFrame, target: int) -> DataFrame:
     are found by doubling the jumps, so a long document needs log2(batches) joins, not one sequential pass.
     """
     checkpoint_dir(sectioned.sparkSession)
-    sections = section_table(sectioned).select("doc_id", "start_paragraph", "end_paragraph")
-    ends = sectioned.select("doc_id", "paragraph_index", "section_index", "n_paragraphs").join(
-        section_table(sectioned).select("doc_id", "section_index", "end_paragraph"), ["doc_id", "section_index"]
-    ).select("doc_id", F.col("paragraph_index").alias("_at"), F.col("end_paragraph").alias("_end"), "n_paragraphs")
-    starts = sections.select("doc_id", F.col("start_paragraph").alias("start"))
-    last = ends.filter(F.col("_at") == F.col("n_paragraphs") - 1).select("doc_id", "n_paragraphs")
-    probes = starts.join(last, "doc_id").select(
-        "doc_id", "start", "n_paragraphs",
-        F.least(F.col("start") + target - 1, F.col("n_paragraphs") - 1).alias("_at"),
+    narrow = store(sectioned.select("doc_id", "paragraph_index", "section_index", "n_paragraphs"), "sectioned")
+    spans = narrow.groupBy("doc_id", "section_index").agg(
+        F.min("paragraph_index").alias("start"), F.max("paragraph_index").alias("_end"), F.max("n_paragraphs").alias("n")
     )
-    jumps = probes.join(ends.drop("n_paragraphs"), ["doc_id", "_at"]).select(
-        "doc_id", "start", F.col("_end").alias("end"),
-        F.when(F.col("_end") < F.col("n_paragraphs") - 1, F.col("_end") + 1).alias("next"),
+    ends = narrow.select("doc_id", "section_index", F.col("paragraph_index").alias("_at")).join(
+        spans.select("doc_id", "section_index", "_end"), ["doc_id", "section_index"]
+    ).drop("section_index")
+    probes = spans.select("doc_id", "start", "n", F.least(F.col("start") + target - 1, F.col("n") - 1).alias("_at"))
+    jumps = probes.join(ends, ["doc_id", "_at"]).select(
+        "doc_id", "start", F.col("_end").alias("end"), F.when(F.col("_end") < F.col("n") - 1, F.col("_end") + 1).alias("next"),
     ).checkpoint()
-    longest = sectioned.agg(F.max("n_paragraphs")).first()[0] or 1
+    longest = narrow.agg(F.max("n_paragraphs")).first()[0] or 1
     rounds = max(1, (int(longest) // max(target, 1) + 1).bit_length())
     reached = jumps.filter("start = 0").select("doc_id", F.col("start").alias("at"))
     step = jumps.select("doc_id", "start", "next").filter("next is not null")

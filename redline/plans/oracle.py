@@ -314,7 +314,7 @@ TABLES: dict[str, str] = {
             FROM (SELECT *, lower(CASE WHEN contains(chunk, chr(2)) THEN split_part(chunk, chr(2), 1) ELSE '' END) AS tag,
                 CASE WHEN contains(chunk, chr(2)) THEN substr(chunk, instr(chunk, chr(2)) + 1) ELSE chunk END AS body FROM t_html))""",
     "t_cells": """SELECT nation AS doc_id, r, c, v[c + 1] AS text, 'table:0:' || r || ':' || c || ':0' AS location FROM (
-        SELECT *, unnest([0, 1, 2]) AS c FROM (
+        SELECT *, unnest([0, 1, 2]::BIGINT[]) AS c FROM (
             SELECT DISTINCT c_nationkey::BIGINT AS nation, 0::BIGINT AS r, ['name', 'segment', 'key'] AS v FROM customer
             UNION ALL SELECT c_nationkey::BIGINT, c_custkey + 1, [c_name, c_mktsegment, c_custkey::VARCHAR] FROM customer))""",
 }
@@ -323,7 +323,7 @@ RECURSIVE: dict[str, str] = {
         UNION ALL
         SELECT w.doc_id, w.seq + 1, CASE WHEN len(list_filter(w.kept, lambda k: contains(k, r.term) OR contains(r.term, k))) = 0 THEN list_append(w.kept, r.term) ELSE w.kept END
         FROM t_walk w JOIN t_ranked r ON r.doc_id = w.doc_id AND r.seq = w.seq + 1""",
-    "t_cuts": """SELECT doc_id, n_paragraphs AS n, 0 AS s, (SELECT min(x.end_paragraph) FROM t_sections x WHERE x.doc_id = d.doc_id AND x.end_paragraph >= least(19, d.n_paragraphs - 1)) AS e
+    "t_cuts": """SELECT doc_id, n_paragraphs AS n, 0::BIGINT AS s, (SELECT min(x.end_paragraph) FROM t_sections x WHERE x.doc_id = d.doc_id AND x.end_paragraph >= least(19, d.n_paragraphs - 1)) AS e
         FROM (SELECT DISTINCT doc_id, n_paragraphs FROM t_lines) d
         UNION ALL
         SELECT c.doc_id, c.n, c.e + 1, (SELECT min(x.end_paragraph) FROM t_sections x WHERE x.doc_id = c.doc_id AND x.end_paragraph >= least(c.e + 20, c.n - 1))

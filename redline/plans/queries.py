@@ -875,15 +875,16 @@ def apply_modes(c: Corpus) -> DataFrame:
     return decided.select("review_status", F.explode(F.array_compact(modes)).alias("mode")).groupBy("mode", "review_status").agg(F.count("*").alias("patches"))
 
 
-@query("cascade_delete", """SELECT (SELECT count(*) FROM t_paras WHERE doc_id % 4 <> 1) AS paragraphs, (SELECT count(*) FROM t_patches WHERE doc_id % 4 <> 1) AS patches, (SELECT count(*) FROM t_usage WHERE doc_id % 4 <> 1) AS usage""")
+@query("cascade_delete", """SELECT 'paragraphs' AS table_name, count(*) AS kept FROM t_paras WHERE doc_id % 4 <> 1 UNION ALL SELECT 'patches', count(*) FROM t_patches WHERE doc_id % 4 <> 1
+    UNION ALL SELECT 'usage', count(*) FROM t_usage WHERE doc_id % 4 <> 1""")
 def cascade_delete(c: Corpus) -> DataFrame:
     c.keep_proposals()
     gone = c.documents.filter("doc_id % 4 = 1")
     counts = [
-        review.delete_documents(t.select("doc_id"), gone).agg(F.count("*").alias(n))
+        review.delete_documents(t.select("doc_id"), gone).agg(F.lit(n).alias("table_name"), F.count("*").alias("kept"))
         for n, t in (("paragraphs", c.paragraphs), ("patches", c.patches), ("usage", c.usage))
     ]
-    return counts[0].crossJoin(counts[1]).crossJoin(counts[2])
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 @query("merge_patches", """SELECT coalesce(p.doc_id, n.doc_id) AS doc_id, coalesce(p.paragraph_index, n.paragraph_index) AS paragraph_index, CASE WHEN n.doc_id IS NULL THEN p.corrected_text ELSE n.new END AS corrected_text,

@@ -102,15 +102,14 @@ class Corpus:
     @cached_property
     def decisions(self) -> DataFrame:
         """Events as review decisions on the first change of an early paragraph of some document."""
-        count = self.documents.agg(F.count("*").alias("_n"))
-        doc = F.col("event_id") % F.col("_n")
+        doc = F.col("event_id") % self.table("documents").agg(F.count("*")).scalar()
         action = (
             F.when(F.col("event_type") == "click", "accepted").when(F.col("event_type") == "error", "rejected")
             .when(F.col("event_type") == "purchase", "edit").when(F.col("event_type") == "signup", "recorrect").otherwise("note")
         )
-        return self.events.crossJoin(F.broadcast(count)).select(
-            "event_id", "ts", doc.alias("doc_id"),
-            F.concat_ws("-", doc, F.col("user_id") % 5, F.lit(0)).alias("patch_id"), action.alias("action"), "user_id",
+        return self.events.withColumn("doc_id", doc).select(
+            "event_id", "ts", "doc_id",
+            F.concat_ws("-", "doc_id", F.col("user_id") % 5, F.lit(0)).alias("patch_id"), action.alias("action"), "user_id",
         )
 
     @cached_property
