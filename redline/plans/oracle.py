@@ -245,7 +245,7 @@ TABLES: dict[str, str] = {
         CASE WHEN pass_number = 2 THEN 'audit_pass2' ELSE 'correction_' || route END AS call_type, stripped AS original_text, pass0_text, final_text
         FROM (SELECT *, (200 + floor(length(pass0_text) / 4.0))::BIGINT AS prompt_tokens, (50 + floor(length(pass0_text) / 4.0))::BIGINT AS completion_tokens,
             unnest(CASE WHEN route = 'editorial' OR coalesce(rewrite_ratio > {V.PASS2_REWRITE}::DOUBLE, false)
-              OR (intervention_level IN {in_list(V.PASS2_LEVELS)} AND changed) THEN [1, 2] ELSE [1] END) AS pass_number
+              OR (intervention_level IN {in_list(V.PASS2_LEVELS)} AND changed) THEN [1, 2]::BIGINT[] ELSE [1]::BIGINT[] END) AS pass_number
             FROM t_proposals WHERE route <> 'skip')""",
     "t_audit": """SELECT *, CASE WHEN pass_number = 2 THEN 'contextual_audit' ELSE 'mechanical_correction' END AS call_purpose,
         CASE WHEN (doc_id + paragraph_index) % 37 = 0 THEN 'timeout' END AS error_text,

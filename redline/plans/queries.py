@@ -292,7 +292,7 @@ def touched_regions(c: Corpus) -> DataFrame:
 _TOKEN = r"[0-9]+(?:[.][0-9]+)+"
 
 
-@query("number_spans", f"""SELECT doc_id, paragraph_index, k, hit AS text, start_at, start_at + length(hit) AS end_at FROM (
+@query("number_spans", f"""SELECT doc_id, paragraph_index, k, hit AS text, start_at::BIGINT AS start_at, (start_at + length(hit))::BIGINT AS end_at FROM (
     SELECT doc_id, paragraph_index, k, found[k] AS hit, list_sum(list_transform(pieces[1:k], lambda p: length(p))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda f: length(f))), 0) AS start_at
     FROM (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM (SELECT doc_id, paragraph_index, regexp_extract_all(text, {O.q(_TOKEN)}) AS found, string_split_regex(text, {O.q(_TOKEN)}) AS pieces FROM t_paras)))""")
 def number_spans(c: Corpus) -> DataFrame:
@@ -318,7 +318,7 @@ def revert_regions(c: Corpus) -> DataFrame:
     return rows.select(*KEY, "text", F.size("log").alias("reverted"), protect.net_changes(F.col("ops"), F.col("log")).alias("net_changes"))
 
 
-@query("apply_edits")
+@query("apply_edits", "SELECT doc_id, paragraph_index, regexp_replace(text, '[0-9]+', '<\\0>', 'g') AS text FROM t_paras WHERE regexp_matches(text, '[0-9]')")
 def apply_edits(c: Corpus) -> DataFrame:
     """Edit operations built from every number in a paragraph, applied from the right."""
     found = protect.spans(F.col("text"), F.lit("[0-9]+"), "number")
@@ -466,7 +466,7 @@ def pass2_candidates(c: Corpus) -> DataFrame:
     return p.filter(routing.second_pass(F.col("route"), F.col("rewrite_ratio"), F.col("intervention_level"), F.col("changed"))).select(*KEY, "route")
 
 
-@query("model_budget", """SELECT route, count(*) AS paragraphs, coalesce(max(CASE route WHEN 'editorial' THEN 4000 WHEN 'cheap' THEN 2000 END), 0) AS max_tokens FROM t_routed GROUP BY route""")
+@query("model_budget", """SELECT route, count(*) AS paragraphs, coalesce(max(CASE route WHEN 'editorial' THEN 4000 WHEN 'cheap' THEN 2000 END), 0)::BIGINT AS max_tokens FROM t_routed GROUP BY route""")
 def model_budget(c: Corpus) -> DataFrame:
     return c.prepared.groupBy("route").agg(F.count("*").alias("paragraphs"), F.coalesce(F.max(routing.token_budget(F.col("route"))), F.lit(0)).alias("max_tokens"))
 
@@ -574,11 +574,12 @@ def turn_positions(c: Corpus) -> DataFrame:
 
 
 @query("prev_next_context", f"""SELECT k.doc_id, k.paragraph_index, k.next_type, lag(k.stripped) OVER w AS prev_text, lag(k.paragraph_type) OVER w AS prev_type,
-    NOT contains({O.q(V.SENTENCE_CLOSERS)}, right(lag(k.stripped) OVER w, 1)) AS prev_abrupt
+    coalesce(NOT contains({O.q(V.SENTENCE_CLOSERS)}, right(lag(k.stripped) OVER w, 1)), false) AS prev_abrupt
     FROM (SELECT * FROM (SELECT *, lead(paragraph_type) OVER (PARTITION BY doc_id ORDER BY paragraph_index) AS next_type FROM t_typed) WHERE length(stripped) >= 3) k
     WINDOW w AS (PARTITION BY k.doc_id ORDER BY k.paragraph_index)""")
 def prev_next_context(c: Corpus) -> DataFrame:
-    return structure.neighbours(c.typed).select(*KEY, "next_type", "prev_text", "prev_type", "prev_abrupt")
+    return structure.neighbours(c.typed).select(
+        *KEY, "next_type", "prev_text", "prev_type", F.coalesce("prev_abrupt", F.lit(False)).alias("prev_abrupt"))
 
 
 @query("rolling_context", """SELECT doc_id, paragraph_index, coalesce(array_to_string(list(stripped) OVER (PARTITION BY doc_id ORDER BY paragraph_index ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '|'), '') AS context
@@ -652,7 +653,7 @@ def page_estimate(c: Corpus) -> DataFrame:
     return c.paragraphs.select(*KEY, structure.page_estimate(F.col("paragraph_index"), n, match.page_count(n)).alias("page_no"))
 
 
-@query("table_context", """SELECT doc_id, location, text, r AS row_no, c AS col_index, 3 AS num_cols, (['name', 'segment', 'key'])[c + 1] AS col_header FROM t_cells""")
+@query("table_context", """SELECT doc_id, location, text, r AS row_no, c AS col_index, 3::BIGINT AS num_cols, (['name', 'segment', 'key'])[c + 1] AS col_header FROM t_cells""")
 def table_context(c: Corpus) -> DataFrame:
     return structure.table_context(c.cells).select("doc_id", "location", "text", "row_no", "col_index", "num_cols", "col_header")
 
@@ -1075,11 +1076,11 @@ def audit_diff(c: Corpus) -> DataFrame:
 
 @query("progress_eta", """SELECT s.doc_id, s.status, CASE WHEN s.status = 'completed' THEN 1.0::DOUBLE WHEN s.status IN ('pending_review', 'candidate_ready') THEN 0.85::DOUBLE
         WHEN s.status IN ('uploaded', 'failed') THEN 0.0::DOUBLE ELSE g.stage_start + (g.stage_end - g.stage_start) * least(s.stage_current::DOUBLE / s.stage_total::DOUBLE, 1.0::DOUBLE) END AS progress,
-    CASE WHEN NOT idle THEN g.stage_label END AS stage_label, CASE WHEN NOT idle THEN stalled END AS is_stalled,
+    CASE WHEN NOT idle THEN g.stage_label END AS stage_label, coalesce(CASE WHEN NOT idle THEN stalled END, false) AS is_stalled,
     CASE WHEN NOT idle AND s.stage_current > 0 AND NOT stalled THEN (s.stage_total - s.stage_current)::DOUBLE / (s.stage_current::DOUBLE / elapsed::DOUBLE) END AS eta_seconds
     FROM (SELECT *, status IN ('uploaded', 'completed', 'pending_review', 'candidate_ready') AS idle, doc_id % 300 > 120 AS stalled, doc_id % 3600 + 60 AS elapsed FROM t_status) s LEFT JOIN t_stages g USING (status)""")
 def progress_eta(c: Corpus) -> DataFrame:
-    return analytics.progress(c.doc_status)
+    return analytics.progress(c.doc_status).withColumn("is_stalled", F.coalesce("is_stalled", F.lit(False)))
 
 
 @query("dashboard", """SELECT count(*) AS documents, count(*) FILTER (status NOT IN ('uploaded', 'completed', 'failed', 'pending_review', 'candidate_ready')) AS processing,
