@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redline.functions.text import tokens
+from redline.functions.text import let, tokens
 
 EDIT = "struct<offset:int,length:int,original:string,replacement:string,rule_id:string,category:string,message:string>"
 OPCODES = T.ArrayType(T.StructType(
@@ -102,9 +102,13 @@ def token_set(text: Column) -> Column:
 
 def set_jaccard(left: Column, right: Column) -> Column:
     """Share of two word sets in common; 1 when both are empty."""
-    common = F.size(F.array_intersect(left, right))
-    union = F.size(left) + F.size(right) - common
-    return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
+
+    def ratio(s: Column) -> Column:
+        return let(F.size(F.array_intersect(s["a"], s["b"])), lambda common: F.when(
+            F.size(s["a"]) + F.size(s["b"]) == 0, F.lit(1.0)
+        ).otherwise(common / (F.size(s["a"]) + F.size(s["b"]) - common)))
+
+    return let(F.struct(left.alias("a"), right.alias("b")), ratio)
 
 
 def token_jaccard(left: Column, right: Column) -> Column:

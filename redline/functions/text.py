@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def one_of(column: Column, pairs: list[tuple[str, str]]) -> Column:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, V.STRIP, "")
 
@@ -98,10 +105,17 @@ def syllable_count(text: Column) -> Column:
 
 def readability(text: Column, digits: int | None = 2) -> Column:
     """206.84 - 60 * syllables/words - 1.02 * words/sentences; 0 for texts under ten characters."""
-    words = F.regexp_count(text, F.lit(V.WORD))
-    score = F.lit(206.84) - F.lit(60) * (syllable_count(text) / words) - F.lit(1.02) * (words / sentence_count(text))
-    score = score if digits is None else F.round(score, digits)
-    return F.when((F.length(strip(text)) < 10) | (words == 0), F.lit(0.0)).otherwise(score)
+    parts = F.struct(
+        F.regexp_count(text, F.lit(V.WORD)).alias("words"), syllable_count(text).alias("syllables"),
+        sentence_count(text).alias("sentences"),
+    )
+
+    def formula(p: Column) -> Column:
+        score = F.lit(206.84) - F.lit(60) * (p["syllables"] / p["words"]) - F.lit(1.02) * (p["words"] / p["sentences"])
+        score = score if digits is None else F.round(score, digits)
+        return F.when(p["words"] == 0, F.lit(0.0)).otherwise(score)
+
+    return F.when(F.length(strip(text)) < 10, F.lit(0.0)).otherwise(let(parts, formula))
 
 
 def readability_band(score: Column) -> Column:

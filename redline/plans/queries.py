@@ -942,6 +942,7 @@ def block_match_exact(c: Corpus) -> DataFrame:
         FROM t_page_texts g, (VALUES (0, 150), (1, 70), (2, 35)) k(rank, size) WHERE g.doc_id = c.doc_id AND contains(g.page_text, left(c.corrected_text, k.size))) AS hit
     FROM x_changes c WHERE length(c.corrected_text) >= 4)""")
 def locate_on_page(c: Corpus) -> DataFrame:
+    c.keep_proposals()
     rows = match.locate_on_pages(c.patches.filter("position = 0"), match.page_texts(c.blocks))
     place = [F.col(n).cast("double").alias(n) for n in ("page_no", "matched_length", "at")]
     return rows.select(*KEY, "est_page", *place, F.coalesce("is_near", F.lit(False)).alias("is_near"))
