@@ -123,6 +123,38 @@ def context_upsert(c: Corpus) -> DataFrame:
     return files.upsert(old, new)
 
 
+@query("layout_flatten", """SELECT doc_id, page_no, block_no, block_text, 'Serif' AS font, (10 + block_no % 3)::DOUBLE AS font_size, block_no::DOUBLE AS y0 FROM t_blocks WHERE block_no % 7 <> 6""")
+def layout_flatten(c: Corpus) -> DataFrame:
+    """Blocks as layout JSON per page (every seventh an image), flattened to text blocks with their first font."""
+    n = F.col("block_no")
+    zero = F.lit(0).cast("double")
+    span = F.struct(F.col("block_text").alias("text"), F.lit("Serif").alias("font"), (10 + n % 3).cast("double").alias("size"))
+    block = F.struct(
+        n.alias("block_no"), F.when(n % 7 == 6, "image").otherwise("text").alias("type"), F.array(zero, n.cast("double"), zero, zero).alias("bbox"),
+        F.col("block_text").alias("text"), F.array(F.struct(F.array(span).alias("spans"))).alias("lines"),
+    )
+    pages = c.blocks.groupBy("doc_id", "page_no").agg(F.to_json(F.collect_list(block)).alias("blocks_json"))
+    return files.flatten_layout(pages).select("doc_id", "page_no", "block_no", "block_text", "font", "font_size", "y0")
+
+
+@query("json_side_table", "SELECT patch_id, corrected_text, review_status, rule_hits FROM t_patches")
+def json_side_table(c: Corpus) -> DataFrame:
+    """Patches written as JSON rows and read back with a declared schema."""
+    path = jobs.new_folder(c.spark, "side")
+    files.write_json_table(c.patches.select("patch_id", "corrected_text", "review_status", "rule_hits"), path)
+    return files.read_json_table(c.spark, path, "patch_id string, corrected_text string, review_status string, rule_hits int")
+
+
+@query("document_rewrite", """SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 2 ELSE 1 END::BIGINT AS run, count(*) AS paragraphs FROM t_lines GROUP BY ALL""")
+def document_rewrite(c: Corpus) -> DataFrame:
+    """All documents stored, then every second one processed again: its rows are replaced, not doubled."""
+    path = jobs.new_folder(c.spark, "rewrite")
+    rows = c.paragraphs.groupBy("doc_id").agg(F.count("*").alias("paragraphs"))
+    files.rewrite_documents(rows.withColumn("run", F.lit(1)), path, 16)
+    files.rewrite_documents(rows.filter("doc_id % 2 = 1").withColumn("run", F.lit(2)), path, 16)
+    return c.spark.read.parquet(path).select("doc_id", "run", "paragraphs")
+
+
 # --- projections and text functions -----------------------------------------------------------------------
 
 
@@ -1017,7 +1049,7 @@ def cost_by_document(c: Corpus) -> DataFrame:
 
 @query("cost_page", f"SELECT doc_id, total_tokens FROM ({_COST_DOC}) ORDER BY created_at DESC, doc_id LIMIT 50 OFFSET 50")
 def cost_page(c: Corpus) -> DataFrame:
-    """One page of the document list: the reference feature is paging itself."""
+    """One page of the document list: paging itself is the feature."""
     rows = cost_by_document(c)
     return analytics.paged(rows, [F.col("created_at").desc(), F.col("doc_id")], 50, 50).select("doc_id", "total_tokens")
 
