@@ -56,11 +56,15 @@ def correct_batches(pass0: DataFrame, batches: DataFrame, corrector: Corrector,
     )
     part_no = F.floor((F.col("paragraph_index") - F.col("start_paragraph")) / limit)
     rows = rows.withColumn("part", F.col("batch_index") * F.lit(1 << 20) + part_no)
-    heads = rows.groupBy("doc_id", "part").agg(F.min("paragraph_index").alias("start_paragraph")).withColumn(
-        "batch_index", F.when(F.col("start_paragraph") > 0, 1).otherwise(0)
-    )
-    seeds = batch_seeds(pass0, heads).select("doc_id", F.col("start_paragraph").alias("paragraph_index"), "seed")
-    rows = rows.filter(F.length("stripped") >= 3).join(seeds, ["doc_id", "paragraph_index"], "left")
+    usable = F.length("stripped") >= 3
+    heads = rows.groupBy("doc_id", "part").agg(
+        F.min("paragraph_index").alias("start_paragraph"), F.min(F.when(usable, F.col("paragraph_index"))).alias("first_usable")
+    ).withColumn("batch_index", F.when(F.col("start_paragraph") > 0, 1).otherwise(0))
+    # The seed of a part rides on its first usable paragraph.
+    seeds = batch_seeds(pass0, heads).select("doc_id", "start_paragraph", "seed").join(
+        heads.select("doc_id", "start_paragraph", F.col("first_usable").alias("paragraph_index")), ["doc_id", "start_paragraph"]
+    ).select("doc_id", "paragraph_index", "seed")
+    rows = rows.filter(usable).join(seeds, ["doc_id", "paragraph_index"], "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("paragraph_index")

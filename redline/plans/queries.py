@@ -15,6 +15,7 @@ from redline import vocab as V
 from redline.functions import edits, gates, protect, requests, routing, text
 from redline.operators import analytics, corrector, match, review, structure, terms, triage
 from redline.plans import oracle as O
+from redline.session import store
 from redline.sources import files, presets
 from redline.sources import paragraphs as scan
 from redline.sources.derived import Corpus
@@ -635,7 +636,8 @@ def batch_seeds(c: Corpus) -> DataFrame:
 def _pass0_all(c: Corpus) -> DataFrame:
     """First pass over all paragraphs, unusable ones included, so that positions have no gaps."""
     rows = triage.typed(triage.positioned(triage.with_profile(c.paragraphs)))
-    return triage.fence(triage.first_pass(rows), ["pass0_text", "ops"]).select(*KEY, "stripped", "pass0_text")
+    fixed = triage.fence(triage.first_pass(rows), ["pass0_text", "ops"]).select(*KEY, "stripped", "pass0_text")
+    return store(fixed, "pass0")
 
 
 @query("batch_progress", """SELECT doc_id, count(*) AS batches, count(*) FILTER (done) AS completed, count(*) FILTER (done)::DOUBLE / count(*)::DOUBLE AS share
@@ -940,7 +942,13 @@ def second_pass_merge(c: Corpus) -> DataFrame:
     return corrector.second_pass_merge(first, second).drop("original_text")
 
 
-@query("corrector_batches")
+@query("corrector_batches", f"""SELECT doc_id, batch_index * 1048576 + (paragraph_index - start_paragraph) // 2000 AS part, paragraph_index, stripped AS original_text, corrected AS corrected_text,
+    CASE WHEN rn = 1 THEN seed ELSE lag(corrected) OVER (PARTITION BY doc_id, batch_index ORDER BY paragraph_index) END AS context
+    FROM (SELECT *, CASE WHEN coalesce(prev, '') <> '' AND pass0_text <> '' AND NOT contains({O.q(V.SENTENCE_CLOSERS)}, right(prev, 1)) THEN lower(left(pass0_text, 1)) || substr(pass0_text, 2) ELSE pass0_text END AS corrected
+        FROM (SELECT *, CASE WHEN rn = 1 THEN seed ELSE lag(pass0_text) OVER (PARTITION BY doc_id, batch_index ORDER BY paragraph_index) END AS prev
+            FROM (SELECT p.doc_id, p.paragraph_index, p.stripped, p.pass0_text, b.batch_index, b.start_paragraph, row_number() OVER (PARTITION BY b.doc_id, b.batch_index ORDER BY p.paragraph_index) AS rn,
+                CASE WHEN b.batch_index > 0 THEN (SELECT nullif(arg_max(left(z.pass0_text, 200), z.paragraph_index), '') FROM t_pass0 z WHERE z.doc_id = b.doc_id AND z.paragraph_index BETWEEN b.start_paragraph - 5 AND b.start_paragraph - 1) END AS seed
+                FROM t_pass0 p JOIN t_batches b ON b.doc_id = p.doc_id AND p.paragraph_index BETWEEN b.start_paragraph AND b.end_paragraph)))""")
 def corrector_batches(c: Corpus) -> DataFrame:
     return corrector.correct_batches(_pass0_all(c), c.batches, corrector.stock_corrector)
 

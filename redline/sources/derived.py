@@ -149,7 +149,7 @@ class Corpus:
 
     @cached_property
     def batches(self) -> DataFrame:
-        return structure.batch_boundaries(self.sectioned, 20)
+        return store(structure.batch_boundaries(self.sectioned, 20), "batches")
 
     @cached_property
     def cells(self) -> DataFrame:
