@@ -1195,7 +1195,9 @@ def stream_throttle(c: Corpus) -> DataFrame:
     return jobs.run_available(jobs.throttled(updates, 86400.0), _sink(c, "throttle"))
 
 
-@query("stream_stall_alerts")
+@query("stream_stall_alerts", """SELECT user_id, make_timestamp((ms + 120000) * 1000) AS stalled_at FROM (
+    SELECT user_id, epoch_us(ts) // 1000 AS ms, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ms FROM events)
+    WHERE next_ms - ms >= 120000 OR (next_ms IS NULL AND ms + 120000 <= (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM events))""")
 def stream_stall_alerts(c: Corpus) -> DataFrame:
     c.spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     return jobs.run_available(jobs.stall_alerts(_events(c)), _sink(c, "alerts"))

@@ -78,7 +78,8 @@ def throttled(events: DataFrame, interval: float = 5.0) -> DataFrame:
 
 
 class StallTimer(StatefulProcessor):
-    """Low-latency stalls: an event-time timer set ``gap`` seconds after the latest event of the key."""
+    """Low-latency stalls: a gap between two events of a key is reported at once, and the silence after the last
+    one by an event-time timer."""
 
     def __init__(self, gap: float):
         self.gap = int(gap * 1000)
@@ -88,30 +89,34 @@ class StallTimer(StatefulProcessor):
         self.last = handle.getValueState("last", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = max(int(f["ts"].max().timestamp() * 1000) for f in rows)
-        if self.last.exists():
-            before = self.last.get()[0]
-            if latest <= before:
-                return iter(())
-            self.handle.deleteTimer(before + self.gap)
-        self.last.update((latest,))
-        self.handle.registerTimer(latest + self.gap)
-        return iter(())
+        before = self.last.get()[0] if self.last.exists() else None
+        latest, stalled = before, []
+        for at in sorted(int(v) for frame in rows for v in frame["at"]):
+            if latest is not None and at - latest >= self.gap:
+                stalled.append(latest + self.gap)
+            latest = at if latest is None else max(latest, at)
+        if latest != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.gap)
+            self.last.update((latest,))
+            self.handle.registerTimer(latest + self.gap)
+        yield pd.DataFrame({"user_id": [key[0]] * len(stalled), "at": stalled}, dtype="int64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
         self.last.clear()
-        yield pd.DataFrame({"user_id": [key[0]], "stalled_at": [pd.Timestamp(at, unit="ms")]})
+        yield pd.DataFrame({"user_id": [key[0]], "at": [at]}, dtype="int64")
 
     def close(self) -> None:
         pass
 
 
 def stall_alerts(events: DataFrame, gap_seconds: float = V.STALL_SECONDS, late: str = "10 minutes") -> DataFrame:
-    return events.withWatermark("ts", late).select("user_id", "ts").groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=StallTimer(gap_seconds), outputStructType="user_id long, stalled_at timestamp",
-        outputMode="append", timeMode="eventTime",
+    rows = events.withWatermark("ts", late).select("user_id", "ts", F.unix_millis("ts").alias("at"))
+    out = rows.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=StallTimer(gap_seconds), outputStructType="user_id long, at long", outputMode="append", timeMode="eventTime",
     )
+    return out.select("user_id", F.timestamp_millis("at").alias("stalled_at"))
 
 
 def request_rate(requests: DataFrame, limit: int = 20, late: str = "10 minutes") -> DataFrame:
