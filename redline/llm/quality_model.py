@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, label:
         at = np.flatnonzero(w)
         return pd.DataFrame({"place": np.append(at, -1).astype("int32"), "weight": np.append(w[at], intercept)})
 
-    trained = sample_features(docs, sample, bits, max_n).groupBy(F.lit(1)).applyInPandas(train, MODEL_FIELDS).toPandas()
+    trained = sample_features(docs, sample, bits, max_n).groupBy().applyInPandas(train, MODEL_FIELDS).toPandas()
     w = np.zeros(1 << bits, np.float32)
     inner = trained[trained.place >= 0]
     w[inner.place.to_numpy()] = inner.weight.to_numpy()
