@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from redline.llm import words as W
 from redline.llm.features import hashed
@@ -130,7 +131,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     kept = docs.drop("score")
     at = kept.columns.index("text")
     spread = docs.sparkSession.sparkContext.broadcast(model)
-    schema = kept.schema.add("score", "double")
+    schema = StructType(kept.schema.fields + [StructField("score", DoubleType())])
     names = schema.fieldNames()
 
     def run(batches):

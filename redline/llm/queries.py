@@ -7,13 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.llm import quality_model, repetition
+from redline.llm import html_render, quality_model, repetition, token_output, toxicity
+from redline.session import store
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary file; its folder comes with the installed package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    segments = store(token_output.encode_documents(table(spark, folder, "documents"), tokenizer_path()), "token-segments")
+    return token_output.read_documents(segments)
+
+
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_render.render_pages(table(spark, folder, "pages"))
+
+
 def op5_repetition_rules(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, folder, "documents"))
 
@@ -27,8 +44,17 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_output": op1_token_output,
+    "op2_html_text": op2_html_text,
     "op5_repetition_rules": op5_repetition_rules,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_toxicity": op7_toxicity,
 }
 SQL: dict[str, str] = {}
