@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.llm import html_render, quality_model, repetition, token_output, toxicity
+from redline.llm import html_render, phrase_automata, quality_model, repetition, token_output, toxicity
 from redline.session import store
 
 
@@ -50,11 +50,16 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model).drop("text")
 
 
+def op10_repeated_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_automata.remove_repeats(table(spark, folder, "documents")).drop("kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_html_text": op2_html_text,
     "op5_repetition_rules": op5_repetition_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_toxicity": op7_toxicity,
+    "op10_repeated_phrases": op10_repeated_phrases,
 }
 SQL: dict[str, str] = {}
