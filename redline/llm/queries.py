@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.llm import html_render, kneser_ney, phrase_automata, quality_model, repetition, token_output, toxicity
+from redline.llm import decontaminate, html_render, kneser_ney, phrase_automata, quality_model, repetition, token_output, toxicity
 from redline.session import store
 
 
@@ -50,6 +50,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model).drop("text")
 
 
+def op8_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("tie")
+
+
 def op9_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.score_documents(table(spark, folder, "documents"), train=quality_model.crc_rest(10) != 0)
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repetition_rules": op5_repetition_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_toxicity": op7_toxicity,
+    "op8_template_decontamination": op8_template_decontamination,
     "op9_lm_scores": op9_lm_scores,
     "op10_repeated_phrases": op10_repeated_phrases,
 }
