@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.llm import decontaminate, html_render, kneser_ney, phrase_automata, quality_model, repetition, token_output, toxicity
+from redline.llm import decontaminate, html_render, jaccard_join, kneser_ney, phrase_automata, quality_model, repetition, token_output, toxicity
 from redline.session import store
 
 
@@ -31,6 +31,10 @@ def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_render.render_pages(table(spark, folder, "pages"))
 
 
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, folder, "documents")).drop("f1", "f2")
+
+
 def op5_repetition_rules(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, folder, "documents"))
 
@@ -65,6 +69,7 @@ def op10_repeated_phrases(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_html_text": op2_html_text,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_repetition_rules": op5_repetition_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_toxicity": op7_toxicity,
