@@ -15,7 +15,7 @@ needs over 60 bits. Blocks are coded independently, so any block can be decoded
 
 Texts are encoded with a public tokenizer file of the tokenizers library. Its pre-tokenizer never joins text across
 the start of a single blank between two visible characters, or of a line feed there, so a text's ids are those of its
-pieces in order: each distinct piece is encoded once per task and kept in a bounded table. A text with any other white
+pieces in order: each distinct piece is encoded once per worker and kept in a bounded table. A text with any other white
 space is encoded whole.
 
 Defined results: a null or empty text gives the end id only. Null doc_ids come first, as Spark sorts them; repeated
@@ -24,6 +24,7 @@ doc_ids are documents of their own, in order of text hash. An empty table gives
 
 from __future__ import annotations
 
+import string
 import zlib
 
 import numpy as np
@@ -43,8 +44,13 @@ SEGMENTS = "part int, segment int, n_ids long, doc_ids array<bigint>, lengths ar
 U = np.uint64
 
 
+SMALL_WIDTHS = np.maximum(1, np.ceil(np.log2(np.arange(1 << 17) + 1.0))).astype(np.uint8)
+
+
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs, 1 at least."""
+    if int(ids.max()) < len(SMALL_WIDTHS):
+        return SMALL_WIDTHS[ids]
     width = np.ones(len(ids), np.uint8)
     for bits in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60):
         width[ids >> U(bits) > 0] = bits + 1
@@ -69,7 +75,10 @@ def pack(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarra
             wider = need.copy()
             wider[:-step] = np.maximum(need[:-step], need[step:]) if step < n else wider[:-step]
             need, reach = wider, reach + step
-        choice[need <= bits] = selector
+        fits = need <= bits
+        if not fits.any():
+            break  # longer runs need no less
+        choice[fits] = selector
     counts = np.zeros(16, np.int64)
     counts[list(SELECTORS)] = [c for c, _ in SELECTORS.values()]
     counts[ESCAPE] = 1
@@ -89,15 +98,21 @@ def pack(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarra
     slots = 1 + (chosen == ESCAPE)
     place = np.cumsum(slots) - slots
     words = np.zeros(int(slots.sum()), np.uint64)
-    for selector, (count, bits) in SELECTORS.items():
+    padded = np.append(ids, np.zeros(60, np.uint64))
+    room = ends[owner] - heads
+    for selector in np.unique(chosen).tolist():
+        if selector == ESCAPE:
+            continue
+        count, bits = SELECTORS[selector]
         mine = np.flatnonzero(chosen == selector)
-        if len(mine):
-            word = np.full(len(mine), U(selector) << U(60))
-            room = ends[owner[mine]] - heads[mine]
-            for j in range(count):
-                inside = j < room
-                word[inside] |= ids[heads[mine[inside]] + j] << U(j * bits)
-            words[place[mine]] = word
+        word, at, left = np.full(len(mine), U(selector) << U(60)), heads[mine], room[mine]
+        partial = bool((left < count).any())
+        for j in range(count):
+            value = padded[at + j]
+            if partial:
+                value[left <= j] = 0
+            word |= value << U(j * bits)
+        words[place[mine]] = word
     mine = np.flatnonzero(chosen == ESCAPE)
     words[place[mine]] = U(ESCAPE) << U(60)
     words[place[mine] + 1] = ids[heads[mine]]
@@ -137,6 +152,8 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK_ID
 #: White space other than the blank and the line feed, and controls that some engines count as such.
 ODD_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 
+MARKS = string.punctuation
+
 
 class PieceEncoder:
     """Whole texts to ids, as little-endian u32 bytes, with each distinct piece encoded once."""
@@ -148,11 +165,22 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.after_blank: dict[str, bytes] = {}
         self.after_line: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    @classmethod
+    def of_worker(cls, path: str) -> "PieceEncoder":
+        """One encoder for all tasks of a worker process: what it has learnt holds for any text."""
+        import tokenizers
+
+        kept = tokenizers.__dict__.setdefault("_piece_encoders", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
     @staticmethod
     def regular(text: str) -> bool:
         """Only single blanks and line feeds, each between two visible characters."""
@@ -161,15 +189,30 @@ class PieceEncoder:
         odd = ODD_SPACE[:8] if text.isascii() else ODD_SPACE
         return not any(c in text for c in odd)
 
+    def learn_words(self, table: dict[str, bytes], missing: set[str], lead: str) -> None:
+        """As learn; letters followed by marks are coded as two pieces, for the pre-tokenizer parts them there."""
+        marked, plain = [], set()
+        for p in missing:
+            word = p.rstrip(MARKS)
+            if word is not p and len(word) < len(p) and word.isalpha():
+                marked.append((p, word, p[len(word) :]))
+                plain.add(word)
+            else:
+                plain.add(p)
+        self.learn(table, plain.difference(table), lead)
+        self.learn(self.marks, {m for _, _, m in marked}.difference(self.marks), "")
+        for p, word, mark in marked:
+            table[p] = table[word] + self.marks[mark]
+
     def learn(self, table: dict[str, bytes], missing: set[str], lead: str) -> None:
         """Encode pieces many at a time: joined by line feeds, which always are one id of their own."""
         pieces = sorted(missing)
         for i in range(0, len(pieces), 4096):
             some = pieces[i : i + 4096]
-            ids = np.array(self.tokenizer.encode("\n".join(lead + p for p in some), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(ids == self.line)
-            for p, a, b in zip(some, np.append(0, cut + 1), np.append(cut, len(ids))):
-                table[p] = ids[a:b].tobytes()
+            (coded,) = self.tokenizer.encode_batch_fast(["\n".join([lead + p for p in some])], add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4")
+            cut, raw = np.flatnonzero(ids == self.line) * 4, ids.tobytes()
+            table.update(zip(some, [raw[a:b] for a, b in zip([0] + (cut + 4).tolist(), cut.tolist() + [len(raw)])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
@@ -182,8 +225,8 @@ class PieceEncoder:
             for words in lines or ():
                 line_start.add(words[0])
                 blank.update(words[1:])
-        self.learn(self.after_blank, blank.difference(self.after_blank), " ")
-        self.learn(self.after_line, line_start.difference(self.after_line), "")
+        self.learn_words(self.after_blank, blank.difference(self.after_blank), " ")
+        self.learn_words(self.after_line, line_start.difference(self.after_line), "")
         feed, out = np.array([self.line], "<u4").tobytes(), []
         for text, lines in zip(texts, cut):
             if lines is None:
@@ -202,7 +245,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, part
     ordered = some.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches):
-        encoder, part, segment = PieceEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, part, segment = PieceEncoder.of_worker(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         ids, texts, size = [], [], 0
 
