@@ -1,8 +1,59 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread."""
+"""The corpus pipeline: documents to token files, in five stages. Each stage's result is written as Parquet and read again
+as the documents of the next."""
 
-STAGES = []
-ORACLE_SQL = None
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from redline.llm import decontaminate, jaccard_join, quality_model, source_mixing, token_output
+from redline.llm.queries import MIX_TARGETS, language_labels, table, tokenizer_path
+from redline.session import store
+
+#: Near-duplicates: word shingles of this length, sharing this percentage of their union or more.
+SHINGLE, PERCENT = 5, 80
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among docs, doesn't reject (score 1/2 or more)."""
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
+    named = docs.columns
+    kept = quality_model.score(docs.withColumnRenamed("score", "_own_score"), model).where("score >= 0.5").drop("score")
+    return kept.withColumnRenamed("_own_score", "score").select(named)
+
+
+def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies."""
+    return jaccard_join.one_of_each(docs, shingle=SHINGLE, percent=PERCENT)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated as the fitted rates say."""
+    return source_mixing.mixed(docs, language_labels(docs, table(spark, sf_dir, "labels")), MIX_TARGETS)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in the shared folder; what comes back are the documents as read from them."""
+    return token_output.read_documents(store(token_output.encode_documents(docs, tokenizer_path()), "token-segments"))
+
+
+STAGES = [
+    ("quality_classifier", good_quality),
+    ("jaccard_join", first_of_near_copies),
+    ("decontamination", without_benchmark),
+    ("source_mixing", mixed_to_targets),
+    ("token_output", token_files),
+]
+ORACLE_SQL = None  # trained models, tokenizer: SQL can't express them; tests hold run() against a brute-force version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

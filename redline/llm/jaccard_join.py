@@ -37,7 +37,7 @@ SHINGLE = 4
 PERCENT = 85
 GROUP = 64
 QUERIES_EACH = 512
-SETS = "doc_id long, n long, f1 long, f2 long, text string"
+SETS = "doc_id long, tie long, n long, f1 long, f2 long, text string"
 SURVIVORS = "cls long, n long, recurring long, tokens binary, prefix array<bigint>"
 
 
@@ -75,27 +75,27 @@ def fingerprints(shingles: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def fingerprinted(docs: DataFrame, shingle: int, with_text: bool) -> DataFrame:
-    """doc_id, n, f1, f2 of each document; with_text: only rows with shingles, and of equal sets only the first that a
+    """doc_id, tie (hash of the text), n, f1, f2 of each document; with_text: only rows with shingles, and of equal sets only the first that a
     task meets, with its text."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            shingles, cuts = shingle_sets(batch.column(1), shingle)
+            shingles, cuts = shingle_sets(batch.column(2), shingle)
             f1, f2 = fingerprints(shingles, cuts)
             n = np.diff(cuts).astype(np.int64)
-            columns = [batch.column(0), pa.array(n), pa.array(f1), pa.array(f2)]
+            columns = [batch.column(0), batch.column(1), pa.array(n), pa.array(f1), pa.array(f2)]
             if with_text:
                 keep = []
                 for i, pair in enumerate(zip(f1.tolist(), f2.tolist())):
                     if n[i] and pair not in seen:
                         seen.add(pair)
                         keep.append(i)
-                yield pa.RecordBatch.from_arrays(columns + [batch.column(1)], names=["doc_id", "n", "f1", "f2", "text"]).take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns + [batch.column(2)], names=["doc_id", "tie", "n", "f1", "f2", "text"]).take(pa.array(keep, pa.int64()))
             else:
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "n", "f1", "f2"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     return some.mapInArrow(run, SETS if with_text else SETS.removesuffix(", text string"))
 
 
@@ -238,8 +238,9 @@ def matrix_links(kept: DataFrame, comps: DataFrame, percent: int, group: int) ->
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, group: int = GROUP, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the component) and f1, f2 (the set's fingerprint) of each
-    document. percent is a whole number of hundredths, 1 to 100."""
+    """doc_id, n_shingles, component_id (smallest doc_id of the component), and, to tell rows and components apart where
+    ids don't, tie (hash of the text) and comp (null without words), of each document. percent is a whole number, 1 to
+    100: the share of the union, in hundredths, that linked sets have in common."""
     sets = store(fingerprinted(docs, shingle, False), "shingle-sets")
     kept = store(survivors(docs, shingle, percent, block_bytes), "shingle-survivors")
     nodes = kept.select("cls")
@@ -250,13 +251,22 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     full = sets.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("first_id"))
     full = full.join(comps.select(F.col("cls").alias("f1"), "comp"), "f1", "left").withColumn("comp", F.coalesce("comp", "f1"))
     least = full.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = full.join(least, "comp").select("f1", "f2", "component_id")
+    named = full.join(least, "comp").select("f1", "f2", "comp", "component_id")
     out = sets.join(named, ["f1", "f2"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "f1", "f2")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "tie", "comp")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The documents, with all their columns, that are the first of their component: the smallest doc_id (of equal ids
-    or none, the smallest text hash, then one row). Documents without words stay."""
-    raise NotImplementedError
+    """The documents, with all their columns, that come first in their component: by doc_id (null last), then by hash of
+    the text, and of equal rows one. Documents without words all stay."""
+    named = jaccard_components(docs, **how)
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
+    first = named.where("comp is not null").groupBy("comp").agg(F.min(rank).alias("r")).select(F.col("r.doc_id").alias("_first_id"), F.col("r.tie").alias("_first_tie"))
+    first = first.distinct()
+    tie = F.xxhash64("text")
+    worded = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("_tie", tie)
+    match = worded["doc_id"].cast("long").eqNullSafe(F.col("_first_id")) & (F.col("_tie") == F.col("_first_tie"))
+    winners = worded.join(first, match, "left_semi").dropDuplicates(["doc_id", "_tie"]).drop("_tie")
+    empty = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return winners.unionByName(empty)

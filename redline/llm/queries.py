@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.llm import decontaminate, html_render, jaccard_join, kneser_ney, phrase_automata, quality_model, repetition, token_output, toxicity
+from redline.llm import decontaminate, html_render, jaccard_join, kneser_ney, phrase_automata, quality_model, repetition, source_mixing, token_output, toxicity
 from redline.session import store
 
 
@@ -32,7 +32,23 @@ def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, folder, "documents")).drop("f1", "f2")
+    return jaccard_join.jaccard_components(table(spark, folder, "documents")).drop("tie", "comp")
+
+
+#: Language weights that the mixture should have, in words.
+MIX_TARGETS = {"en": 0.52, "de": 0.17, "fr": 0.17, "es": 0.14}
+
+
+def language_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and domain of the labelled documents: their language."""
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    rated = source_mixing.rates(docs, language_labels(docs, table(spark, folder, "labels")), MIX_TARGETS)
+    each = [F.col("p")[k].alias(f"p_{name}") for k, name in enumerate(MIX_TARGETS)]
+    return rated.select("doc_id", "n_words", *each, "rate", source_mixing.copies(F.col("rate"), F.col("doc_id")).cast("long").alias("copies"))
 
 
 def op5_repetition_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_html_text": op2_html_text,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_source_mixing": op4_source_mixing,
     "op5_repetition_rules": op5_repetition_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_toxicity": op7_toxicity,
