@@ -41,6 +41,7 @@ CLOSES = {  # a starting tag ends these open elements, looking up to the barrier
 }
 HEAD_ONLY = set("head title meta link base style script template noscript".split())
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+UNFINISHED = re.compile(r"<[A-Za-z/!?]")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -296,6 +297,8 @@ def page_text(html: str | None) -> str:
         return ""
     builder = TreeBuilder()
     builder.feed(html)
+    if UNFINISHED.match(builder.rawdata):
+        builder.rawdata = ""
     builder.close()
     out = Lines()
     render(builder.root, out, False)

@@ -41,6 +41,7 @@ START, END = W.U(0x1F83D9ABFB41BD6B), W.U(0x5BE0CD19137E2179)
 PAIR = W._random(2, 21)
 OWNED = np.uint32(1 << 31)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+ARROW = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 REPLIES = "block int, kind int, shard int, answer binary"
 WORD = np.dtype([("count", "<u4"), ("follows", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
 SUMS = np.dtype([("count", "<u8"), ("follows", "<u8"), ("n1", "<u8"), ("n2", "<u8"), ("n3", "<u8")])
@@ -210,6 +211,8 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = X.BLOCK_B
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["answer"])
 
     def score(key, table, replies):
+        if not table.num_rows:  # the totals go to blocks without documents too
+            return pa.table({name: pa.array([], kind) for name, kind in ARROW.items()})
         t = BlockTokens(table)
         total = dict(zip(TOTALS, np.frombuffer(_of_kind(replies, 2).column("answer")[0].as_py(), "<f8").tolist()))
         pair = (X.answered(_of_kind(replies, 0), t.pairs, shards, "<u4") & ~OWNED).astype(np.int64)
