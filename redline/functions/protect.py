@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from redline import vocab as V
+from redline.functions.text import strip
 
 REGIONS = "array<struct<start:int,end:int,reason:string,text:string>>"
 REVERTED = "array<struct<region_start:int,region_end:int,reason:string,had:string,restored:string>>"
@@ -36,8 +37,8 @@ def spans(text: Column, pattern: Column, reason: str) -> Column:
 
 
 def term_spans(text: Column, terms: Column, reason: str) -> Column:
-    """Literal terms, any case."""
-    present = F.filter(terms, lambda t: (t != "") & F.contains(F.lower(text), F.lower(t)))
+    """Literal terms, any case, without the white space around them."""
+    present = F.filter(F.transform(terms, strip), lambda t: (t != "") & F.contains(F.lower(text), F.lower(t)))
 
     def quoted(term: Column) -> Column:
         return F.concat(F.lit(r"(?iu)\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))

@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from redline import vocab as V
-from redline.functions.text import subordinate_count
+from redline.functions.text import strip, subordinate_count
 
 
-def route(stripped: Column, paragraph_type: Column, hits: Column, level: Column, transition: Column, position: Column) -> Column:
-    """struct(route, reason); the order of the rules is the priority."""
+def route(text: Column, paragraph_type: Column, hits: Column, level: Column, transition: Column, position: Column) -> Column:
+    """struct(route, reason); the order of the rules is the priority. Lengths and clauses are those of the stripped text."""
+    stripped = strip(text)
     size = F.length(stripped)
     level = F.coalesce(level, F.lit("moderada"))
 

@@ -15,7 +15,7 @@ from redline.operators.structure import batch_seeds
 
 # (text, previous corrected text or None) -> corrected text
 Corrector = Callable[[str, "str | None"], str]
-RESULT = "doc_id long, part long, paragraph_index int, original_text string, corrected_text string, context string"
+RESULT = "doc_id long, batch_index int, paragraph_index int, original_text string, corrected_text string, context string"
 
 
 def first_pass_all(paragraphs: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -45,43 +45,45 @@ def assign_batches(paragraphs: DataFrame, batches: DataFrame) -> DataFrame:
     return rows.withColumn("batch_index", (F.col("batch_index") - 1).cast("int")).drop("_start")
 
 
-def correct_batches(pass0: DataFrame, batches: DataFrame, corrector: Corrector, limit: int = 2000) -> DataFrame:
+def correct_batches(pass0: DataFrame, batches: DataFrame, corrector: Corrector) -> DataFrame:
     """Run a corrector over each batch in order, giving it the text it corrected just before.
 
-    Batches end at section ends, so a single long section would make a long batch: batches are cut again every
-    ``limit`` paragraphs. Each part starts from a seed, the rule-corrected text before it, as batches do.
+    A batch is sequential by nature and may be as long as its longest section, so rows are sorted by batch and place and
+    stream through the task: only the previous text is held, whatever the batch's length.
     """
     rows = assign_batches(pass0, batches).join(
         batches.select("doc_id", "batch_index", "start_paragraph"), ["doc_id", "batch_index"]
     )
-    part_no = F.floor((F.col("paragraph_index") - F.col("start_paragraph")) / limit)
-    rows = rows.withColumn("part", F.col("batch_index") * F.lit(1 << 20) + part_no)
     usable = F.length("stripped") >= 3
-    heads = rows.groupBy("doc_id", "part").agg(
+    heads = rows.groupBy("doc_id", "batch_index").agg(
         F.min("paragraph_index").alias("start_paragraph"), F.min(F.when(usable, F.col("paragraph_index"))).alias("first_usable")
-    ).withColumn("batch_index", F.when(F.col("start_paragraph") > 0, 1).otherwise(0))
-    # The seed of a part rides on its first usable paragraph.
+    )
+    # The seed of a batch rides on its first usable paragraph.
     seeds = batch_seeds(pass0, heads).select("doc_id", "start_paragraph", "seed").join(
         heads.select("doc_id", "start_paragraph", F.col("first_usable").alias("paragraph_index")), ["doc_id", "start_paragraph"]
     ).select("doc_id", "paragraph_index", "seed")
     rows = rows.filter(usable).join(seeds, ["doc_id", "paragraph_index"], "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("paragraph_index")
-        seeded = pdf["seed"].dropna()
-        previous = seeded.iloc[0] if len(seeded) else None
-        out, contexts = [], []
-        for text in pdf["pass0_text"]:
-            contexts.append(previous)
-            previous = corrector(text, previous)
-            out.append(previous)
-        return pd.DataFrame({
-            "doc_id": pdf["doc_id"], "part": pdf["part"], "paragraph_index": pdf["paragraph_index"],
-            "original_text": pdf["stripped"], "corrected_text": out, "context": contexts,
-        })
-
-    narrow = rows.select("doc_id", "part", "paragraph_index", "stripped", "pass0_text", "seed")
-    return narrow.groupBy("doc_id", "part").applyInPandas(run, RESULT)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch = previous = None
+        for pdf in parts:
+            out, contexts = [], []
+            for doc_id, index, text, seed in zip(pdf["doc_id"], pdf["batch_index"], pdf["pass0_text"], pdf["seed"]):
+                if (doc_id, index) != batch:
+                    batch, previous = (doc_id, index), None
+                if isinstance(seed, str):
+                    previous = seed
+                contexts.append(previous)
+                previous = corrector(text, previous)
+                out.append(previous)
+            yield pd.DataFrame({
+                "doc_id": pdf["doc_id"], "batch_index": pdf["batch_index"], "paragraph_index": pdf["paragraph_index"],
+                "original_text": pdf["stripped"], "corrected_text": out, "context": contexts,
+            })
+
+    narrow = rows.select("doc_id", "batch_index", "paragraph_index", "stripped", "pass0_text", "seed")
+    dealt = narrow.repartition("doc_id", "batch_index").sortWithinPartitions("doc_id", "batch_index", "paragraph_index")
+    return dealt.mapInPandas(run, RESULT)
 
 
 def stock_corrector(text: str, previous: str | None) -> str:

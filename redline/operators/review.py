@@ -17,6 +17,11 @@ def effective_text(edited: Column, corrected: Column) -> Column:
     return F.coalesce(F.nullif(edited, F.lit("")), corrected)
 
 
+def decision_source(patches: DataFrame) -> Column:
+    """Who decided last; rows that a step leaves alone keep it."""
+    return F.col("decision_source") if "decision_source" in patches.columns else F.lit("system")
+
+
 def check_decisions(decisions: DataFrame, patches: DataFrame, doc_status: DataFrame) -> DataFrame:
     """Each decision with its verdict: valid, unknown_patch, bad_state or bad_action."""
     known = patches.select("patch_id").withColumn("_known", F.lit(True))
@@ -38,9 +43,9 @@ def apply_decisions(patches: DataFrame, decisions: DataFrame, doc_status: DataFr
         F.max(F.struct("ts", "event_id", "action")).alias("_d")
     )
     return patches.join(latest, "patch_id", "left").select(
-        *[c for c in patches.columns if c != "review_status"],
+        *[c for c in patches.columns if c not in ("review_status", "decision_source")],
         F.coalesce("_d.action", "review_status").alias("review_status"),
-        F.when(F.col("_d").isNotNull(), "human").otherwise("system").alias("decision_source"),
+        F.when(F.col("_d").isNotNull(), "human").otherwise(decision_source(patches)).alias("decision_source"),
         F.col("_d.ts").alias("reviewed_at"),
     )
 
@@ -60,7 +65,7 @@ def finalize_quick(patches: DataFrame, doc_status: DataFrame) -> DataFrame:
     return joined.select(
         *[c for c in patches.columns if c not in ("review_status", "decision_source")],
         F.when(hit, "bulk_finalized").otherwise(F.col("review_status")).alias("review_status"),
-        F.when(hit, "bulk_finalize").otherwise(F.lit("system")).alias("decision_source"),
+        F.when(hit, "bulk_finalize").otherwise(decision_source(patches)).alias("decision_source"),
     )
 
 
@@ -108,12 +113,11 @@ def apply_edits(patches: DataFrame, checked: DataFrame) -> DataFrame:
         F.max(F.struct("ts", "event_id", "edited_text")).alias("_e")
     )
     hit = F.col("_e").isNotNull()
-    source = F.col("decision_source") if "decision_source" in patches.columns else F.lit("system")
     return patches.join(latest, "patch_id", "left").select(
         *[c for c in patches.columns if c not in ("review_status", "decision_source")],
         F.col("_e.edited_text").alias("edited_text"),
         F.when(hit, "accepted").otherwise(F.col("review_status")).alias("review_status"),
-        F.when(hit, "manual_edit").otherwise(source).alias("decision_source"),
+        F.when(hit, "manual_edit").otherwise(decision_source(patches)).alias("decision_source"),
     )
 
 
@@ -151,7 +155,7 @@ def apply_recorrections(patches: DataFrame, results: DataFrame) -> DataFrame:
         *[c for c in patches.columns if c not in ("corrected_text", "review_status", "decision_source")],
         F.when(ok, F.col("new_text")).otherwise(F.col("corrected_text")).alias("corrected_text"),
         F.when(ok, "pending").otherwise(F.col("review_status")).alias("review_status"),
-        F.when(ok, "ai_recorrection").otherwise(F.lit("system")).alias("decision_source"),
+        F.when(ok, "ai_recorrection").otherwise(decision_source(patches)).alias("decision_source"),
     )
 
 
@@ -187,14 +191,16 @@ def apply_to_text(paragraphs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def render(applied: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Document text again, in segments of ``size`` paragraphs so that no document has to fit one task."""
-    return applied.withColumn("segment_no", block_of("paragraph_index", size)).groupBy("doc_id", "segment_no").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("paragraph_index", "text"))), lambda p: p["text"]), "\n"
-        ).alias("text"),
-        F.count_if("applied").alias("applied"),
-        F.count_if("stale").alias("stale"),
+    """Document text again, one row for each document, as it came: a document fits a row in its source. Paragraphs are
+    joined in blocks of ``size`` first, so that the last step handles few pieces; the result is the same for any size."""
+
+    def in_order(place: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, "text"))), lambda p: p["text"]), "\n").alias("text")
+
+    pieces = applied.withColumn("_piece", block_of("paragraph_index", size)).groupBy("doc_id", "_piece").agg(
+        in_order("paragraph_index"), F.count_if("applied").alias("applied"), F.count_if("stale").alias("stale")
     )
+    return pieces.groupBy("doc_id").agg(in_order("_piece"), F.sum("applied").alias("applied"), F.sum("stale").alias("stale"))
 
 
 def missing_patches(paragraphs: DataFrame, chosen: DataFrame) -> DataFrame:

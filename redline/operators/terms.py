@@ -9,6 +9,7 @@ from redline import vocab as V
 from redline.functions.text import strip, tokens
 from redline.operators.ordered import first_k
 
+# Body words a document needs, candidates looked at, occurrences and characters a term needs, terms kept.
 MIN_WORDS, TOP, MIN_FREQUENCY, MIN_LENGTH, KEEP = 20, 100, 3, 6, 50
 
 
@@ -32,8 +33,17 @@ def ngrams(paragraphs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "paragraph_index", "n", "pos", clean.alias("term")).filter(F.length("term") >= 5)
 
 
-def candidate_terms(paragraphs: DataFrame) -> DataFrame:
-    """The hundred most frequent n-grams of each document with enough body text, those long enough kept.
+def enough_text(paragraphs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Documents with enough body words to have terms."""
+    body = paragraphs.filter(F.col("location").startswith("body:"))
+    counted = body.groupBy("doc_id").agg(F.sum(F.size(tokens(F.col("text")))).alias("_words"))
+    return counted.filter(F.col("_words") >= min_words).select("doc_id")
+
+
+def candidate_terms(
+    paragraphs: DataFrame, min_words: int = MIN_WORDS, top: int = TOP, min_frequency: int = MIN_FREQUENCY, min_length: int = MIN_LENGTH
+) -> DataFrame:
+    """The ``top`` most frequent n-grams of each document with enough body text, those long enough kept.
 
     Counting combines before the shuffle; ties go to the earlier first occurrence.
     """
@@ -42,11 +52,9 @@ def candidate_terms(paragraphs: DataFrame) -> DataFrame:
     place = F.shiftleft(F.col("paragraph_index").cast("long"), 32) + (F.col("n") - 2).cast("long") * (1 << 31) + F.col("pos")
     counted = ngrams(paragraphs).groupBy("doc_id", "term").agg(
         F.count("*").alias("frequency"), F.min(place).alias("first_at")
-    ).filter(F.col("frequency") >= MIN_FREQUENCY)
-    top = first_k(counted, ["doc_id"], [F.col("frequency").desc(), F.col("first_at")], TOP)
-    body = paragraphs.filter(F.col("location").startswith("body:"))
-    enough = body.groupBy("doc_id").agg(F.sum(F.size(tokens(F.col("text")))).alias("_words")).filter(F.col("_words") >= MIN_WORDS)
-    return top.filter(F.length("term") >= MIN_LENGTH).join(enough, "doc_id", "left_semi")
+    ).filter(F.col("frequency") >= min_frequency)
+    first = first_k(counted, ["doc_id"], [F.col("frequency").desc(), F.col("first_at")], top)
+    return first.filter(F.length("term") >= min_length).join(enough_text(paragraphs, min_words), "doc_id", "left_semi")
 
 
 def drop_related(ranked: Column) -> Column:
@@ -61,20 +69,21 @@ def drop_related(ranked: Column) -> Column:
     )
 
 
-def terms(paragraphs: DataFrame, protected: DataFrame | None = None) -> DataFrame:
-    """At most fifty terms per document. ``protected`` is (doc_id, protected_terms array) from the profile:
-    mined terms among them are flagged, the others follow with frequency 0."""
+def terms(paragraphs: DataFrame, protected: DataFrame | None = None, keep: int = KEEP, min_words: int = MIN_WORDS, **limits) -> DataFrame:
+    """At most ``keep`` terms per document; none, protected ones included, for a document without enough body text.
+    ``protected`` is (doc_id, protected_terms array) from the profile: mined terms among them are flagged, the others
+    follow with frequency 0."""
     entry = F.struct(
         F.col("_rn").cast("int").alias("rank"), "term", "frequency", F.shiftright("first_at", 32).cast("int").alias("first_paragraph")
     )
-    kept = candidate_terms(paragraphs).groupBy("doc_id").agg(
+    kept = candidate_terms(paragraphs, min_words, **limits).groupBy("doc_id").agg(
         drop_related(F.array_sort(F.collect_list(entry))).alias("kept")
     )
     empty = F.array().cast("array<string>")
     if protected is None:
         rows = kept.withColumn("protected_terms", empty)
     else:
-        rows = protected.join(kept, "doc_id", "left")
+        rows = protected.join(enough_text(paragraphs, min_words), "doc_id", "left_semi").join(kept, "doc_id", "left")
     mined = F.coalesce(F.col("kept"), F.array().cast("array<struct<rank:int,term:string,frequency:bigint,first_paragraph:int>>"))
     guard = F.coalesce(F.col("protected_terms"), empty)
     low_guard = F.transform(guard, lambda p: F.lower(p))
@@ -88,7 +97,7 @@ def terms(paragraphs: DataFrame, protected: DataFrame | None = None) -> DataFram
         lambda p: F.struct(p.alias("term"), F.lit(0).cast("bigint").alias("frequency"),
                            F.lit(0).alias("first_paragraph"), F.lit(True).alias("is_protected")),
     )
-    return rows.select("doc_id", F.posexplode(F.slice(F.concat(flagged, added), 1, KEEP)).alias("term_no", "t")).select(
+    return rows.select("doc_id", F.posexplode(F.slice(F.concat(flagged, added), 1, keep)).alias("term_no", "t")).select(
         "doc_id", "term_no", "t.*"
     )
 

@@ -56,8 +56,9 @@ def positioned(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.withColumns(place)
 
 
-def first_pass(paragraphs: DataFrame, stress: bool = True) -> DataFrame:
-    """Rule-corrected text and its log. ``stress`` adds the defects that make every gate fail somewhere."""
+def first_pass(paragraphs: DataFrame, stress: bool = False) -> DataFrame:
+    """Rule-corrected text and its log. ``stress`` is for test corpora: it adds the defects that make every gate fail
+    somewhere."""
     rows = paragraphs.withColumn("_fix", edits.apply_rules(F.col("stripped"), edits.rule_array(RULES)))
     text = F.col("_fix.text")
     if stress:
@@ -82,24 +83,25 @@ def routed(paragraphs: DataFrame) -> DataFrame:
     ).drop("_r")
 
 
-def prepared(documents: DataFrame) -> DataFrame:
+def prepared(documents: DataFrame, stress: bool = False) -> DataFrame:
     """Scan → usable paragraphs with profile, type, position, first pass and route."""
     from redline.sources.paragraphs import from_documents
 
     rows = typed(positioned(with_profile(from_documents(documents)))).filter(F.length("stripped") >= 3)
-    rows = routed(first_pass(rows)).drop("next_text", "next_style")
+    rows = routed(first_pass(rows, stress)).drop("next_text", "next_style")
     return fence(rows, ["paragraph_type", "section_position", "is_transition", "pass0_text", "ops", "route", "route_reason"])
 
 
-def proposed(rows: DataFrame, metric: str = "difflib", rounded: bool = True) -> DataFrame:
-    """Style step, gates and disposition. Keeps every row; ``changed`` marks those that became patches."""
+def proposed(rows: DataFrame, metric: str = "jaccard", rounded: bool = True) -> DataFrame:
+    """Style step, gates and disposition. Keeps every row; ``changed`` marks those that became patches. A Python metric
+    gets nulls for rows that no gate looks at."""
     style = F.when(F.col("route") == "skip", F.col("pass0_text")).otherwise(
         edits.first_hit(F.col("pass0_text"), STYLE)
     )
     rows = rows.withColumn("candidate", style)
     gated = (F.col("route") != "skip") & (F.col("candidate") != F.col("stripped"))
     digits = 4 if rounded else None
-    ratio = gates.rewrite_ratio(F.col("stripped"), F.col("candidate"), metric, digits)
+    ratio = gates.rewrite_ratio(F.when(gated, F.col("stripped")), F.when(gated, F.col("candidate")), metric, digits)
     score = F.when(gated, readability(F.col("candidate"), 2 if rounded else None))
     rows = rows.withColumn("gated", gated).withColumns({"rewrite_ratio": F.when(gated, ratio), "_score": score})
     results = gates.run_gates(
@@ -123,9 +125,9 @@ def proposed(rows: DataFrame, metric: str = "difflib", rounded: bool = True) ->
     ])
 
 
-def proposals(documents: DataFrame, metric: str = "jaccard", rounded: bool = False) -> DataFrame:
+def proposals(documents: DataFrame, metric: str = "jaccard", rounded: bool = False, stress: bool = False) -> DataFrame:
     """One row per usable paragraph with its decision; patches are the rows where ``changed``."""
-    return proposed(prepared(documents), metric, rounded)
+    return proposed(prepared(documents, stress), metric, rounded)
 
 
 def patches(proposal_rows: DataFrame) -> DataFrame:

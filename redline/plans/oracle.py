@@ -142,14 +142,14 @@ def _stage_rows() -> str:
 
 
 def _route_case() -> str:
-    size = "length(pass0_text)"
+    size = f"length({strip('pass0_text')})"
     return (
         f"CASE WHEN paragraph_type IN {in_list(V.SKIP_TYPES)} THEN 'skip|type:' || paragraph_type "
         "WHEN paragraph_type = 'cita' THEN 'skip|quote_preserve' "
         f"WHEN {size} < 30 AND rule_hits = 0 AND NOT is_transition THEN 'skip|short_clean' "
         "WHEN is_transition THEN 'editorial|section_transition' "
         f"WHEN section_position IN ('first', 'last') AND {size} > 80 THEN 'editorial|section_' || section_position "
-        f"WHEN paragraph_type = 'narrativo' AND {size} > 300 AND {hits('pass0_text', V.SUBORDINATE)} >= 2 THEN 'editorial|complex_syntax' "
+        f"WHEN paragraph_type = 'narrativo' AND {size} > 300 AND {hits(strip('pass0_text'), V.SUBORDINATE)} >= 2 THEN 'editorial|complex_syntax' "
         f"WHEN paragraph_type = 'dialogo' AND {size} > 200 THEN 'editorial|long_dialogue' "
         f"WHEN intervention_level = 'agresiva' AND {size} > 200 THEN 'editorial|aggressive_long' "
         f"WHEN paragraph_type IN {in_list(V.CHEAP_TYPES)} THEN 'cheap|type:' || paragraph_type "
@@ -283,11 +283,12 @@ TABLES: dict[str, str] = {
     "t_grams": f"""SELECT doc_id, paragraph_index, n, pos, lower(trim(array_to_string(w[pos:pos + n - 1], ' '), {q(V.TERM_EDGE_CHARS)})) AS term
         FROM (SELECT doc_id, paragraph_index, w, n, unnest(range(1, len(w) - n + 2)) AS pos
             FROM (SELECT doc_id, paragraph_index, {tokens(strip('text'))} AS w FROM t_lines), (VALUES (2), (3)) AS k(n))""",
+    "t_enough": f"SELECT doc_id FROM t_lines GROUP BY doc_id HAVING sum(len({tokens('text')})) >= 20",
     "t_ranked": f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rk) AS seq FROM (
         SELECT doc_id, term, frequency, first_paragraph, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, fa) AS rk
             FROM (SELECT doc_id, term, count(*) AS frequency, min((paragraph_index, n, pos)) AS fa, min(paragraph_index) AS first_paragraph
                 FROM t_grams WHERE length(term) >= 5 GROUP BY doc_id, term)
-            WHERE doc_id IN (SELECT doc_id FROM t_lines GROUP BY doc_id HAVING sum(len({tokens('text')})) >= 20))
+            WHERE doc_id IN (SELECT doc_id FROM t_enough))
         WHERE rk <= 100 AND frequency >= 3 AND length(term) >= 6""",
     "t_kept": """SELECT doc_id, arg_max(kept, seq) AS kept FROM t_walk GROUP BY doc_id""",
     "t_protected": "SELECT doc_id, any_value(protected_terms) AS protected_terms FROM t_profiled GROUP BY doc_id",
@@ -298,7 +299,7 @@ TABLES: dict[str, str] = {
             FROM t_kept k JOIN t_ranked r ON r.doc_id = k.doc_id AND list_contains(k.kept, r.term) JOIN t_protected p ON p.doc_id = k.doc_id
             UNION ALL
             SELECT p.doc_id, 1, p.ord, p.term, 0, 0, true FROM (SELECT doc_id, unnest(protected_terms) AS term, generate_subscripts(protected_terms, 1) AS ord FROM t_protected) p
-            LEFT JOIN t_kept k ON k.doc_id = p.doc_id WHERE NOT coalesce(list_contains(k.kept, lower(p.term)), false)))
+            LEFT JOIN t_kept k ON k.doc_id = p.doc_id WHERE p.doc_id IN (SELECT doc_id FROM t_enough) AND NOT coalesce(list_contains(k.kept, lower(p.term)), false)))
         WHERE term_no < 50""",
     "t_term_lists": "SELECT doc_id, list(term ORDER BY term_no) AS terms FROM t_terms GROUP BY doc_id",
     "t_batches": """SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::BIGINT AS batch_index, s AS start_paragraph, e AS end_paragraph FROM t_cuts""",

@@ -109,8 +109,7 @@ def preset_listing(c: Corpus) -> DataFrame:
 def upload_admission(c: Corpus) -> DataFrame:
     name = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit(".docx"))).otherwise(F.col("url"))
     listing = c.table("pages").select("page_id", "url", name.alias("path"), (F.length("html") * (F.col("page_id") % 400)).alias("length"))
-    checked = files.admission(listing.select("path", "length"), limit_mb=1)
-    return listing.join(checked.select("path", "reason"), "path").select(
+    return files.admission(listing, limit_mb=1).select(
         "page_id", "url", F.upper(F.element_at(F.split("url", "/"), -1)).alias("filename_upper"), "length", "reason"
     )
 
@@ -423,7 +422,7 @@ def _profile(c: Corpus) -> DataFrame:
 def request_table(c: Corpus) -> DataFrame:
     """Correction requests for every routed paragraph, ready to be sent out in batches."""
     rows = structure.neighbours(triage.typed(structure.with_sections(triage.with_profile(c.paragraphs).drop("n_paragraphs"))))
-    rows = triage.routed(triage.first_pass(rows)).filter("route <> 'skip'")
+    rows = triage.routed(triage.first_pass(rows, stress=True)).filter("route <> 'skip'")
     titles = structure.section_table(c.sectioned).select("doc_id", "section_index", "section_title")
     rows = rows.join(titles, ["doc_id", "section_index"], "left").join(_profile(c), "doc_id")
     n = F.col("n_paragraphs")
@@ -636,7 +635,7 @@ def batch_seeds(c: Corpus) -> DataFrame:
 def _pass0_all(c: Corpus) -> DataFrame:
     """First pass over all paragraphs, unusable ones included, so that positions have no gaps."""
     rows = triage.typed(triage.positioned(triage.with_profile(c.paragraphs)))
-    fixed = triage.fence(triage.first_pass(rows), ["pass0_text", "ops"]).select(*KEY, "stripped", "pass0_text")
+    fixed = triage.fence(triage.first_pass(rows, stress=True), ["pass0_text", "ops"]).select(*KEY, "stripped", "pass0_text")
     return store(fixed, "pass0")
 
 
@@ -883,7 +882,7 @@ def one_per_paragraph(c: Corpus) -> DataFrame:
 
 
 def _render_sql(where: str, source: str) -> str:
-    return f"""SELECT doc_id, paragraph_index // 4096 AS segment_no, string_agg(CASE WHEN fits THEN new ELSE text END, chr(10) ORDER BY paragraph_index) AS text,
+    return f"""SELECT doc_id, string_agg(CASE WHEN fits THEN new ELSE text END, chr(10) ORDER BY paragraph_index) AS text,
     count(*) FILTER (fits) AS applied, count(*) FILTER (old IS NOT NULL AND NOT fits) AS stale
     FROM (SELECT p.doc_id, p.paragraph_index, p.text, x.old, x.new, coalesce({O.strip('p.text')} = x.old, false) AS fits FROM t_paras p
         LEFT JOIN (SELECT doc_id, location, arg_min(original_text, position) AS old, arg_min(coalesce(nullif(edited_text, ''), corrected_text), position) AS new
@@ -942,7 +941,7 @@ def second_pass_merge(c: Corpus) -> DataFrame:
     return corrector.second_pass_merge(first, second).drop("original_text")
 
 
-@query("corrector_batches", f"""SELECT doc_id, batch_index * 1048576 + (paragraph_index - start_paragraph) // 2000 AS part, paragraph_index, stripped AS original_text, corrected AS corrected_text,
+@query("corrector_batches", f"""SELECT doc_id, batch_index, paragraph_index, stripped AS original_text, corrected AS corrected_text,
     CASE WHEN rn = 1 THEN seed ELSE lag(corrected) OVER (PARTITION BY doc_id, batch_index ORDER BY paragraph_index) END AS context
     FROM (SELECT *, CASE WHEN coalesce(prev, '') <> '' AND pass0_text <> '' AND NOT contains({O.q(V.SENTENCE_CLOSERS)}, right(prev, 1)) THEN lower(left(pass0_text, 1)) || substr(pass0_text, 2) ELSE pass0_text END AS corrected
         FROM (SELECT *, CASE WHEN rn = 1 THEN seed ELSE lag(pass0_text) OVER (PARTITION BY doc_id, batch_index ORDER BY paragraph_index) END AS prev
@@ -1236,7 +1235,7 @@ def stream_decisions(c: Corpus) -> DataFrame:
 def stream_enrich(c: Corpus) -> DataFrame:
     """New documents through the stateless part of the chain: the batch functions, on a stream."""
     arriving = jobs.event_stream(c.spark, f"{c.path}/documents.parquet", jobs.DOCUMENTS)
-    rows = triage.prepared(arriving).select(*KEY, "paragraph_type", "route", "route_reason", "pass0_text")
+    rows = triage.prepared(arriving, stress=True).select(*KEY, "paragraph_type", "route", "route_reason", "pass0_text")
     return jobs.run_available(rows, _sink(c, "enrich"))
 
 

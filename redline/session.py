@@ -25,7 +25,7 @@ def local_session(cpus: int | str = 8, name: str = "redline") -> SparkSession:
         builder = builder.config(key, value)
     builder = (
         builder.config("spark.sql.shuffle.partitions", str(cpus))
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -35,9 +35,12 @@ def local_session(cpus: int | str = 8, name: str = "redline") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for cut lineage and streaming state: the one the cluster names, else a new one for tests."""
+    """Shared folder for cut lineage and streaming state: the one the cluster names. On one machine only, where driver
+    and executors share their disk, a new folder stands in for it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -16,24 +16,25 @@ AS_OF = "2024-02-01 00:00:00"
 STATUSES = ["uploaded"] + [s[0] for s in V.STAGES] + ["completed", "failed"]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out when a table has fewer input splits than there are cores (one small file); else as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+class Corpus:
+    """The stored tables of one folder and what is derived from them.
 
+    ``deal``: on one machine, a table of a single file is one split; this deals the rows of the text tables to so many
+    partitions. By default text is never shuffled before it is split up.
+    """
 
-class Corpus:
-    """The stored tables of one folder and what is derived from them."""
+    def __init__(self, spark: SparkSession, path: str, deal: int | None = None):
+        self.spark, self.path, self.deal = spark, path, deal
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.deal) if self.deal else df
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     @cached_property
     def documents(self) -> DataFrame:
-        return spread(self.table("documents"))
+        return self._dealt(self.table("documents"))
 
     @cached_property
     def events(self) -> DataFrame:
@@ -45,7 +46,7 @@ class Corpus:
 
     @cached_property
     def html(self) -> DataFrame:
-        return scan.from_html(spread(self.table("pages")))
+        return scan.from_html(self._dealt(self.table("pages")))
 
     @cached_property
     def turns(self) -> DataFrame:
@@ -72,7 +73,7 @@ class Corpus:
 
     @cached_property
     def prepared(self) -> DataFrame:
-        return triage.prepared(self.documents)
+        return triage.prepared(self.documents, stress=True)
 
     @cached_property
     def proposals(self) -> DataFrame:

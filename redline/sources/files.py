@@ -18,12 +18,12 @@ def upload_listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def admission(listing: DataFrame, limit_mb: int = MAX_UPLOAD_MB) -> DataFrame:
-    """Which uploads are accepted (``.docx`` up to the size limit), and why not."""
+    """Which uploads are accepted (``.docx`` up to the size limit), and why not; other columns stay."""
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.when(F.contains(name, F.lit(".")), F.element_at(F.split(name, "\\."), -1)).otherwise(""))
     reason = F.when(suffix != "docx", "format").when(F.col("length") > limit_mb * 1024 * 1024, "size")
     return listing.select(
-        "path", "length", name.alias("filename"), suffix.alias("format"), reason.isNull().alias("admitted"), reason.alias("reason")
+        *listing.columns, name.alias("filename"), suffix.alias("format"), reason.isNull().alias("admitted"), reason.alias("reason")
     )
 
 
@@ -64,11 +64,13 @@ def bucket_of(doc_id: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
 
 
-def rewrite_documents(df: DataFrame, path: str, buckets: int = 64) -> None:
+def rewrite_documents(df: DataFrame, path: str, buckets: int = 64, files_per_bucket: int = 8) -> None:
     """Replace the stored rows of the documents in ``df``; running it twice leaves the same table.
 
     The table is partitioned by a hash bucket of doc_id. Buckets that are touched are rebuilt from their other
     documents plus the new rows and swapped in by dynamic partition overwrite; other buckets stay as they are.
+    ``buckets`` is part of the stored table's layout and ``files_per_bucket`` spreads the writing of one bucket; choose
+    both so that a file holds some hundred MB.
     """
     from redline.session import checkpoint_dir
 
@@ -85,7 +87,7 @@ def rewrite_documents(df: DataFrame, path: str, buckets: int = 64) -> None:
         touched = new.select("doc_bucket").distinct()
         keep = old.join(touched, "doc_bucket", "left_semi").join(new.select("doc_id").distinct(), "doc_id", "left_anti")
         new = new.unionByName(keep.select(*new.columns)).checkpoint()  # old files are about to be replaced
-    new.repartition("doc_bucket", bucket_of(F.col("doc_id"), 8)).write.mode("overwrite").option(
+    new.repartition("doc_bucket", bucket_of(F.col("doc_id"), files_per_bucket)).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("doc_bucket").parquet(path)
 

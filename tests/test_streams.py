@@ -71,7 +71,7 @@ def test_duplicates_and_snapshot(spark, parts):
 def test_enrichment_equals_batch(spark, corpus):
     columns = ["doc_id", "paragraph_index", "paragraph_type", "route", "pass0_text"]
     arriving = jobs.event_stream(spark, f"{SMALL}/documents.parquet", jobs.DOCUMENTS)
-    got = jobs.run_available(triage.prepared(arriving).select(*columns), jobs.new_folder(spark, "e"))
+    got = jobs.run_available(triage.prepared(arriving, stress=True).select(*columns), jobs.new_folder(spark, "e"))
     want = corpus.prepared.select(*columns)
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
