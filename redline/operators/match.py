@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redline.functions.edits import METRICS
-from redline.functions.text import normalise, tokens
+from redline.functions.text import normalise, strip, tokens
 from redline.operators.structure import page_estimate
 
 PREFIX, SNIPPET, WINDOW = 50, 200, 3
@@ -111,7 +111,7 @@ def _best_prefix(text: Column, page: Column) -> Column:
 
 
 def locate_on_pages(changes: DataFrame, pages: DataFrame) -> DataFrame:
-    """Page and offset where the corrected text starts: prefixes of 150, 70, then 35 characters; for each, the
+    """Page and offset where the corrected text, without white space around it, starts: prefixes of 150, 70, then 35 characters; for each, the
     estimated page and two pages each side first, then all other pages; lowest page wins.
 
     Near pages are an equality join. Other pages are looked up by anchor words: the words inside the first 35
@@ -120,10 +120,9 @@ def locate_on_pages(changes: DataFrame, pages: DataFrame) -> DataFrame:
     with no inner word use their first four characters instead.
     """
     total = F.col("n_paragraphs")
-    rows = changes.filter(
-        (F.length("corrected_text") >= 4) & (F.col("corrected_text") != F.col("original_text"))
-    ).select(
-        "doc_id", "paragraph_index", "corrected_text",
+    text = strip(F.col("corrected_text"))
+    rows = changes.filter((F.length(text) >= 4) & (F.col("corrected_text") != F.col("original_text"))).select(
+        "doc_id", "paragraph_index", text.alias("corrected_text"),
         page_estimate(F.col("paragraph_index"), total, page_count(total)).alias("est_page"),
         page_count(total).alias("_pages"),
     )

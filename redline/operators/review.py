@@ -182,10 +182,11 @@ def apply_to_text(paragraphs: DataFrame, chosen: DataFrame) -> DataFrame:
     new = one_per_paragraph(chosen.withColumn("_new", effective_text(edited, F.col("corrected_text")))).select(
         "doc_id", "location", F.col("original_text").alias("_old"), "_new"
     )
-    joined = paragraphs.select("doc_id", "paragraph_index", "location", "text").join(new, ["doc_id", "location"], "left")
+    more = [c for c in ("n_paragraphs",) if c in paragraphs.columns]
+    joined = paragraphs.select("doc_id", "paragraph_index", "location", "text", *more).join(new, ["doc_id", "location"], "left")
     fits = F.coalesce(strip(F.col("text")) == F.col("_old"), F.lit(False))
     return joined.select(
-        "doc_id", "paragraph_index", "location", F.when(fits, F.col("_new")).otherwise(F.col("text")).alias("text"),
+        "doc_id", "paragraph_index", "location", *more, F.when(fits, F.col("_new")).otherwise(F.col("text")).alias("text"),
         fits.alias("applied"), (F.col("_old").isNotNull() & ~fits).alias("stale"),
     )
 

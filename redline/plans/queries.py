@@ -978,11 +978,12 @@ def block_match_exact(c: Corpus) -> DataFrame:
 @query("locate_on_page", """SELECT doc_id, paragraph_index, est_page, hit.page_no::DOUBLE AS page_no, hit.length::DOUBLE AS matched_length, hit.at::DOUBLE AS at, coalesce(hit.far = 0, false) AS is_near FROM (
     SELECT c.doc_id, c.paragraph_index, c.est_page, (SELECT min({'rank': k.rank, 'far': CASE WHEN abs(g.page_no - c.est_page) <= 2 THEN 0 ELSE 1 END, 'page_no': g.page_no,
         'length': length(left(c.corrected_text, k.size)), 'at': instr(g.page_text, left(c.corrected_text, k.size))})
-        FROM t_page_texts g, (VALUES (0, 150), (1, 70), (2, 35)) k(rank, size) WHERE g.doc_id = c.doc_id AND contains(g.page_text, left(c.corrected_text, k.size))) AS hit
-    FROM x_changes c WHERE length(c.corrected_text) >= 4)""")
+        FROM x_page_texts g, (VALUES (0, 150), (1, 70), (2, 35)) k(rank, size) WHERE g.doc_id = c.doc_id AND contains(g.page_text, left(c.corrected_text, k.size))) AS hit
+    FROM (SELECT doc_id, paragraph_index, est_page, x_text AS corrected_text FROM x_changes) c WHERE length(c.corrected_text) >= 4)""")
 def locate_on_page(c: Corpus) -> DataFrame:
     c.keep_proposals()
-    rows = match.locate_on_pages(c.patches.filter("position = 0"), match.page_texts(c.blocks))
+    corrected = review.apply_to_text(c.paragraphs, review.not_rejected(c.patches))
+    rows = match.locate_on_pages(c.patches.filter("position = 0"), match.page_texts(match.blocks(corrected)))
     place = [F.col(n).cast("double").alias(n) for n in ("page_no", "matched_length", "at")]
     return rows.select(*KEY, "est_page", *place, F.coalesce("is_near", F.lit(False)).alias("is_near"))
 
@@ -1243,7 +1244,12 @@ def stream_enrich(c: Corpus) -> DataFrame:
 
 _MATCH_TABLES = {
     "x_blocks": f"SELECT *, {O.normalise('block_text')} AS norm FROM t_blocks",
-    "x_changes": f"""SELECT *, {O.normalise('original_text')} AS norm, page_no AS est_page FROM t_changes""",
+    "x_changes": f"""SELECT *, {O.normalise('original_text')} AS norm, page_no AS est_page, {O.strip('corrected_text')} AS x_text FROM t_changes""",
+    "x_page_texts": f"""SELECT doc_id, page_no, string_agg(CASE WHEN (doc_id + paragraph_index) % 5 = 0 THEN '• ' || t ELSE t END, chr(10) ORDER BY paragraph_index) AS page_text
+        FROM (SELECT p.doc_id, p.paragraph_index, {O.page_of('p.paragraph_index', 'p.n_paragraphs', 'greatest(1, ceil(p.n_paragraphs / 10.0))::BIGINT')} AS page_no,
+            CASE WHEN {O.strip('p.text')} = x.old THEN x.new ELSE p.text END AS t FROM t_paras p
+            LEFT JOIN (SELECT doc_id, location, arg_min(original_text, position) AS old, arg_min(corrected_text, position) AS new
+                FROM t_patches WHERE review_status NOT IN ('rejected', 'gate_rejected') GROUP BY ALL) x ON x.doc_id = p.doc_id AND x.location = p.location) GROUP BY ALL""",
 }
 
 
