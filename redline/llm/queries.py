@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.llm import decontaminate, html_render, jaccard_join, kneser_ney, phrase_automata, quality_model, repetition, source_mixing, token_output, toxicity
+from redline.llm import decontaminate, html_render, jaccard_join, kneser_ney, oracle, phrase_automata, quality_model, repetition, source_mixing, token_output, toxicity
 from redline.session import store
 
 
@@ -94,4 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scores": op9_lm_scores,
     "op10_repeated_phrases": op10_repeated_phrases,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_jaccard_join": oracle.jaccard_components(jaccard_join.SHINGLE, jaccard_join.PERCENT),
+    "op5_repetition_rules": oracle.repetition(repetition.NGRAM_LIMITS, repetition.LINE_LIMIT),
+    "op10_repeated_phrases": oracle.repeated_phrases(phrase_automata.WINDOW),
+}
