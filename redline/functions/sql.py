@@ -1,4 +1,5 @@
-"""SQL functions over the column functions' own expressions; Catalyst inlines them."""
+"""The text and routing rules as SQL functions; Catalyst inlines them. Registered queries hold them against the column
+functions over all paragraphs."""
 
 from __future__ import annotations
 
@@ -19,6 +20,7 @@ def register(spark: SparkSession) -> None:
         "clause": V.SUBORDINATE,
         "mute": rf"(?<![\p{{L}}\p{{N}}_])[\p{{L}}\p{{N}}_&&[^{V.VOWEL_RUN[1:-2]}]]+(?![\p{{L}}\p{{N}}_])",
     }.items()}
+    skip, cheap = (", ".join(f"'{k}'" for k in kinds) for kinds in (V.SKIP_TYPES, V.CHEAP_TYPES))
     statements = [
         f"CREATE OR REPLACE TEMPORARY FUNCTION strip_text(t STRING) RETURNS STRING RETURN regexp_replace(t, {rx['strip']}, '')",
         f"""CREATE OR REPLACE TEMPORARY FUNCTION readability(t STRING) RETURNS DOUBLE RETURN
@@ -32,12 +34,21 @@ def register(spark: SparkSession) -> None:
             WHEN lower(style) rlike 'quote|cita' THEN 'cita' WHEN lower(style) rlike 'list' THEN 'lista' WHEN lower(style) rlike 'title' THEN 'titulo'
             WHEN t rlike {rx['dialogue']} THEN 'dialogo' WHEN t rlike {rx['item']} THEN 'lista'
             WHEN lower(t) rlike {rx['numbered']} OR lower(t) rlike {rx['credit']} THEN 'pie_imagen' ELSE 'narrativo' END""",
-        f"""CREATE OR REPLACE TEMPORARY FUNCTION route_of(t STRING, kind STRING, hits INT, level STRING, transition BOOLEAN, place STRING) RETURNS STRING RETURN
-            CASE WHEN kind IN ('titulo', 'subtitulo', 'encabezado', 'footer', 'vacio', 'cita') THEN 'skip'
-            WHEN length(t) < 30 AND hits = 0 AND NOT transition THEN 'skip'
-            WHEN transition OR (place IN ('first', 'last') AND length(t) > 80) THEN 'editorial'
-            WHEN kind = 'narrativo' AND length(t) > 300 AND regexp_count(t, {rx['clause']}) >= 2 THEN 'editorial'
-            WHEN (kind = 'dialogo' OR level = 'agresiva') AND length(t) > 200 THEN 'editorial' ELSE 'cheap' END""",
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION route_of(t STRING, kind STRING, hits INT, level STRING, transition BOOLEAN, place STRING)
+            RETURNS STRUCT<route: STRING, reason: STRING> RETURN
+            CASE WHEN kind IN ({skip}) THEN named_struct('route', 'skip', 'reason', concat('type:', kind))
+            WHEN kind = 'cita' THEN named_struct('route', 'skip', 'reason', 'quote_preserve')
+            WHEN length(strip_text(t)) < 30 AND hits = 0 AND NOT transition THEN named_struct('route', 'skip', 'reason', 'short_clean')
+            WHEN transition THEN named_struct('route', 'editorial', 'reason', 'section_transition')
+            WHEN place IN ('first', 'last') AND length(strip_text(t)) > 80 THEN named_struct('route', 'editorial', 'reason', concat('section_', place))
+            WHEN kind = 'narrativo' AND length(strip_text(t)) > 300 AND regexp_count(strip_text(t), {rx['clause']}) >= 2
+                THEN named_struct('route', 'editorial', 'reason', 'complex_syntax')
+            WHEN kind = 'dialogo' AND length(strip_text(t)) > 200 THEN named_struct('route', 'editorial', 'reason', 'long_dialogue')
+            WHEN coalesce(level, 'moderada') = 'agresiva' AND length(strip_text(t)) > 200 THEN named_struct('route', 'editorial', 'reason', 'aggressive_long')
+            WHEN kind IN ({cheap}) THEN named_struct('route', 'cheap', 'reason', concat('type:', kind))
+            WHEN coalesce(level, 'moderada') = 'minima' THEN named_struct('route', 'cheap', 'reason', 'minimal_intervention')
+            WHEN hits = 0 AND length(strip_text(t)) < 150 THEN named_struct('route', 'cheap', 'reason', 'short_clean_text')
+            ELSE named_struct('route', 'cheap', 'reason', 'default') END""",
     ]
     for statement in statements:
         spark.sql(statement)

@@ -132,11 +132,12 @@ def section_sample(sectioned: DataFrame) -> DataFrame:
     )
 
 
-def profile_sample(paragraphs: DataFrame) -> DataFrame:
-    """The first eight paragraphs over 20 characters, 300 characters each."""
-    rows = paragraphs.withColumn("_s", strip(F.col("text"))).filter(F.length("_s") > 20)
-    return first_k(rows, KEY, [F.col("paragraph_index")], 8).select(
-        "doc_id", F.col("_rn").alias("sample_no"), F.left("_s", F.lit(300)).alias("sample")
+def profile_sample(paragraphs: DataFrame, keep: int = 8, longer_than: int = 20, characters: int = 300) -> DataFrame:
+    """The first ``keep`` body paragraphs over ``longer_than`` characters, ``characters`` of each."""
+    body = paragraphs.filter(F.col("location").startswith("body:"))
+    rows = body.withColumn("_s", strip(F.col("text"))).filter(F.length("_s") > longer_than)
+    return first_k(rows, KEY, [F.col("paragraph_index")], keep).select(
+        "doc_id", F.col("_rn").alias("sample_no"), F.left("_s", F.lit(characters)).alias("sample")
     )
 
 

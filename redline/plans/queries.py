@@ -1166,6 +1166,18 @@ def sql_functions(c: Corpus) -> DataFrame:
     )
 
 
+@query("sql_route", "SELECT doc_id, paragraph_index, route, route_reason FROM t_routed")
+def sql_route(c: Corpus) -> DataFrame:
+    from redline.functions import sql
+
+    sql.register(c.spark)
+    c.prepared.createOrReplaceTempView("redline_prepared")
+    return c.spark.sql(
+        "SELECT doc_id, paragraph_index, r.route AS route, r.reason AS route_reason FROM (SELECT doc_id, paragraph_index, "
+        "route_of(pass0_text, paragraph_type, size(ops), intervention_level, is_transition, section_position) AS r FROM redline_prepared)"
+    )
+
+
 # --- streams -------------------------------------------------------------------------------------------
 
 
