@@ -8,8 +8,8 @@ the same words, in a document with a smaller doc_id too; windows are judged on t
 2. Confirmation. Of windows whose signature recurs, blocks ask about the 64-bit hash of the whole window. Blocks are
    ranges of doc_id; the shard names, for each recurring window, the first block as its holder, and who needs it.
 3. The holders send the words themselves: runs of needed windows, merged to passages, to the blocks that need them.
-4. Each block compiles one Aho-Corasick automaton from the windows of its passages and of its own repeats, and streams
-   all its documents through it to find every occurrence, word for word. So the automata are sharded by block: each is
+4. Each block compiles one Aho-Corasick automaton from its passages and its own repeats, in pieces of half a window, and
+   streams all its documents through it to find every occurrence, word for word. So the automata are sharded by block: each is
    bounded by the block's text, every document is streamed once, and a passage that is everywhere costs each block one
    pattern.
 
@@ -104,8 +104,8 @@ class BlockWords:
         return out
 
     def words(self, first: int, end: int) -> list[bytes]:
-        raw = memoryview(self.data)
-        return [bytes(raw[a:b]) for a, b in zip(self.starts[first:end].tolist(), self.ends[first:end].tolist())]
+        """Words of one document by their numbers."""
+        return self.data[self.starts[first] : self.ends[end - 1]].tobytes().split() if end > first else []
 
 
 def _reply(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.Table:
@@ -134,57 +134,106 @@ def passages_of(doc: BlockWords, hashes: np.ndarray, asked_by: np.ndarray) -> li
     return [(block, b"\n".join(lines)) for block, lines in out.items()]
 
 
-def compile_automaton(doc: BlockWords, passages: list[bytes]):
-    """(automaton, word numbers): the windows of the passages, with value 0, and the windows that recur in the block,
-    with 1 + the rank of the first document; None if there are none."""
-    import ahocorasick
-
-    number: dict[bytes, int] = {}
-    patterns: dict[tuple[int, ...], int] = {}
+class Automaton:
+    """An Aho-Corasick automaton that finds the windows of passages.
+
+    Its patterns are the pieces of half a window that tile each passage: any window of a passage holds one whole piece.
+    A piece knows the words around it within reach in each passage (each distinct surrounding once), so where it occurs
+    the match is extended word by word, and counts if it spans a window.
+    """
+
+    def __init__(self, window: int):
+        self.window, self.size = window, (window + 1) // 2
+        self.reach = window - self.size
+        self.number: dict[bytes, int] = {}
+        self.around: dict[tuple[int, ...], dict[tuple, int]] = {}
+        self.found: list[list[tuple]] = []
+        self.automaton = None
+
+    def add(self, words: list[bytes], value: int) -> None:
+        """A passage; value is less than the rank of the documents that lose it."""
+        number, size, reach = self.number, self.size, self.reach
+        code = tuple([number.setdefault(w, len(number) + 1) for w in words])
+        for i in range(0, len(code) - size + 1, size):
+            around = self.around.setdefault(code[i : i + size], {})
+            key = (code[max(0, i - reach) : i], code[i + size : i + size + reach])
+            if around.get(key, value) >= value:
+                around[key] = value
+
+    def build(self) -> None:
+        import ahocorasick
+
+        if not self.around:
+            return
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for piece, around in self.around.items():
+            self.automaton.add_word(piece, len(self.found))
+            self.found.append([(left, right, value) for (left, right), value in around.items()])
+        self.automaton.make_automaton()
+        self.around = {}
+
+    def covered(self, words: list[bytes], own: int) -> list[tuple[int, int]]:
+        """Spans of words inside windows of passages with a value below own."""
+        if self.automaton is None or len(words) < self.window:
+            return []
+        code, size, spans = tuple(map(self.number.get, words, repeat(0))), self.size, []
+        for last, which in self.automaton.iter(code):
+            first, end = last - size + 1, last + 1
+            for left, right, value in self.found[which]:
+                if value >= own:
+                    continue
+                a, b = first - len(left), end + len(right)
+                if a < 0 or code[a:first] != left:
+                    a, k = first, len(left) - 1
+                    while k >= 0 and a > 0 and code[a - 1] == left[k]:
+                        a, k = a - 1, k - 1
+                if code[end:b] != right:
+                    b, k = end, 0
+                    while k < len(right) and b < len(code) and code[b] == right[k]:
+                        b, k = b + 1, k + 1
+                if b - a >= self.window:
+                    spans.append((a, b))
+        return spans
+
+
+def compile_automaton(doc: BlockWords, passages: list[bytes]) -> Automaton:
+    """The automaton of a block: passages from earlier blocks, with value 0, and the runs of windows that recur in the
+    block, as the first document has them, with 1 + that document's rank."""
+    automaton = Automaton(doc.window)
     for line in passages:
-        code = [number.setdefault(w, len(number) + 1) for w in line.split(b" ")]
-        for i in range(len(code) - doc.window + 1):
-            patterns[tuple(code[i : i + doc.window])] = 0
-    every = np.arange(len(doc.at))
-    own = np.flatnonzero(doc.in_two_docs(doc.hashes, every))
+        automaton.add(line.split(b" "), 0)
+    own = np.flatnonzero(doc.in_two_docs(doc.hashes, np.arange(len(doc.at))))
     _, first = np.unique(doc.hashes[own], return_index=True)  # windows are in the order of doc_ids: the first holds it
-    position = doc.at[own[first]]
-    for p in np.sort(position).tolist():
-        code = tuple([number.setdefault(w, len(number) + 1) for w in doc.words(p, p + doc.window)])
-        patterns.setdefault(code, 1 + int(doc.rank[doc.text[p]]))
-    if not patterns:
-        return None, number
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for code, value in patterns.items():
-        automaton.add_word(code, value)
-    automaton.make_automaton()
-    return automaton, number
-
-
-def strip_repeats(doc: BlockWords, passages: list[bytes]) -> pa.Table:
-    automaton, number = compile_automaton(doc, passages)
+    position = np.sort(doc.at[own[first]])
+    cut = np.flatnonzero((np.diff(position) != 1) | (doc.text[position[1:]] != doc.text[position[:-1]])) + 1 if len(position) else []
+    for run in np.split(position, cut) if len(position) else []:
+        automaton.add(doc.words(int(run[0]), int(run[-1]) + doc.window), 1 + int(doc.rank[doc.text[run[0]]]))
+    automaton.build()
+    return automaton
+
+
+def strip_repeats(doc: BlockWords, passages: list[bytes], with_text: bool = True) -> pa.Table:
+    automaton = compile_automaton(doc, passages)
     rows = []
     for i, doc_id in enumerate(doc.doc_ids):
         words = doc.words(int(doc.bounds[i]), int(doc.bounds[i + 1]))
-        kept = words
-        if automaton is not None and len(words) >= doc.window:
-            own = 1 + int(doc.rank[i])
-            ends = [e for e, value in automaton.iter(tuple(map(number.get, words, repeat(0)))) if value < own]
-            if ends:
-                step = np.zeros(len(words) + 1, np.int32)
-                at = np.array(ends)
-                np.add.at(step, at - doc.window + 1, 1)
-                np.add.at(step, at + 1, -1)
-                kept = [w for w, c in zip(words, np.cumsum(step)[:-1].tolist()) if not c]
+        kept, spans = words, automaton.covered(words, 1 + int(doc.rank[i]))
+        if spans:
+            step = np.zeros(len(words) + 1, np.int32)
+            at = np.array(spans)
+            np.add.at(step, at[:, 0], 1)
+            np.add.at(step, at[:, 1], -1)
+            kept = [w for w, c in zip(words, np.cumsum(step)[:-1].tolist()) if not c]
         text = b" ".join(kept)
-        rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode()))
+        rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode() if with_text else None))
     cols = list(zip(*rows)) or [[]] * 5
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words, joined by blanks) of each document."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, block_bytes: int = X.BLOCK_BYTES, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words, joined by blanks; null unless with_text) of
+    each document."""
     blocks, shards = X.counts(X.text_bytes(docs), block_bytes)
     low = doc_ranges(docs, blocks)
     ranges = len(low)
@@ -229,7 +278,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, block_
 
     def strip(key, table, replies):
         lines = [x for packed in replies.column("answer").to_pylist() for x in packed.split(b"\n")]
-        return strip_repeats(BlockWords(table, window, run), lines)
+        return strip_repeats(BlockWords(table, window, run), lines, with_text)
 
     by_block = lambda df: df.repartition(tasks, "block").groupBy("block")
     by_shard = lambda df: df.repartition(tasks, "shard").groupBy("shard")

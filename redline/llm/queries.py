@@ -79,7 +79,7 @@ def op9_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_repeated_phrases(spark: SparkSession, folder: str) -> DataFrame:
-    return phrase_automata.remove_repeats(table(spark, folder, "documents")).drop("kept_text")
+    return phrase_automata.remove_repeats(table(spark, folder, "documents"), with_text=False).drop("kept_text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
