@@ -237,7 +237,7 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = X.BLOCK_B
     words = by_shard(text.cogroup(own).applyInArrow(ask_words, X.QUESTIONS)).applyInArrow(count_words, REPLIES)
     # the totals are one row: added up in each task, then in one, and sent to every block
     partial = pairs.union(words).where("kind = 2").select("answer").mapInArrow(add_totals, "answer binary")
-    total = partial.coalesce(1).mapInArrow(add_totals, "answer binary")
+    total = partial.repartition(1).mapInArrow(add_totals, "answer binary")
     total = total.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(2).alias("kind"), F.lit(-1).alias("shard"), "answer")
     replies = pairs.union(words).where("kind < 2").union(total)
     return text.cogroup(by_block(replies)).applyInArrow(score, RESULT)
