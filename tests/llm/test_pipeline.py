@@ -3,11 +3,11 @@
 import importlib
 
 import pytest
+from check_oracle import connect, difference
 from conftest import SMALL
 
 import corpus_pipeline
 from redline.llm import decontaminate, queries, token_output
-from redline.llm.jaccard_join import shingle_sets  # noqa: F401  the operator of the second stage
 
 
 def test_stages_keep_documents_columns(spark):
@@ -36,13 +36,15 @@ def test_stages_keep_documents_columns(spark):
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
-def test_query_covers_its_table(spark, name):
-    got = queries.QUERIES[name](spark, SMALL)
+def test_query_covers_its_table_and_fits_its_sql(spark, name):
+    got = queries.QUERIES[name](spark, SMALL).toPandas()
     if name.startswith("op8_"):
-        assert got.count() > 0
+        assert len(got) > 0
     else:
         source = "pages" if name.startswith("op2_") else "documents"
-        assert got.count() == queries.table(spark, SMALL, source).count()
+        assert len(got) == queries.table(spark, SMALL, source).count()
+    if name in queries.SQL:
+        assert difference(got, connect(SMALL).execute(queries.SQL[name]).df()) is None
 
 
 def test_each_operator_is_registered():
