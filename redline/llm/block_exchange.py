@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 BLOCK_BYTES = 2 << 20
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 QUESTIONS = "shard int, block int, size int, low binary, high binary, extra binary"
 
 
@@ -42,6 +42,18 @@ def blocked(docs: DataFrame) -> DataFrame:
     return docs.repartition(tasks(docs), "block")
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Rows of counts, mostly small: one byte each, 255 standing for those listed in full at the end."""
+    large = counts >= 255
+    return np.where(large, 255, counts).astype("u1").tobytes() + counts[large].astype("<u8").tobytes()
+
+
+def unpack_counts(raw: bytes, rows: int, size: int) -> np.ndarray:
+    out = np.frombuffer(raw, "u1", rows * size).reshape(rows, size).astype(np.uint64)
+    out[out == 255] = np.frombuffer(raw, "<u8", offset=rows * size)
+    return out
+
+
 def shard_order(values: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, cuts): values[order[cuts[s]:cuts[s + 1]]] belong to shard s."""
     shard = ((values >> U(32)) % U(shards)).astype(np.int32)
@@ -50,7 +62,8 @@ def shard_order(values: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray
 
 
 def questions(block: int, values: np.ndarray, shards: int, width: int, extra: np.ndarray | None = None) -> pa.Table:
-    """Rows that ask about distinct values, of which width bytes (4, 5 or 8) are sent; extra: one entry for each."""
+    """Rows that ask about distinct values, of which width bytes (4, 5 or 8) are sent; extra: one entry for each, or
+    rows of counts."""
     order, cuts = shard_order(values, shards)
     full = np.flatnonzero(np.diff(cuts))
     low, high, more = [], [], []
@@ -58,7 +71,8 @@ def questions(block: int, values: np.ndarray, shards: int, width: int, extra: np
         mine = values[order[cuts[s] : cuts[s + 1]]]
         low.append((mine & U(0xFFFFFFFF)).astype("<u4").tobytes())
         high.append(b"" if width == 4 else ((mine >> U(56)).astype("u1") if width == 5 else (mine >> U(32)).astype("<u4")).tobytes())
-        more.append(b"" if extra is None else np.ascontiguousarray(extra[order[cuts[s] : cuts[s + 1]]]).tobytes())
+        own = order[cuts[s] : cuts[s + 1]]
+        more.append(b"" if extra is None else extra[own].tobytes() if extra.ndim == 1 else pack_counts(extra[:, own]))
     return pa.table({
         "shard": pa.array(full.astype(np.int32)), "block": pa.array(np.full(len(full), block, np.int32)),
         "size": pa.array(np.diff(cuts)[full].astype(np.int32)),
@@ -67,9 +81,10 @@ def questions(block: int, values: np.ndarray, shards: int, width: int, extra: np
 
 
 class Asked:
-    """What a shard has been asked: one entry for each (block, value)."""
+    """What a shard has been asked: one entry for each (block, value). extra: the type of the questions' extra entries, or
+    how many rows of counts they have."""
 
-    def __init__(self, table: pa.Table, extra: str | None = None):
+    def __init__(self, table: pa.Table, extra: str | int | None = None):
         table = table.sort_by("block")
         self.blocks = table.column("block").to_numpy()
         sizes = table.column("size").to_numpy()
@@ -83,7 +98,11 @@ class Asked:
         self.values = values
         self.block = np.repeat(self.blocks, sizes)
         self.cuts = np.append(0, np.cumsum(sizes))
-        self.extra = np.frombuffer(join("extra"), extra) if extra else None
+        self.extra = None
+        if isinstance(extra, int):
+            self.extra = np.concatenate([unpack_counts(raw, extra, n) for raw, n in zip(table.column("extra").to_pylist(), sizes)], axis=1)
+        elif extra:
+            self.extra = np.frombuffer(join("extra"), extra)
         order = np.argsort(values, kind="stable")  # by value, then by block
         v = values[order]
         self.order = order
@@ -99,15 +118,20 @@ class Asked:
         return out
 
     def answers(self, shard: int, items: np.ndarray) -> pa.Table:
-        """Rows for the blocks; items: one for each entry as asked."""
-        cut = [items[a:b].tobytes() for a, b in zip(self.cuts[:-1], self.cuts[1:])]
+        """Rows for the blocks; items: one for each entry as asked, or rows of counts for each."""
+        cut = [items[a:b].tobytes() if items.ndim == 1 else pack_counts(items[:, a:b]) for a, b in zip(self.cuts[:-1], self.cuts[1:])]
         return pa.table({"block": pa.array(self.blocks.astype(np.int32)), "shard": pa.array(np.full(len(cut), shard, np.int32)), "answer": pa.array(cut, pa.binary())})
 
 
-def answered(table: pa.Table, values: np.ndarray, shards: int, kind: str) -> np.ndarray:
-    """The answers to questions(block, values, ...), in the order of values."""
+def answered(table: pa.Table, values: np.ndarray, shards: int, kind: str | int) -> np.ndarray:
+    """The answers to questions(block, values, ...), in the order of values: items of a type, or rows of counts."""
     order, cuts = shard_order(values, shards)
-    out = np.zeros(len(values), kind)
+    counted = isinstance(kind, int)
+    out = np.zeros((kind, len(values)), np.uint64) if counted else np.zeros(len(values), kind)
     for shard, answer in zip(table.column("shard").to_pylist(), table.column("answer").to_pylist()):
-        out[order[cuts[shard] : cuts[shard + 1]]] = np.frombuffer(answer, kind)
+        own = order[cuts[shard] : cuts[shard + 1]]
+        if counted:
+            out[:, own] = unpack_counts(answer, kind, len(own))
+        else:
+            out[own] = np.frombuffer(answer, kind)
     return out

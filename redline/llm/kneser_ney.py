@@ -39,12 +39,11 @@ from redline.llm import words as W
 
 START, END = W.U(0x1F83D9ABFB41BD6B), W.U(0x5BE0CD19137E2179)
 PAIR = W._random(2, 21)
-OWNED = np.uint32(1 << 31)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 ARROW = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 REPLIES = "block int, kind int, shard int, answer binary"
-WORD = np.dtype([("count", "<u4"), ("follows", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
-SUMS = np.dtype([("count", "<u8"), ("follows", "<u8"), ("n1", "<u8"), ("n2", "<u8"), ("n3", "<u8")])
+#: What is counted of a word; rows of the arrays that travel.
+COUNT, FOLLOWS, N1, N2, N3 = WORD = range(5)
 TOTALS = ["tokens", "vocabulary", "kinds"] + [f"c{k}" for k in (1, 2, 3, 4)] + [f"k{k}" for k in (1, 2, 3, 4)] + ["k_more"]
 
 
@@ -76,34 +75,34 @@ class BlockTokens:
         """What the block adds to each of its words: training tokens (for the start mark: documents), and the bigrams
         it owns, by the word they end with and by the word they begin with."""
         n = len(self.words)
-        out = np.zeros(n, WORD)
-        out["count"] = np.bincount(self.word[self.learnt], minlength=n)
-        out["count"][np.searchsorted(self.words, START)] = self.train.sum()
+        out = np.zeros((len(WORD), n), np.uint64)
+        out[COUNT] = np.bincount(self.word[self.learnt], minlength=n)
+        out[COUNT, np.searchsorted(self.words, START)] = self.train.sum()
         mine = np.flatnonzero(owned)
         example = self.example[mine]
-        out["follows"] = np.bincount(self.word[example], minlength=n)
-        for name, chosen in (("n1", count[mine] == 1), ("n2", count[mine] == 2), ("n3", count[mine] > 2)):
+        out[FOLLOWS] = np.bincount(self.word[example], minlength=n)
+        for name, chosen in ((N1, count[mine] == 1), (N2, count[mine] == 2), (N3, count[mine] > 2)):
             out[name] = np.bincount(self.context[example[chosen]], minlength=n)
         return out
 
 
 class MappedCounts:
-    """A shard's counts, sorted by hash, in a file of the worker's own that is memory-mapped and has no name any more,
+    """A shard's rows of counts, sorted by hash, in a file of the worker's own that is memory-mapped and has no name any more,
     so nothing is left behind however the task ends."""
 
     def __init__(self, values: np.ndarray, counts: np.ndarray):
-        kind = np.dtype([("value", "<u8"), ("count", counts.dtype)])
+        kind = np.dtype([("value", "<u8"), ("count", "<u8", (len(counts),))])
         self.size = len(values)
         if self.size:
             handle, path = tempfile.mkstemp(prefix="ngram-shard-")
             os.close(handle)
             stored = np.memmap(path, kind, "w+", shape=self.size)
             os.unlink(path)
-            stored["value"], stored["count"] = values, counts
+            stored["value"], stored["count"] = values, counts.T
             self.values, self.counts = stored["value"], stored["count"]
 
     def look_up(self, values: np.ndarray) -> np.ndarray:
-        return self.counts[np.searchsorted(self.values, values)]
+        return self.counts[np.searchsorted(self.values, values)].T
 
 
 def discounts(counts: list[float]) -> np.ndarray:
@@ -171,34 +170,32 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = X.BLOCK_B
         asked, shard = X.Asked(table, "<u4"), key[0].as_py()
         extra = asked.extra[asked.order]
         count = np.add.reduceat(extra, asked.first, dtype=np.int64) if len(extra) else np.zeros(0, np.int64)
-        model = MappedCounts(asked.values[asked.order][asked.first], np.minimum(count, OWNED - np.uint32(1)).astype("<u4"))
-        items = np.zeros(len(asked.values), "<u4")
+        model = MappedCounts(asked.values[asked.order][asked.first], 2 * count[None, :])
+        items = np.zeros((1, len(asked.values)), np.uint64)
         for a, b in zip(asked.cuts[:-1], asked.cuts[1:]):
-            items[a:b] = model.look_up(asked.values[a:b])
+            items[:, a:b] = model.look_up(asked.values[a:b])
         has = np.flatnonzero(extra > 0)
         _, owner = np.unique(asked.group[has], return_index=True)
-        items[asked.order[has[owner]]] |= OWNED
+        items[0, asked.order[has[owner]]] += np.uint64(1)
         totals = _totals({f"c{k}": int((count == k).sum()) for k in (1, 2, 3, 4)})
         return _with_kind(asked.answers(shard, items), 0, [(-1, 2, shard, totals)])
 
     def ask_words(key, table, replies):
         t = BlockTokens(table)
-        got = X.answered(replies, t.pairs, shards, "<u4")
-        return X.questions(key[0].as_py(), t.words, shards, 8, t.word_questions(got & ~OWNED, got >= OWNED))
+        got = X.answered(replies, t.pairs, shards, 1)[0].astype(np.int64)  # twice the count, plus one for the owner
+        return X.questions(key[0].as_py(), t.words, shards, 8, t.word_questions(got >> 1, got & 1))
 
     def count_words(key, table):
-        asked, shard = X.Asked(table, WORD), key[0].as_py()
-        sums = np.zeros(len(asked.first), SUMS)
-        for name in WORD.names:
-            sums[name] = np.add.reduceat(asked.extra[name][asked.order], asked.first, dtype=np.uint64)
+        asked, shard = X.Asked(table, len(WORD)), key[0].as_py()
+        sums = np.add.reduceat(asked.extra[:, asked.order], asked.first, axis=1)
         values = asked.values[asked.order][asked.first]
         model = MappedCounts(values, sums)
-        items = np.zeros(len(asked.values), SUMS)
+        items = np.zeros((len(WORD), len(asked.values)), np.uint64)
         for a, b in zip(asked.cuts[:-1], asked.cuts[1:]):
-            items[a:b] = model.look_up(asked.values[a:b])
-        real = sums[values != START]
-        k = real["follows"]
-        totals = {"tokens": int(real["count"].sum()), "vocabulary": int((real["count"] > 0).sum()), "kinds": int(k.sum()), "k_more": int((k > 2).sum())}
+            items[:, a:b] = model.look_up(asked.values[a:b])
+        real = sums[:, values != START]
+        k = real[FOLLOWS]
+        totals = {"tokens": int(real[COUNT].sum()), "vocabulary": int((real[COUNT] > 0).sum()), "kinds": int(k.sum()), "k_more": int((k > 2).sum())}
         totals |= {f"k{n}": int((k == n).sum()) for n in (1, 2, 3, 4)}
         return _with_kind(asked.answers(shard, items), 1, [(-1, 2, shard, _totals(totals))])
 
@@ -215,11 +212,11 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = X.BLOCK_B
             return pa.table({name: pa.array([], kind) for name, kind in ARROW.items()})
         t = BlockTokens(table)
         total = dict(zip(TOTALS, np.frombuffer(_of_kind(replies, 2).column("answer")[0].as_py(), "<f8").tolist()))
-        pair = (X.answered(_of_kind(replies, 0), t.pairs, shards, "<u4") & ~OWNED).astype(np.int64)
-        word = X.answered(_of_kind(replies, 1), t.words, shards, SUMS)
-        follows, count = word["follows"].astype(np.int64), word["count"].astype(np.int64)
-        p_word = word_probability(follows, total)
-        context = {name: word[name].astype(np.int64)[t.context] for name in ("count", "n1", "n2", "n3")}
+        pair = X.answered(_of_kind(replies, 0), t.pairs, shards, 1)[0].astype(np.int64) >> 1
+        word = X.answered(_of_kind(replies, 1), t.words, shards, len(WORD)).astype(np.int64)
+        count = word[COUNT]
+        p_word = word_probability(word[FOLLOWS], total)
+        context = {name: word[row][t.context] for name, row in (("count", COUNT), ("n1", N1), ("n2", N2), ("n3", N3))}
         p = probability(pair[t.pair], context, p_word[t.word], total)
         base = np.log10((count + 0.1) / (total["tokens"] + 0.1 * (total["vocabulary"] + 1)))
         per_doc = lambda x: np.add.reduceat(x, t.first)
