@@ -10,7 +10,7 @@ Two documents link when PERCENT * union <= 100 * intersection. The result is eac
 3. Prefix filter: linked sets share one of the first n - ceil(PERCENT% n) + 1 shingles of either. Of all classes that hold
    a shingle there, the one with the largest share of recurring shingles is the centre; each class is verified against
    its centres. So a family of copies costs a row for each copy, not each pair. Links make components.
-4. The matrix. Classes of one component are cut into groups of at most GROUP; a group stores the union of its members'
+4. The matrix. Classes of one component and about one size are cut into groups of about GROUP; a group stores the union of its members'
    shingles. Where components still share a prefix shingle, the classes of the smaller one query the groups of the larger:
    the overlap with the union bounds the overlap with any member, and only groups that the bound lets through are opened
    and their members compared. Any pair that could still link two components is covered, so the components are exact.
@@ -36,7 +36,11 @@ from redline.session import store
 SHINGLE = 4
 PERCENT = 85
 GROUP = 64
+#: Sets of a group differ in size by so much at most, as a share.
+BAND = 0.02
 QUERIES_EACH = 512
+#: Documents whose shingles a task holds at a time while it fingerprints them.
+ROWS_EACH = 512
 SETS = "doc_id long, tie long, n long, f1 long, f2 long, text string"
 SURVIVORS = "cls long, n long, recurring long, tokens binary, prefix array<bigint>"
 
@@ -80,7 +84,7 @@ def fingerprinted(docs: DataFrame, shingle: int, with_text: bool) -> DataFrame:
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS_EACH) for whole in batches for i in range(0, whole.num_rows, ROWS_EACH)):
             shingles, cuts = shingle_sets(batch.column(2), shingle)
             f1, f2 = fingerprints(shingles, cuts)
             n = np.diff(cuts).astype(np.int64)
@@ -193,27 +197,33 @@ def centre_links(kept: DataFrame, percent: int) -> DataFrame:
 
 def matrix_links(kept: DataFrame, comps: DataFrame, percent: int, group: int) -> DataFrame:
     """Verified links between classes of different components: queries against groups, bounded by the groups' unions."""
-    sized = comps.groupBy("comp").agg(F.count("*").alias("size"))
-    placed = kept.join(comps, "cls").join(sized, "comp")
-    part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / group)).cast("int")
-    prefix = placed.select("cls", "n", "recurring", "comp", "size", part.alias("part"), F.explode("prefix").alias("shingle"))
+    # sets of a group have about one size, so that the size bounds are sharp
+    placed = kept.join(comps, "cls").withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.0 + BAND))).cast("int"))
+    bands = placed.groupBy("comp", "band").agg(F.count("*").alias("band_size"))
+    sized = bands.join(bands.groupBy("comp").agg(F.sum("band_size").alias("size")), "comp")
+    part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("band_size") / group)).cast("int")
+    placed = placed.join(sized, ["comp", "band"]).withColumn("part", part)
+    prefix = placed.select("cls", "n", "recurring", "comp", "size", "band", "part", F.explode("prefix").alias("shingle"))
     shared = prefix.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
     open_ = prefix.join(shared, "shingle", "left_semi")
-    groups = open_.groupBy("shingle", "comp", "size", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    groups = groups.select("shingle", F.col("comp").alias("g_comp"), F.col("size").alias("g_size"), F.col("part").alias("g_part"), "least", "most")
+    # a link of sizes n and m shares percent (n + m) / (100 + percent) shingles at least; room: what is left of that for n
+    room = F.max(F.col("recurring") * (100 + percent) - F.col("n") * percent)
+    groups = open_.groupBy("shingle", "comp", "size", "band", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), room.alias("room"))
+    groups = groups.select("shingle", *[F.col(c).alias(f"g_{c}") for c in ("comp", "size", "band", "part")], "least", "most", "room")
     smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
     may = (
         (F.struct("size", "comp") < F.struct("g_size", "g_comp")) & (F.col("n") * 100 >= F.col("least") * percent) & (F.col("n") * percent <= F.col("most") * 100)
-        & (F.col("recurring") * (100 + percent) >= (F.col("n") + smallest) * percent)
+        & (F.col("recurring") * (100 + percent) >= (F.col("n") + smallest) * percent) & (F.col("room") >= F.col("n") * percent)
     )
-    asks = open_.join(groups, "shingle").where(may).select("cls", "g_comp", "g_part").distinct()
+    keys = ["g_comp", "g_band", "g_part"]
+    asks = open_.join(groups, "shingle").where(may).select("cls", *keys).distinct()
     asks = store(asks, "matrix-queries")
-    loads = asks.groupBy("g_comp", "g_part").agg(F.ceil(F.count("*") / QUERIES_EACH).cast("int").alias("splits"))
+    loads = asks.groupBy(*keys).agg(F.ceil(F.count("*") / QUERIES_EACH).cast("int").alias("splits"))
     sets = kept.select("cls", "tokens")
-    query = asks.join(loads, ["g_comp", "g_part"]).join(sets, "cls")
-    query = query.select("g_comp", "g_part", F.pmod(F.xxhash64("cls"), F.col("splits")).cast("int").alias("split"), "cls", "tokens")
-    members = placed.select(F.col("comp").alias("g_comp"), part.alias("g_part"), "cls", "tokens").join(loads, ["g_comp", "g_part"])
-    members = members.select("g_comp", "g_part", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), F.col("cls").alias("member"), F.col("tokens").alias("member_tokens"))
+    query = asks.join(loads, keys).join(sets, "cls")
+    query = query.select(*keys, F.pmod(F.xxhash64("cls"), F.col("splits")).cast("int").alias("split"), "cls", "tokens")
+    members = placed.select(*[F.col(k.removeprefix("g_")).alias(k) for k in keys], "cls", "tokens").join(loads, keys)
+    members = members.select(*keys, F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), F.col("cls").alias("member"), F.col("tokens").alias("member_tokens"))
 
     def open_groups(key, queries, own):
         names, sets_of = own.column("member").to_pylist(), [_set(x) for x in own.column("member_tokens").to_pylist()]
@@ -233,7 +243,7 @@ def matrix_links(kept: DataFrame, comps: DataFrame, percent: int, group: int) ->
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    keys = ["g_comp", "g_part", "split"]
+    keys = [*keys, "split"]
     return query.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(open_groups, "a long, b long")
 
 
