@@ -18,6 +18,7 @@ no rows. Other columns are ignored by rates() and kept by mixed().
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -59,6 +60,12 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], max_rows: int
     return chances, [math.log((prior.get(d, 0) + 1) / rows) for d in domains]
 
 
+def constant(values: list) -> Column:
+    """A (nested) array of doubles as one constant, however long: the optimiser folds the parsing away."""
+    kind = "array<array<double>>" if values and isinstance(values[0], list) else "array<double>"
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def _sum_over_places(chances: Column) -> Column:
     return F.aggregate("places", F.lit(0.0), lambda a, w: a + F.get(chances, w))
 
@@ -66,7 +73,7 @@ def _sum_over_places(chances: Column) -> Column:
 def with_posteriors(docs: DataFrame, chances: list[list[float]], prior: list[float]) -> DataFrame:
     """docs with n_words long and p array<double> (the domains' posteriors) of each document; map-side."""
     some = docs.withColumn("places", word_places(F.col("text"))).withColumn("n_words", F.size("places").cast("long"))
-    sums = [_sum_over_places(F.lit(each)) for each in chances]
+    sums = [_sum_over_places(constant(each)) for each in chances]
     temper = F.least("n_words", F.lit(SHARP_WORDS)) / F.greatest("n_words", F.lit(1))
     some = some.withColumn("score", F.array(*[s * temper + F.lit(q) for s, q in zip(sums, prior)])).drop("places")
     some = some.withColumn("e", F.transform("score", lambda x: F.exp(x - F.array_max("score"))))
@@ -84,7 +91,7 @@ def rate_after(steps: list[list[float]]) -> Column:
     if not steps:
         return F.lit(1.0)
     dot = lambda s: F.aggregate(F.zip_with("p", s, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(F.lit(steps), F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
+    return F.aggregate(constant(steps), F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
 
 
 def fit_steps(rows: DataFrame, weights: list[float], total: float | None = None) -> list[list[float]]:
