@@ -159,6 +159,7 @@ def test_locate_finds_far_pages_like_brute_force(spark):
     ).collect()
     mine = {(r.doc_id, r.paragraph_index): (r.page_no, r.matched_length, r.at, r.is_near) for r in got}
     for doc, i, _, text, n in changes:
+        text = text.strip()
         if len(text) < 4:
             continue
         total = max(1, -(-n // 10))
