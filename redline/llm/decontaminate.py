@@ -5,7 +5,8 @@ punctuation go. Windows of the resulting template tokens are hash-joined: benchm
 question with other numbers or names still has the same template. A document leaks an item when it holds enough of the
 item's windows and the slots agree: each value of the item's slots is replaced by the same value wherever it occurs.
 
-No document text is shuffled: a document's windows are exploded and probed in one pass, against the benchmark's windows,
+No document text is shuffled: a document's windows are hashed, those whose bit in a bitmap of the benchmark's hashes is
+not set are dropped, and the others are exploded and probed in one pass, against the benchmark's windows,
 which are broadcast only if counted to be at most MAX_BROADCAST (beyond that Spark joins by shuffling hashes). Matches are
 then grouped by document and item.
 
@@ -18,6 +19,8 @@ leaks() and kept by without_leaks(). Empty tables leak nothing.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +41,13 @@ def words_of(text: Column) -> Column:
 
 def template_text(text: Column) -> Column:
     """The text with placeholders, lower case and no marks at words; its words stand where the text's words stand."""
-    out = F.coalesce(text, F.lit(""))
-    out = F.regexp_replace(out, r"(?<!\S)\p{Punct}*[+-]?\d[\d.,:/]*\p{Punct}*(?!\S)", "<num>")
-    out = F.regexp_replace(out, r"(?<!\S)(\p{Punct}*)[+-]?\d[\d.,:/]*(?i:" + "|".join(UNITS.split()) + r")\p{Punct}*(?!\S)", "<num>")
-    out = F.regexp_replace(out, r"(?<=[^\s.!?:]\s)\p{Lu}[\p{L}'’-]*\p{Punct}*(?!\S)", "<name>")
-    out = F.lower(out)
-    out = F.regexp_replace(out, r"(?<=\S)[^\p{L}\p{N}\s<>]+|[^\p{L}\p{N}\s<>]+(?=\S)", "")
-    return F.regexp_replace(out, r"(?<=<num>\s)(?:" + "|".join(UNITS.split()) + r")(?!\S)", "<unit>")
+    raw = F.coalesce(text, F.lit(""))
+    units = "|".join(UNITS.split())
+    numbers = F.regexp_replace(raw, r"(?<!\S)\p{Punct}*[+-]?\d[\d.,:/]*(?i:" + units + r")?\p{Punct}*(?!\S)", "<num>")
+    out = F.when(raw.rlike("[0-9]"), numbers).otherwise(raw)  # most texts have none
+    out = F.regexp_replace(out, r"\p{Lu}(?<=[^\s.!?:]\s\p{Lu})[\p{L}'’-]*\p{Punct}*(?!\S)", "<name>")
+    out = F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}\s<>](?:(?=\S)|(?<=\S.))", "")
+    return F.when(raw.rlike("[0-9]"), F.regexp_replace(out, r"(?<=<num>\s)(?:" + units + r")(?!\S)", "<unit>")).otherwise(out)
 
 
 def window_hashes(tokens: Column, length: int) -> Column:
@@ -74,18 +77,39 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return rows.select("item", "item_id", "length", "item_windows", "w.position", F.xxhash64("w.run").alias("hash"), _slots(F.col("w.raw"), F.col("w.run")).alias("item_slots"))
 
 
+def hash_bits(hashes: DataFrame, count: int) -> tuple[list[int], int]:
+    """(words, size): a bitmap in 64-bit words of the hashes' low bits, with 32 bits for each hash, 2**22 at most. A hash
+    whose bit is not set is none of them."""
+    size = 1 << min(22, max(12, (32 * count).bit_length()))
+    bit = F.pmod("hash", F.lit(size))
+    rows = hashes.select(F.floor(bit / 64).alias("word"), F.pmod(bit, F.lit(64)).alias("bit")).distinct()
+    words = [0] * (size // 64)
+    for r in rows.collect():  # as many as the bitmap has bits at most
+        words[r.word] |= 1 << r.bit
+    return [w - (1 << 64) if w >> 63 else w for w in words], size
+
+
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE, min_consistency: float = MIN_CONSISTENCY) -> DataFrame:
     """doc_id, tie (null unless doc_id is), item_id, n_windows, item_windows, coverage, n_slots, n_changed_slots,
     slot_consistency and exact (no slot differs) of each leak of an item in a document."""
     searched = item_windows(items, window)
     lengths = [r.length for r in searched.select("length").distinct().collect()]  # window at most
-    if searched.count() <= MAX_BROADCAST:
+    count = searched.count()
+    words, size = hash_bits(searched, count)
+    bitmap = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+    if count <= MAX_BROADCAST:
         searched = F.broadcast(searched)
+
+    def likely(w):
+        bit = F.pmod(w["hash"], F.lit(size))
+        word = F.get(bitmap, F.shiftright(bit, 6).cast("int"))
+        return F.getbit(word, F.pmod(bit, F.lit(64)).cast("int")) == 1
+
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     text = text.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("tie"), words_of(F.col("text")).alias("words"), words_of(template_text(F.col("text"))).alias("tokens"))
     found = None
     for length in sorted(lengths) or [window]:
-        each = text.select("doc_id", "tie", "words", "tokens", F.posexplode(window_hashes(F.col("tokens"), length)).alias("at", "hash"))
+        each = text.select("doc_id", "tie", "words", "tokens", F.inline(F.filter(F.transform(window_hashes(F.col("tokens"), length), lambda h, i: F.struct(i.alias("at"), h.alias("hash"))), likely)))
         hits = each.join(searched.where(F.col("length") == length), "hash")
         raw, run = F.slice("words", F.col("at") + 1, length), F.slice("tokens", F.col("at") + 1, length)
         pairs = F.zip_with("item_slots", _slots(raw, run), lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("item_value"), b["value"].alias("doc_value")))
