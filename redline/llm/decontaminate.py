@@ -3,12 +3,13 @@
 Numbers, units after numbers, and names (capitalised words inside a sentence) become typed placeholders; case and
 punctuation go. Windows of the resulting template tokens are hash-joined: benchmark windows against all documents'. A
 question with other numbers or names still has the same template. A document leaks an item when it holds enough of the
-item's windows and the slots agree: each value of the item's slots is replaced by the same value wherever it occurs.
+item's windows and the slots agree: each value of the item's slots is replaced by the same value wherever it occurs in
+that occurrence. A document's occurrences of an item are judged each by itself, and all together; one that passes will do.
 
 No document text is shuffled: a document's windows are hashed, those whose bit in a bitmap of the benchmark's hashes is
 not set are dropped, and the others are exploded and probed in one pass, against the benchmark's windows,
 which are broadcast only if counted to be at most MAX_BROADCAST (beyond that Spark joins by shuffling hashes). Matches are
-then grouped by document and item.
+then grouped by document, item and the place where the item would start, neighbouring starts together.
 
 Defined results: null and empty texts and texts shorter than a window hold no windows; an item with MIN_WORDS words or
 more but fewer than a window is one window of its own length, and shorter items, which any text may hold by chance, are
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 8
@@ -89,9 +90,24 @@ def hash_bits(hashes: DataFrame, count: int) -> tuple[list[int], int]:
     return [w - (1 << 64) if w >> 63 else w for w in words], size
 
 
+def _judged(min_coverage: float, min_consistency: float) -> Column:
+    """Whether the windows found at positions, with their slots in pairs, are a leak, and the figures, so that the
+    greatest of several is the best. Windows without a changed slot are enough by themselves."""
+    values = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["item_value"])))
+    changed = F.size(F.filter("pairs", lambda p: ~p["item_value"].eqNullSafe(p["doc_value"])))
+    n_slots, n_pairs = F.size(values), F.size("pairs")
+    coverage = F.size("positions") / F.col("item_windows")
+    consistency = F.when(n_pairs > 0, n_slots / n_pairs).otherwise(F.lit(1.0))
+    enough = (coverage >= min_coverage) & (consistency >= min_consistency) | (F.size("unchanged") / F.col("item_windows") >= min_coverage)
+    return F.struct(
+        enough.alias("leaks"), (changed == 0).alias("exact"), coverage.alias("coverage"), consistency.alias("slot_consistency"),
+        F.size("positions").cast("long").alias("n_windows"), n_slots.cast("long").alias("n_slots"), changed.cast("long").alias("n_changed_slots"),
+    )
+
+
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE, min_consistency: float = MIN_CONSISTENCY) -> DataFrame:
     """doc_id, tie (null unless doc_id is), item_id, n_windows, item_windows, coverage, n_slots, n_changed_slots,
-    slot_consistency and exact (no slot differs) of each leak of an item in a document."""
+    slot_consistency and exact (no slot differs) of each leak of an item in a document: those of its best occurrence."""
     searched = item_windows(items, window)
     lengths = [r.length for r in searched.select("length").distinct().collect()]  # window at most
     count = searched.count()
@@ -113,20 +129,26 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_coverage:
         hits = each.join(searched.where(F.col("length") == length), "hash")
         raw, run = F.slice("words", F.col("at") + 1, length), F.slice("tokens", F.col("at") + 1, length)
         pairs = F.zip_with("item_slots", _slots(raw, run), lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("item_value"), b["value"].alias("doc_value")))
-        hits = hits.select("doc_id", "tie", "item", "item_id", "item_windows", "position", pairs.alias("pairs"))
+        hits = hits.select("doc_id", "tie", "item", "item_id", "item_windows", "position", (F.col("at") - F.col("position")).alias("start"), pairs.alias("pairs"))
         found = hits if found is None else found.union(hits)
-    grouped = found.groupBy("doc_id", "tie", "item", "item_id", "item_windows").agg(
-        F.size(F.collect_set("position")).cast("long").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    key = ["doc_id", "tie", "item", "item_id", "item_windows"]
+    positions = lambda name: F.array_distinct(F.flatten(F.collect_list(name)))
+    judged = lambda: _judged(min_coverage, min_consistency).alias("verdict")
+    # one start each, then neighbouring starts (words were put in or left out), then all of the document
+    same = F.forall("pairs", lambda p: p["item_value"].eqNullSafe(p["doc_value"]))
+    one = found.groupBy(*key, "start").agg(
+        F.collect_set("position").alias("positions"), F.collect_set(F.when(same, F.col("position"))).alias("unchanged"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
-    values = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["item_value"])))
-    changed = F.filter("pairs", lambda p: ~p["item_value"].eqNullSafe(p["doc_value"]))
-    n_slots, n_pairs = F.size(values), F.size("pairs")
-    out = grouped.select(
-        "doc_id", "tie", "item_id", "n_windows", F.col("item_windows").cast("long").alias("item_windows"), (F.col("n_windows") / F.col("item_windows")).alias("coverage"),
-        n_slots.cast("long").alias("n_slots"), F.size(changed).cast("long").alias("n_changed_slots"),
-        F.when(n_pairs > 0, n_slots / n_pairs).otherwise(F.lit(1.0)).alias("slot_consistency"), (F.size(changed) == 0).alias("exact"),
+    in_order = Window.partitionBy(*key).orderBy("start")
+    far = F.col("start") - F.lag("start").over(in_order) >= F.col("item_windows")
+    one = one.withColumn("verdict", judged()).withColumn("far", F.coalesce(far, F.lit(False)).cast("int")).withColumn("run", F.sum("far").over(in_order))
+    sets = lambda: [positions(x).alias(x) for x in ("positions", "unchanged", "pairs")]
+    runs = one.groupBy(*key, "run").agg(*sets(), F.max("verdict").alias("best"))
+    runs = runs.withColumn("best", F.greatest("best", judged()))
+    out = runs.groupBy(*key).agg(*sets(), F.max("best").alias("best")).withColumn("best", F.greatest("best", judged()))
+    return out.where("best.leaks").select(
+        "doc_id", "tie", "item_id", "best.n_windows", F.col("item_windows").cast("long").alias("item_windows"), "best.coverage", "best.n_slots", "best.n_changed_slots", "best.slot_consistency", "best.exact"
     )
-    return out.where((F.col("coverage") >= min_coverage) & (F.col("slot_consistency") >= min_consistency))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:

@@ -288,6 +288,19 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs, same_twice).where("doc_id = 1").count() == 2
 
 
+def test_leaks_of_several_occurrences(spark):
+    same = ITEMS[0][1]
+    other = "the train leaves at 90 km per hour and Bob walks 35 miles while Bob counts 90 steps home today"
+    third = "the train leaves at 70 km per hour and Carl walks 45 miles while Carl counts 70 steps home today"
+    mixed = "the train leaves at 90 km per hour and Bob walks 35 miles while Carl counts 7 steps home today"
+    spaced = lambda numbers, extra="": " ".join((f"{extra} " if i == 20 else "") + (str(numbers[i // 10]) if i % 10 == 5 else f"word{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(40))
+    far = " z" * 90 + " "
+    rows = [(1, f"{same} {other}"), (2, other + far + third), (3, f"{mixed} {same} {mixed}"), (4, f"{mixed} {mixed}"), (5, spaced([9] * 4, "more") + far + spaced([1, 2, 3, 4])), (6, spaced([1, 2, 3, 4]))]
+    items = spark.createDataFrame([ITEMS[0], (2, spaced([10] * 4))], "item_id long, text string")
+    got = decontaminate.leaks(documents(spark, rows), items)
+    assert tuples(got, "doc_id", "item_id", "exact") == [(1, 1, True), (2, 1, False), (3, 1, True), (5, 2, False)]
+
+
 def test_mixing(spark):
     draw = random.Random(3)
     words = {"en": "the and of with that".split(), "fr": "le la avec pour dans".split()}
