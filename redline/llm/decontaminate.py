@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 Numbers, units after numbers, and names (capitalised words inside a sentence) become typed placeholders; case and
-punctuation go. Windows of the resulting template tokens are hash-joined: benchmark windows against all documents'. A
-question with other numbers or names still has the same template. A document leaks an item when it holds enough of the
+punctuation go, also words of nothing else. Windows of the resulting template tokens are hash-joined: benchmark windows against all documents'. A
+question with other numbers or names still has the same template. Names are told by their capitals, so windows in which
+they stand as they are, in lower case, are joined too: copies in another case share those. A document leaks an item when it holds enough of the
 item's windows and the slots agree: each value of the item's slots is replaced by the same value wherever it occurs in
 that occurrence. A document's occurrences of an item are judged each by itself, and all together; one that passes will do.
 
@@ -35,20 +36,36 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 UNITS = "km m cm mm mi ft in yd kg g mg lb oz t l ml s ms min h hr hrs hours minutes seconds days weeks months years miles meters metres feet inches grams kilograms pounds dollars euros usd eur percent degrees c f k w kw mw v a hz khz mhz ghz b kb mb gb tb"
 
 
+def without_lone_marks(text: Column) -> Column:
+    """The text without the words that hold no letter or digit; angle brackets, which placeholders have, are other marks."""
+    raw = F.coalesce(text, F.lit(""))
+    raw = F.when(raw.contains("<") | raw.contains(">"), F.translate(raw, "<>", "''")).otherwise(raw)
+    return F.regexp_replace(F.concat(F.lit(" "), raw), r"\s++[^\p{L}\p{N}\s]++(?!\S)", "")
+
+
 def words_of(text: Column) -> Column:
     """The words; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
 
 
-def template_text(text: Column) -> Column:
-    """The text with placeholders, lower case and no marks at words; its words stand where the text's words stand."""
-    raw = F.coalesce(text, F.lit(""))
+def template_text(raw: Column) -> Column:
+    """A text of without_lone_marks with placeholders, lower case and no marks at words. Its words stand where the text's
+    words stand, one for one. A name is <name> and the word in lower case, for typed() and untyped()."""
     units = "|".join(UNITS.split())
     numbers = F.regexp_replace(raw, r"(?<!\S)\p{Punct}*[+-]?\d[\d.,:/]*(?i:" + units + r")?\p{Punct}*(?!\S)", "<num>")
     out = F.when(raw.rlike("[0-9]"), numbers).otherwise(raw)  # most texts have none
-    out = F.regexp_replace(out, r"\p{Lu}(?<=[^\s.!?:]\s\p{Lu})[\p{L}'’-]*\p{Punct}*(?!\S)", "<name>")
-    out = F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}\s<>](?:(?=\S)|(?<=\S.))", "")
-    return F.when(raw.rlike("[0-9]"), F.regexp_replace(out, r"(?<=<num>\s)(?:" + units + r")(?!\S)", "<unit>")).otherwise(out)
+    out = F.regexp_replace(out, r"\p{Lu}(?<=[^\s.!?:]\s\p{Lu})[\p{L}'’-]*\p{Punct}*(?!\S)", "<name>$0")
+    out = F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}\s<>]", "")
+    return F.when(raw.rlike("[0-9]"), F.regexp_replace(out, r"(?<=<num>\s)(?:<name>)?(?:" + units + r")(?!\S)", "<unit>")).otherwise(out)
+
+
+def typed(template: Column) -> Column:
+    return F.regexp_replace(template, r"<name>\S++", "<name>")
+
+
+def untyped(template: Column) -> Column:
+    """Names as they are, which copies in another case share."""
+    return F.replace(template, F.lit("<name>"), F.lit(""))
 
 
 def window_hashes(tokens: Column, length: int) -> Column:
@@ -59,23 +76,36 @@ def window_hashes(tokens: Column, length: int) -> Column:
     )
 
 
+def slot_value(word: Column) -> Column:
+    return F.lower(F.regexp_replace(word, r"^\p{Punct}+|\p{Punct}+$", ""))
+
+
 def _slots(words: Column, tokens: Column) -> Column:
     """(place, type, value) of the placeholders among the tokens."""
-    places = F.transform(words, lambda w, i: F.struct(i.alias("place"), F.get(tokens, i).alias("kind"), F.regexp_replace(w, r"^\p{Punct}+|\p{Punct}+$", "").alias("value")))
+    places = F.transform(words, lambda w, i: F.struct(i.alias("place"), F.get(tokens, i).alias("kind"), slot_value(w).alias("value")))
     return F.filter(places, lambda s: s["kind"].isin("<num>", "<unit>", "<name>"))
 
 
+def _aligned(docs: DataFrame, *names) -> DataFrame:
+    """names and clean, template: the text without lone marks and its template."""
+    return docs.select(*names, without_lone_marks(F.col("text")).alias("clean")).select(*names, "clean", template_text(F.col("clean")).alias("template"))
+
+
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """item, item_id, length, item_windows, position, hash, item_slots of each window that is searched."""
-    some = items.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words"), words_of(template_text(F.col("text"))).alias("tokens"))
-    some = some.where(F.size("tokens") >= MIN_WORDS).withColumn("length", F.least(F.size("tokens"), F.lit(window)))
-    tokens, length = F.col("tokens"), F.col("length")
-    starts = F.sequence(F.lit(1), F.size("tokens") - length + 1)
-    all_of = F.transform(starts, lambda i: F.struct((i - 1).alias("position"), F.slice(tokens, i, length).alias("run"), F.slice(F.col("words"), i, length).alias("raw")))
-    literal = F.filter(all_of, lambda w: F.size(F.filter(w["run"], lambda t: ~t.startswith("<"))) * 2 >= length)
-    rows = some.select("item", "item_id", "length", literal.alias("windows"))
+    """item, item_id, length, item_windows, position, hash, item_slots of each window that is searched: typed, and untyped
+    if that differs. An item that has typed windows to search is searched at those places only."""
+    some = _aligned(items, F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
+    some = some.select("item", "item_id", words_of(F.col("clean")).alias("words"), words_of(typed(F.col("template"))).alias("typed"), words_of(untyped(F.col("template"))).alias("untyped"))
+    some = some.where(F.size("words") >= MIN_WORDS).withColumn("length", F.least(F.size("words"), F.lit(window)))
+    length = F.col("length")
+    starts = F.sequence(F.lit(1), F.size("words") - length + 1)
+    all_of = F.transform(starts, lambda i: F.struct((i - 1).alias("position"), F.slice("typed", i, length).alias("typed"), F.slice("untyped", i, length).alias("untyped"), F.slice("words", i, length).alias("raw")))
+    searched = lambda kind: F.filter(F.col("windows"), lambda w: F.size(F.filter(w[kind], lambda t: ~t.startswith("<"))) * 2 >= length)
+    rows = some.select("item", "item_id", "length", all_of.alias("windows"))
+    rows = rows.withColumn("windows", F.when(F.size(searched("typed")) > 0, searched("typed")).otherwise(searched("untyped")))
     rows = rows.select("item", "item_id", "length", F.size("windows").alias("item_windows"), F.explode("windows").alias("w"))
-    return rows.select("item", "item_id", "length", "item_windows", "w.position", F.xxhash64("w.run").alias("hash"), _slots(F.col("w.raw"), F.col("w.run")).alias("item_slots"))
+    rows = rows.select("item", "item_id", "length", "item_windows", "w.position", "w.raw", F.explode(F.array_distinct(F.array("w.typed", "w.untyped"))).alias("run"))
+    return rows.select("item", "item_id", "length", "item_windows", "position", F.xxhash64("run").alias("hash"), _slots(F.col("raw"), F.col("run")).alias("item_slots"))
 
 
 def hash_bits(hashes: DataFrame, count: int) -> tuple[list[int], int]:
@@ -121,16 +151,19 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_coverage:
         word = F.get(bitmap, F.shiftright(bit, 6).cast("int"))
         return F.getbit(word, F.pmod(bit, F.lit(64)).cast("int")) == 1
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    text = text.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("tie"), words_of(F.col("text")).alias("words"), words_of(template_text(F.col("text"))).alias("tokens"))
-    found = None
-    for length in sorted(lengths) or [window]:
-        each = text.select("doc_id", "tie", "words", "tokens", F.inline(F.filter(F.transform(window_hashes(F.col("tokens"), length), lambda h, i: F.struct(i.alias("at"), h.alias("hash"))), likely)))
-        hits = each.join(searched.where(F.col("length") == length), "hash")
-        raw, run = F.slice("words", F.col("at") + 1, length), F.slice("tokens", F.col("at") + 1, length)
-        pairs = F.zip_with("item_slots", _slots(raw, run), lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("item_value"), b["value"].alias("doc_value")))
-        hits = hits.select("doc_id", "tie", "item", "item_id", "item_windows", "position", (F.col("at") - F.col("position")).alias("start"), pairs.alias("pairs"))
-        found = hits if found is None else found.union(hits)
+    text = _aligned(docs, F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("tie"), "text")
+    named = F.col("template").contains("<name>")
+    text = text.select("doc_id", "tie", words_of(F.col("clean")).alias("words"), words_of(typed(F.col("template"))).alias("typed"), F.when(named, words_of(untyped(F.col("template")))).otherwise(F.array().cast("array<string>")).alias("untyped"))
+
+    def windows(kind, length):
+        each = F.transform(window_hashes(F.col(kind), length), lambda h, i: F.struct(i.alias("at"), F.lit(length).alias("length"), h.alias("hash")))
+        return F.filter(each, likely)
+
+    # a window without a name is found as both; the sets below level that out
+    found = text.select("doc_id", "tie", "words", F.inline(F.concat(*[windows(kind, n) for n in lengths or [window] for kind in ("typed", "untyped")])))
+    hits = found.join(searched, ["hash", "length"])
+    pairs = F.transform("item_slots", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("item_value"), slot_value(F.get("words", F.col("at") + s["place"])).alias("doc_value")))
+    found = hits.select("doc_id", "tie", "item", "item_id", "item_windows", "position", (F.col("at") - F.col("position")).alias("start"), pairs.alias("pairs"))
     key = ["doc_id", "tie", "item", "item_id", "item_windows"]
     positions = lambda name: F.array_distinct(F.flatten(F.collect_list(name)))
     judged = lambda: _judged(min_coverage, min_consistency).alias("verdict")

@@ -301,6 +301,21 @@ def test_leaks_of_several_occurrences(spark):
     assert tuples(got, "doc_id", "item_id", "exact") == [(1, 1, True), (2, 1, False), (3, 1, True), (5, 2, False)]
 
 
+def test_leaks_behind_marks_and_in_another_case(spark):
+    same, apart = ITEMS[0][1], "Visitors see Anna Berg and Carl Lund near Paul Holm before Rosa Falk meets Otto Lind at noon"
+    rows = [(1, f"--- *** {same}"), (2, f"so ... then -- {same}"), (3, same.replace("and Anna", "--- and ... Anna")), (4, same.upper()), (5, apart.lower()), (6, f"<num> <b> > {apart.upper()}"), (7, "Visitors see nobody at noon")]
+    items = spark.createDataFrame([ITEMS[0], (2, apart)], "item_id long, text string")
+    got = decontaminate.leaks(documents(spark, rows), items)
+    assert tuples(got, "doc_id", "item_id", "exact", "coverage") == [(1, 1, True, 1.0), (2, 1, True, 1.0), (3, 1, True, 1.0), (4, 1, True, 1.0), (5, 2, True, 1.0), (6, 2, True, 1.0)]
+
+
+def test_template_words_stand_where_the_words_stand(spark):
+    texts = ["a -- b", "---\na\n***", "... \u2014 x", "<num> <name> Anna <b>Bob</b>", "I saw 3 KM -5% \u00e9t\u00e9 \u0130x Bob\u2019s (Carl).", "x \u00a0 y", "", None, "\U0001f600 a\u0301 \u0301"]
+    clean = decontaminate.without_lone_marks(F.col("text"))
+    both = documents(spark, list(enumerate(texts))).select(decontaminate.words_of(clean).alias("w"), *[decontaminate.words_of(f(decontaminate.template_text(clean))).alias(f.__name__) for f in (decontaminate.typed, decontaminate.untyped)])
+    assert all(len(r.w) == len(r.typed) == len(r.untyped) for r in both.collect())
+
+
 def test_mixing(spark):
     draw = random.Random(3)
     words = {"en": "the and of with that".split(), "fr": "le la avec pour dans".split()}
