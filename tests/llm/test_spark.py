@@ -316,6 +316,15 @@ def test_template_words_stand_where_the_words_stand(spark):
     assert all(len(r.w) == len(r.typed) == len(r.untyped) for r in both.collect())
 
 
+def test_leaks_of_excerpts_and_unsearched_items(spark):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(59)]
+    numbers = "12 13 14 15 16 17 18 19 20"
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "Too short!"), (3, numbers), (4, " -- "), (5, "Rate 3 7 1.5 9")], "item_id long, text string")
+    rows = [(1, "a " + " ".join(words[20:33]) + " b"), (2, " ".join(words[20:32])), (3, " ".join(words[:12] + ["x"] + words[12:24])), (4, "is TOO short, or not"), (5, f"row {numbers} end"), (6, "12 13 14 15 16 17 18 19 21 1"), (7, "rate 3 7 1.5 9."), (8, "rate 3 7 15 9"), (9, "too -- long")]
+    got = decontaminate.leaks(documents(spark, rows), items)
+    assert tuples(got, "doc_id", "item_id", "exact") == [(1, 1, True), (4, 2, True), (5, 3, True), (6, 3, True), (7, 5, True)]
+
+
 def test_mixing(spark):
     draw = random.Random(3)
     words = {"en": "the and of with that".split(), "fr": "le la avec pour dans".split()}
