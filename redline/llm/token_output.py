@@ -16,7 +16,7 @@ needs over 60 bits. Blocks are coded independently, so any block can be decoded
 Texts are encoded with a public tokenizer file of the tokenizers library. Its pre-tokenizer never joins text across
 the start of a single blank between two visible characters, or of a line feed there, so a text's ids are those of its
 pieces in order: each distinct piece is encoded once per worker and kept in a bounded table. A text with any other white
-space is encoded whole.
+space, or with an added token of the tokenizer, is encoded whole.
 
 Defined results: a null or empty text gives the end id only. Null doc_ids come first, as Spark sorts them; repeated
 doc_ids are documents of their own, in order of text hash. An empty table gives no segments. Other columns are ignored.
@@ -162,7 +162,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.after_blank: dict[str, bytes] = {}
         self.after_line: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -181,11 +181,13 @@ class PieceEncoder:
             kept[path] = cls(path)
         return kept[path]
 
-    @staticmethod
-    def regular(text: str) -> bool:
-        """Only single blanks and line feeds, each between two visible characters."""
+    def regular(self, text: str) -> bool:
+        """Only single blanks and line feeds, each between two visible characters, and no added token, which is one id
+        wherever it stands."""
         if not text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
             return False
+        if any(token in text for token in self.added):
+            return False
         odd = ODD_SPACE[:8] if text.isascii() else ODD_SPACE
         return not any(c in text for c in odd)
 

@@ -115,6 +115,18 @@ def test_pieces_give_the_ids_of_whole_texts():
     assert encoder.encode(texts) == [encoder.whole(t) if t else b"" for t in texts]
 
 
+def test_ids_are_those_of_the_plain_library():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["one doc<|endoftext|>next doc", "<|endoftext|>", "a <|endoftext|> b\nc<|endoftext|>", "x  <|endoftext|><|endoftext|>", "<|endoftext |> <|endof text|>"] + [t for t in TEXTS if t] + [t for t in random_texts(40) if t]
+    got = [np.frombuffer(x, "<u4").tolist() for x in token_output.PieceEncoder(path).encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [505, 2205, 50256, 19545, 2205]
+
+
 HTML = {
     "<p>a<p>b <b>c</b>\n d": "a\n\nb c d",
     "<ul><li>x<li>y<ol start=3><li>q<li>r</ol></ul>tail": "- x\n- y\n  3. q\n  4. r\n\ntail",
