@@ -61,3 +61,30 @@ def jaccard_components(shingle: int, percent: int) -> str:
     reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, u.b FROM reach JOIN u ON u.a = reach.b)
     SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(x.doc_id) FROM reach JOIN d x ON x.r = reach.b WHERE reach.a = d.r) AS component_id
     FROM d LEFT JOIN n ON n.r = d.r"""
+
+
+def filter_audit() -> str:
+    """Each order is walked as it is told: a step removes what fails its filter and no filter before it."""
+    letters = "(SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f)"
+    return f"""WITH RECURSIVE {DOCS.replace("doc_id, ", "doc_id, coalesce(lang, '') AS part, ")}, {WORDS.format(text="text")},
+    n AS (SELECT r, count(*) AS n, count(DISTINCT w) AS n_distinct FROM w GROUP BY r),
+    g AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text),
+    c AS (SELECT d.r, part, coalesce(g.good, false) AS good, coalesce(g.toxic, false) AS toxic, concat(
+        CASE WHEN coalesce(n.n, 0) < 100 THEN 'A' ELSE '' END,
+        CASE WHEN 100 * coalesce(n_distinct, 0) < 80 * coalesce(n.n, 0) THEN 'B' ELSE '' END,
+        CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END,
+        CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END,
+        CASE WHEN d.doc_id > first_id THEN 'E' ELSE '' END) AS fails
+        FROM d LEFT JOIN n USING (r) LEFT JOIN g ON g.doc_id = d.doc_id JOIN m USING (text)),
+    o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || f FROM o, {letters} WHERE NOT contains(filter_order, f)),
+    s AS (SELECT filter_order, k AS step, filter_order[k] AS f, filter_order[1:k - 1] AS before FROM o, range(1, 6) t(k) WHERE length(filter_order) = 5),
+    u AS (SELECT part, fails, count(*) AS docs, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM c GROUP BY ALL),
+    x AS (SELECT part, filter_order, step, f, docs, good, toxic, contains(fails, f) AS hit, fails = f AS only_f,
+        len(list_filter(string_split(before, ''), lambda b: b <> '' AND contains(fails, b))) > 0 AS gone FROM u, s),
+    y AS (SELECT part, filter_order, step, f, coalesce(sum(docs) FILTER (NOT gone AND NOT hit), 0) AS kept, coalesce(sum(docs) FILTER (hit AND NOT gone), 0) AS removed,
+        coalesce(sum(docs) FILTER (hit AND gone), 0) AS redundant, coalesce(sum(docs) FILTER (only_f), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS toxic_lost FROM x GROUP BY ALL)
+    SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+        unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+        (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM y"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.llm import decontaminate, html_render, jaccard_join, kneser_ney, oracle, phrase_automata, quality_model, repetition, source_mixing, token_output, toxicity
+from redline.llm import decontaminate, filter_audit, html_render, jaccard_join, kneser_ney, oracle, phrase_automata, quality_model, repetition, source_mixing, token_output, toxicity
 from redline.session import store
 
 
@@ -82,6 +82,10 @@ def op10_repeated_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrase_automata.remove_repeats(table(spark, folder, "documents"), with_text=False).drop("kept_text")
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_html_text": op2_html_text,
@@ -93,9 +97,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_template_decontamination": op8_template_decontamination,
     "op9_lm_scores": op9_lm_scores,
     "op10_repeated_phrases": op10_repeated_phrases,
+    "op11_filter_audit": op11_filter_audit,
 }
 SQL: dict[str, str] = {
     "op3_jaccard_join": oracle.jaccard_components(jaccard_join.SHINGLE, jaccard_join.PERCENT),
     "op5_repetition_rules": oracle.repetition(repetition.NGRAM_LIMITS, repetition.LINE_LIMIT),
     "op10_repeated_phrases": oracle.repeated_phrases(phrase_automata.WINDOW),
+    "op11_filter_audit": oracle.filter_audit(),
 }
