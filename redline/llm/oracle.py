@@ -88,3 +88,26 @@ def filter_audit() -> str:
     SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
         unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
         (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM y"""
+
+
+VECTORS = """v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+def norm_search(divisor: int, k: int) -> str:
+    return f"""WITH {VECTORS},
+    p AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % {divisor} = 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM p)
+    SELECT query_id, rank::INT AS rank, vec_id, score FROM o WHERE rank <= {k}"""
+
+
+def hard_negatives(divisor: int, positives: int, negatives: int) -> str:
+    return f"""WITH {VECTORS},
+    l AS (SELECT r, vec_id, e, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM v WHERE label IS NOT NULL),
+    p AS (SELECT a.r, a.vec_id AS anchor_id, a.label = c.label AS same, c.r AS other, c.vec_id, list_inner_product(a.e, c.e)::BIGINT AS score
+        FROM l a JOIN l c ON a.r <> c.r WHERE a.vec_id % {divisor} = 0),
+    s AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place FROM p WHERE same),
+    n AS (SELECT s.r, s.anchor_id, s.vec_id AS positive_id, s.score AS positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+        row_number() OVER (PARTITION BY s.r, s.other ORDER BY n.score DESC, n.vec_id) AS rank
+        FROM s JOIN p n ON n.r = s.r AND NOT n.same AND 80 * s.score <= 100 * n.score AND n.score <= s.score WHERE s.place <= {positives})
+    SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives}"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.llm import decontaminate, filter_audit, html_render, jaccard_join, kneser_ney, oracle, phrase_automata, quality_model, repetition, source_mixing, token_output, toxicity
+from redline.llm import decontaminate, filter_audit, hard_negatives, html_render, jaccard_join, kneser_ney, norm_search, oracle, phrase_automata, quality_model, repetition, source_mixing, token_output, toxicity
 from redline.session import store
 
 
@@ -86,6 +86,15 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_norm_search(spark: SparkSession, folder: str) -> DataFrame:
+    return norm_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_html_text": op2_html_text,
@@ -98,10 +107,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scores": op9_lm_scores,
     "op10_repeated_phrases": op10_repeated_phrases,
     "op11_filter_audit": op11_filter_audit,
+    "op12_norm_search": op12_norm_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 SQL: dict[str, str] = {
     "op3_jaccard_join": oracle.jaccard_components(jaccard_join.SHINGLE, jaccard_join.PERCENT),
     "op5_repetition_rules": oracle.repetition(repetition.NGRAM_LIMITS, repetition.LINE_LIMIT),
     "op10_repeated_phrases": oracle.repeated_phrases(phrase_automata.WINDOW),
     "op11_filter_audit": oracle.filter_audit(),
+    "op12_norm_search": oracle.norm_search(50, 5),
+    "op13_hard_negatives": oracle.hard_negatives(100, 5, 5),
 }
