@@ -10,19 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from redline import vocab as V
+from redline.functions import arrays
+from redline.functions.protect import no_regions, spans
 from redline.functions.text import let, tokens
 
 EDIT = "struct<offset:int,length:int,original:string,replacement:string,rule_id:string,category:string,message:string>"
-OPCODES = T.ArrayType(T.StructType(
-    [T.StructField("tag", T.StringType())] + [T.StructField(n, T.IntegerType()) for n in ("i1", "i2", "j1", "j2")]
-))
-
-
-def rule_array(pairs: list[tuple[str, str]]) -> Column:
-    return F.array(*[
-        F.struct(F.lit(f"R{i:02d}").alias("rule_id"), F.lit(a).alias("wrong"), F.lit(b).alias("right"))
-        for i, (a, b) in enumerate(pairs)
-    ])
 
 
 def replace_chain(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -34,25 +27,98 @@ def replace_chain(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return out
 
 
-def apply_rules(text: Column, rules: Column) -> Column:
-    """The chain with its log: struct(text, ops). ``rules`` is array<struct<rule_id,wrong,right>>, in order."""
-    empty = F.array().cast("array<struct<rule_id:string,original:string,replacement:string>>")
-    return F.aggregate(
-        rules,
-        F.struct(text.alias("text"), empty.alias("ops")),
-        lambda acc, r: F.when(
-            F.contains(acc["text"], r["wrong"]) & (r["wrong"] != r["right"]),
-            F.struct(
-                F.replace(acc["text"], r["wrong"], r["right"]).alias("text"),
-                F.concat(
-                    acc["ops"],
-                    F.array(F.struct(r["rule_id"], r["wrong"].alias("original"), r["right"].alias("replacement"))),
-                ).alias("ops"),
-            ),
-        ).otherwise(acc),
+FIXED = f"struct<text:string,ops:array<{EDIT}>,reverted:array<struct<region_start:int,region_end:int,reason:string,had:string,restored:string>>>"
+
+
+def quoted(text: str) -> str:
+    """A literal as a pattern that Java and RE2 read alike."""
+    return "".join(c if c.isalnum() or c == " " else f"[{c}]" for c in text)
+
+
+def any_of(rules: list[tuple]) -> str:
+    return "|".join(quoted(rule[2]) for rule in rules)
+
+
+def found_edits(text: Column, rules: list[tuple] = V.EDIT_RULES) -> Column:
+    """Every match of the rules as ``array<EDIT>``, from the left; matches don't overlap."""
+    fields = ["rule_id", "category", "original", "replacement", "message"]
+    table = F.create_map(*[x for rule in rules for x in (
+        F.lit(rule[2]), F.struct(*[F.lit(v).alias(n) for n, v in zip(fields, rule)])
+    )])
+    return F.transform(spans(text, F.lit(any_of(rules)), "rule"), lambda m: let(F.element_at(table, m["text"]), lambda r: F.struct(
+        m["start"].alias("offset"), (m["end"] - m["start"]).alias("length"), r["original"].alias("original"),
+        r["replacement"].alias("replacement"), r["rule_id"].alias("rule_id"), r["category"].alias("category"), r["message"].alias("message"),
+    ))).cast(f"array<{EDIT}>")
+
+
+def as_spans(ops: Column) -> Column:
+    return F.transform(ops, lambda e: F.struct(e["offset"].alias("start"), (e["offset"] + e["length"]).alias("end")))
+
+
+def fix(text: Column, rules: list[tuple] = V.EDIT_RULES, off: Column | None = None, regions: Column | None = None) -> Column:
+    """``FIXED``: the text with the rules' edits put in, but for those that touch a protected region; all edits; and what was
+    undone, one entry for each such edit, with the region it touches. Edits stand by position, the pieces between them are
+    joined once, and nothing is looked up in the text again. A rule that is switched off makes no edits, but what it matches
+    is still its own."""
+    regions = no_regions() if regions is None else regions
+    off = F.array().cast("array<string>") if off is None else off
+
+    def done(s: Column) -> Column:
+        value = lambda x, i: F.concat(F.get(s["pieces"], i), F.when(x["on"] & (x["at"] < 0), x["e"]["replacement"]).otherwise(x["e"]["original"]))
+        undone = F.transform(F.filter(s["each"], lambda x: x["on"] & (x["at"] >= 0)), lambda x: let(F.get(s["regions"], x["at"]), lambda r: F.struct(
+            r["start"].alias("region_start"), r["end"].alias("region_end"), r["reason"].alias("reason"),
+            x["e"]["replacement"].alias("had"), x["e"]["original"].alias("restored"),
+        )))
+        return F.struct(
+            F.concat(F.array_join(F.transform(s["each"], value), ""), F.element_at(s["pieces"], -1)).alias("text"),
+            F.transform(F.filter(s["each"], lambda x: x["on"]), lambda x: x["e"]).alias("ops"), undone.alias("reverted"),
+        )
+
+    def placed(s: Column) -> Column:
+        marks = F.arrays_zip(s["found"].alias("e"), arrays.touching(as_spans(s["found"]), s["regions"]).alias("at"))
+        each = F.transform(marks, lambda x: F.struct(x["e"].alias("e"), x["at"].alias("at"), (~F.array_contains(off, x["e"]["rule_id"])).alias("on")))
+        return let(F.struct(each.alias("each"), F.split(text, any_of(rules), -1).alias("pieces"), s["regions"].alias("regions")), done)
+
+    whole = let(F.struct(found_edits(text, rules).alias("found"), regions.alias("regions")), placed).cast(FIXED)
+    none = F.struct(text.alias("text"), F.array().alias("ops"), F.array().alias("reverted")).cast(FIXED)
+    return F.when(text.rlike(any_of(rules)), whole).otherwise(none)
+
+
+def applied(ops: Column, regions: Column) -> Column:
+    """The edits that touch no region."""
+    return let(
+        F.arrays_zip(ops.alias("e"), arrays.touching(as_spans(ops), regions).alias("at")),
+        lambda z: F.transform(F.filter(z, lambda x: x["at"] < 0), lambda x: x["e"]),
     )
 
 
+def moved(regions: Column, ops: Column) -> Column:
+    """Regions of a text as they stand after edits that touch none of them: each moves by what the edits before it add."""
+    before = F.transform(ops, lambda e: F.struct(
+        (e["offset"] + e["length"]).alias("at"), F.lit(0).alias("kind"), (F.length(e["replacement"]) - e["length"]).alias("by"), F.lit(-1).alias("i"),
+    ))
+    asked = F.transform(regions, lambda r, i: F.struct(r["start"].alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("by"), i.alias("i")))
+
+    def shifted(e: Column) -> Column:
+        sums = F.arrays_zip(e.alias("e"), arrays.running_sum(F.transform(e, lambda x: x["by"])).alias("by"))
+        return F.transform(F.filter(sums, lambda x: x["e"]["kind"] == 1), lambda x: let(F.get(regions, x["e"]["i"]), lambda r: F.struct(
+            (r["start"] + x["by"]).alias("start"), (r["end"] + x["by"]).alias("end"), r["reason"].alias("reason"), r["text"].alias("text"),
+        )))
+
+    return F.when((F.size(ops) == 0) | (F.size(regions) == 0), regions).otherwise(let(F.sort_array(F.concat(before, asked)), shifted))
+
+
+def style_fix(text: Column, pairs: list[tuple[str, str]], regions: Column) -> Column:
+    """The first pair that occurs in the text is applied, everywhere but in the regions (positions in this text)."""
+    rules = [("STYLE", V.STYLE_CATEGORY, wrong, right, "") for wrong, right in pairs]
+    out = None
+    for rule in rules:
+        test = F.contains(text, F.lit(rule[2]))
+        value = F.when(F.size(regions) == 0, F.replace(text, F.lit(rule[2]), F.lit(rule[3]))).otherwise(fix(text, [rule], None, regions)["text"])
+        out = F.when(test, value) if out is None else out.when(test, value)
+    return out.otherwise(text)
+
+
 def first_hit(text: Column, pairs: list[tuple[str, str]]) -> Column:
     """Only the first matching pair is applied."""
     out = None
@@ -83,19 +149,6 @@ def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         ], dtype="float64")
 
 
-@F.pandas_udf(OPCODES)
-def opcodes(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Diff opcodes with the popularity heuristic off."""
-    for left, right in pairs:
-        yield pd.Series([
-            [] if a is None or b is None else [
-                dict(zip(("tag", "i1", "i2", "j1", "j2"), op))
-                for op in SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
-            ]
-            for a, b in zip(left, right)
-        ])
-
-
 def token_set(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
@@ -149,9 +202,5 @@ def link_ranges(text: Column, links: Column) -> Column:
 
 
 def touches_links(ops: Column, links: Column) -> Column:
-    """Does a changed interval of the original overlap a link?"""
-    return F.exists(
-        ops,
-        lambda o: (o["tag"] != "equal")
-        & F.exists(links, lambda l: (o["i1"] < l["end"]) & (o["i2"] > l["start"])),
-    )
+    """Does an edit of the original overlap a link? Both are sorted and disjoint."""
+    return F.exists(arrays.touching(as_spans(ops), links), lambda at: at >= 0)

@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from redline import vocab as V
-from redline.functions.text import strip
+from redline.functions import arrays
+from redline.functions.text import let, strip
 
-REGIONS = "array<struct<start:int,end:int,reason:string,text:string>>"
-REVERTED = "array<struct<region_start:int,region_end:int,reason:string,had:string,restored:string>>"
+REGION = "struct<start:int,end:int,reason:string,text:string>"
+REGIONS = f"array<{REGION}>"
 
 
 def no_regions() -> Column:
@@ -17,23 +18,20 @@ def no_regions() -> Column:
 
 
 def spans(text: Column, pattern: Column, reason: str) -> Column:
-    """All matches of one pattern with offsets: piece and match lengths, summed left to right."""
-    found = F.regexp_extract_all(text, pattern, 0)
-    pieces = F.split(text, pattern, -1)
-
-    def step(acc: Column, item: Column) -> Column:
-        start = acc["at"] + F.length(item["piece"])
-        end = start + F.length(item["hit"])
-        region = F.struct(start.alias("start"), end.alias("end"), F.lit(reason).alias("reason"), item["hit"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(region)).alias("out"))
-
-    scan = F.aggregate(
-        F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("piece"), found.alias("hit")),
-        F.struct(F.lit(0).alias("at"), no_regions().alias("out")),
-        step,
-        lambda acc: acc["out"],
-    )
-    return F.when(F.regexp_like(text, pattern), scan).otherwise(no_regions())
+    """All matches of one pattern with offsets: running sums over the lengths of the pieces between and the matches."""
+
+    def placed(s: Column) -> Column:
+        return F.transform(s["hits"], lambda hit, i: F.struct(
+            (F.get(s["ends"], i) - F.length(hit)).alias("start"), F.get(s["ends"], i).alias("end"),
+            F.lit(reason).alias("reason"), hit.alias("text"),
+        ))
+
+    def with_ends(cut: Column) -> Column:
+        sizes = F.transform(cut["hits"], lambda hit, i: F.length(hit) + F.length(F.get(cut["pieces"], i)))
+        return let(F.struct(cut["hits"].alias("hits"), arrays.running_sum(sizes).alias("ends")), placed)
+
+    cut = F.struct(F.regexp_extract_all(text, pattern, 0).alias("hits"), F.split(text, pattern, -1).alias("pieces"))
+    return F.when(F.regexp_like(text, pattern), let(cut, with_ends)).otherwise(no_regions()).cast(REGIONS)
 
 
 def term_spans(text: Column, terms: Column, reason: str) -> Column:
@@ -58,21 +56,17 @@ def all_spans(text: Column, profile_terms: Column | None = None, glossary: Colum
 
 def resolve_overlaps(regions: Column) -> Column:
     """By start, longest first; keep a region when it starts at or after the end of the last one kept."""
-    ranked = F.array_sort(F.transform(
+    ranked = F.sort_array(F.transform(
         regions,
         lambda r, i: F.struct(
             r["start"].alias("s"), (r["start"] - r["end"]).alias("l"), i.alias("i"), r.alias("region")
         ),
     ))
-    return F.aggregate(
-        ranked,
-        F.struct(F.lit(-1).alias("last"), no_regions().alias("kept")),
-        lambda acc, r: F.when(
-            r["s"] >= acc["last"],
-            F.struct(r["region"]["end"].alias("last"), F.concat(acc["kept"], F.array(r["region"])).alias("kept")),
-        ).otherwise(acc),
-        lambda acc: acc["kept"],
-    )
+
+    def kept(v: Column) -> Column:
+        return F.transform(arrays.first_fitting(v), lambda i: F.get(v, i))
+
+    return let(F.transform(ranked, lambda x: x["region"]), kept).cast(REGIONS)
 
 
 def detect_regions(text: Column, profile_terms: Column | None = None, glossary: Column | None = None, names: bool = True) -> Column:
@@ -85,39 +79,6 @@ def touched_regions(original: Column, corrected: Column, regions: Column) -> Col
     return F.when(original == corrected, no_regions()).otherwise(lost)
 
 
-def revert_in_regions(original: Column, corrected: Column, regions: Column) -> Column:
-    """Put lost regions back, last first, found by ten characters of context on each side: struct(text, log)."""
-
-    def find(needle: Column, hay: Column, start: Column) -> Column:
-        return F.when(needle == "", start).otherwise(F.position(needle, hay, start))
-
-    def restore(acc: Column, r: Column) -> Column:
-        now = acc["text"]
-        fragment = F.substring(original, r["start"] + 1, r["end"] - r["start"])
-        lead = F.least(r["start"], F.lit(10))
-        before = F.substring(original, r["start"] - lead + 1, lead)
-        after = F.substring(original, r["end"] + 1, F.lit(10))
-        at = find(before, now, F.lit(1))
-        body = at + F.length(before)
-        stop = find(after, now, body)
-        hit = ~F.contains(F.lower(now), F.lower(fragment)) & (at > 0) & (stop > 0)
-        had = F.substring(now, body, stop - body)
-        entry = F.struct(
-            r["start"].alias("region_start"), r["end"].alias("region_end"), r["reason"].alias("reason"),
-            had.alias("had"), fragment.alias("restored"),
-        )
-        return F.when(
-            hit,
-            F.struct(
-                F.concat(F.left(now, body - 1), fragment, F.substring(now, stop, F.length(now))).alias("text"),
-                F.concat(acc["log"], F.array(entry)).alias("log"),
-            ),
-        ).otherwise(acc)
-
-    start = F.struct(corrected.alias("text"), F.array().cast(REVERTED).alias("log"))
-    return F.when(original == corrected, start).otherwise(F.aggregate(F.reverse(regions), start, restore))
-
-
 def net_changes(ops: Column, reverted: Column) -> Column:
     return F.size(ops) - F.size(reverted)
 

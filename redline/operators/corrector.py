@@ -5,35 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redline import vocab as V
 from redline.functions import edits
 from redline.functions.text import ends_abruptly, strip
 from redline.operators.ordered import running
 from redline.operators.structure import batch_seeds
+from redline.operators.triage import fence
 
 # (text, previous corrected text or None) -> corrected text
 Corrector = Callable[[str, "str | None"], str]
 RESULT = "doc_id long, batch_index int, paragraph_index int, original_text string, corrected_text string, context string"
 
 
-def first_pass_all(paragraphs: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Rule pass over every paragraph at once; short ones are marked skipped and kept as they are."""
-    text = strip(F.col("text"))
-    fix = edits.apply_rules(F.col("_t"), edits.rule_array(pairs))
-    rows = paragraphs.withColumn("_t", text).withColumn("_f", fix)
-    skip = F.length("_t") < 3
+def first_pass_all(paragraphs: DataFrame, rules: list[tuple] = V.EDIT_RULES, off: Column | None = None) -> DataFrame:
+    """Rule pass over every paragraph at once, with the log of its edits (places in the stripped text); short ones are
+    marked skipped and kept as they are. ``off``: ids of the rules that are switched off for a row."""
+    rows = paragraphs.withColumn("_t", strip(F.col("text"))).withColumn("_skip", F.length("_t") < 3)
+    rows = fence(rows.withColumn("_f", F.when(~F.col("_skip"), edits.fix(F.col("_t"), rules, off))), ["_f"])
     return rows.select(
-        *paragraphs.columns, skip.alias("skipped"),
-        F.when(skip, F.col("text")).otherwise(F.col("_f.text")).alias("corrected_text"),
-        F.when(skip, F.array().cast("array<struct<rule_id:string,original:string,replacement:string>>")).otherwise(F.col("_f.ops")).alias("ops"),
+        *paragraphs.columns, F.col("_skip").alias("skipped"), F.coalesce("_f.text", "text").alias("corrected_text"),
+        F.coalesce("_f.ops", F.array().cast(f"array<{edits.EDIT}>")).alias("ops"),
     )
 
 
-def block_pass(blocks: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+def block_pass(blocks: DataFrame, rules: list[tuple] = V.EDIT_RULES) -> DataFrame:
     """The same rules on page blocks; only blocks whose text changes are returned."""
-    rows = first_pass_all(blocks.withColumn("text", F.col("block_text")), pairs)
+    rows = first_pass_all(blocks.withColumn("text", F.col("block_text")), rules)
     return rows.filter("not skipped and corrected_text <> block_text").drop("text", "skipped")
 
 

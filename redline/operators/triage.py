@@ -9,13 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redline import vocab as V
-from redline.functions import edits, gates, routing
+from redline.functions import edits, gates, protect, routing
 from redline.functions.text import classify, cost_e8, readability, requires_model, strip
 from redline.operators.structure import CHUNK_OVER, page_estimate, position_columns
 from redline.sources.presets import presets
 
-RULES = V.LEXICON + V.CORPUS_RULES
-STYLE = V.STYLE_FALLBACK + V.CORPUS_STYLE
+STYLE = V.CORPUS_STYLE
 ACCENTED = "áéíóúüñÁÉÍÓÚÜÑ"
 PLAIN = "aeiouunAEIOUUN"
 
@@ -56,21 +55,37 @@ def positioned(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.withColumns(place)
 
 
-def first_pass(paragraphs: DataFrame, stress: bool = False) -> DataFrame:
-    """Rule-corrected text and its log. ``stress`` is for test corpora: it adds the defects that make every gate fail
-    somewhere."""
-    rows = paragraphs.withColumn("_fix", edits.apply_rules(F.col("stripped"), edits.rule_array(RULES)))
-    text = F.col("_fix.text")
-    if stress:
-        doc, index = F.col("doc_id"), F.col("paragraph_index")
-        text = (
-            F.when((doc % 17 == 0) & (index % 5 == 0), "")
-            .when(doc % 13 == 0, F.concat(text, F.lit(" "), F.left(text, F.lit(40))))
-            .when(doc % 11 == 0, F.translate(text, ACCENTED, PLAIN))
-            .when((doc % 7 == 0) & (F.col("key_word") != ""), F.replace(text, F.col("key_word"), F.lit("")))
-            .otherwise(text)
-        )
-    return rows.withColumn("pass0_text", text).withColumn("ops", F.col("_fix.ops")).drop("_fix")
+def first_pass(paragraphs: DataFrame) -> DataFrame:
+    """Rule-corrected text with its log. The engine decision says whether the rules may touch this type and which of them
+    are off; edits inside protected spans are undone. ``regions`` are the spans of the original, looked for only where
+    something can change, and ``pass0_regions`` the same ones where they stand in the corrected text."""
+    text = F.col("stripped")
+    change = text.rlike("|".join([edits.any_of(V.EDIT_RULES), *[edits.quoted(wrong) for wrong, _ in STYLE]]))
+    engine = routing.engines(F.col("paragraph_type"), F.col("disabled_rules"))
+    rows = paragraphs.withColumn("_engine", engine).withColumn(
+        "regions", F.when(change, protect.detect_regions(text, F.col("protected_terms"))).otherwise(protect.no_regions())
+    )
+    rows = fence(rows, ["_engine", "regions"])
+    fixed = edits.fix(text, V.EDIT_RULES, F.col("_engine.disabled_rules"), F.col("regions"))
+    untouched = F.struct(text.alias("text"), F.array().alias("ops"), F.array().alias("reverted")).cast(edits.FIXED)
+    rows = fence(rows.withColumn("_fix", F.when(F.col("_engine.apply_rules"), fixed).otherwise(untouched)), ["_fix"])
+    kept = F.when(F.size("_fix.reverted") == 0, F.col("_fix.ops")).otherwise(edits.applied(F.col("_fix.ops"), F.col("regions")))
+    rows = rows.withColumns({
+        "pass0_text": F.col("_fix.text"), "ops": F.col("_fix.ops"), "reverted": F.col("_fix.reverted"), "applied": kept,
+    })
+    return rows.withColumn("pass0_regions", edits.moved(F.col("regions"), F.col("applied"))).drop("_fix", "_engine")
+
+
+def stressed(text: Column) -> Column:
+    """For test corpora: defects of a model's answer that make every gate fail somewhere."""
+    doc, index = F.col("doc_id"), F.col("paragraph_index")
+    return (
+        F.when((doc % 17 == 0) & (index % 5 == 0), "")
+        .when(doc % 13 == 0, F.concat(text, F.lit(" "), F.left(text, F.lit(40))))
+        .when(doc % 11 == 0, F.translate(text, ACCENTED, PLAIN))
+        .when((doc % 7 == 0) & (F.col("key_word") != ""), F.replace(text, F.col("key_word"), F.lit("")))
+        .otherwise(text)
+    )
 
 
 def routed(paragraphs: DataFrame) -> DataFrame:
@@ -83,22 +98,20 @@ def routed(paragraphs: DataFrame) -> DataFrame:
     ).drop("_r")
 
 
-def prepared(documents: DataFrame, stress: bool = False) -> DataFrame:
+def prepared(documents: DataFrame) -> DataFrame:
     """Scan → usable paragraphs with profile, type, position, first pass and route."""
     from redline.sources.paragraphs import from_documents
 
     rows = typed(positioned(with_profile(from_documents(documents)))).filter(F.length("stripped") >= 3)
-    rows = routed(first_pass(rows, stress)).drop("next_text", "next_style")
-    return fence(rows, ["paragraph_type", "section_position", "is_transition", "pass0_text", "ops", "route", "route_reason"])
+    rows = fence(rows.drop("next_text", "next_style"), ["paragraph_type", "section_position", "is_transition"])
+    return fence(routed(first_pass(rows)), ["pass0_text", "ops", "reverted", "applied", "pass0_regions", "route", "route_reason"])
 
 
-def proposed(rows: DataFrame, metric: str = "jaccard", rounded: bool = True) -> DataFrame:
-    """Style step, gates and disposition. Keeps every row; ``changed`` marks those that became patches. A Python metric
-    gets nulls for rows that no gate looks at."""
-    style = F.when(F.col("route") == "skip", F.col("pass0_text")).otherwise(
-        edits.first_hit(F.col("pass0_text"), STYLE)
-    )
-    rows = rows.withColumn("candidate", style)
+def proposed(rows: DataFrame, metric: str = "jaccard", rounded: bool = True, stress: bool = False) -> DataFrame:
+    """Style step outside protected spans, gates and disposition. Keeps every row; ``changed`` marks those that became
+    patches. A Python metric gets nulls for rows that no gate looks at."""
+    styled = edits.style_fix(F.col("pass0_text"), STYLE, F.col("pass0_regions"))
+    rows = rows.withColumn("candidate", F.when(F.col("route") == "skip", F.col("pass0_text")).otherwise(stressed(styled) if stress else styled))
     gated = (F.col("route") != "skip") & (F.col("candidate") != F.col("stripped"))
     digits = 4 if rounded else None
     ratio = gates.rewrite_ratio(F.when(gated, F.col("stripped")), F.when(gated, F.col("candidate")), metric, digits)
@@ -127,35 +140,35 @@ def proposed(rows: DataFrame, metric: str = "jaccard", rounded: bool = True) ->
 
 def proposals(documents: DataFrame, metric: str = "jaccard", rounded: bool = False, stress: bool = False) -> DataFrame:
     """One row per usable paragraph with its decision; patches are the rows where ``changed``."""
-    return proposed(prepared(documents, stress), metric, rounded)
+    return proposed(prepared(documents), metric, rounded, stress)
 
 
 def patches(proposal_rows: DataFrame) -> DataFrame:
     """One row per change of each changed paragraph; a single row when there is no change list."""
-    doc, index = F.col("doc_id"), F.col("paragraph_index")
+    index = F.col("paragraph_index")
     styled = F.col("origin").contains("chatgpt")
     style_change = F.struct(
         F.lit("STYLE").alias("rule_id"), F.lit(None).cast("string").alias("original"),
-        F.lit(None).cast("string").alias("replacement"),
+        F.lit(None).cast("string").alias("replacement"), F.lit(V.STYLE_CATEGORY).alias("category"),
     )
-    changes = F.when(styled, F.concat(F.array(style_change), F.col("ops")))
+    done = F.transform("applied", lambda e: F.struct(e["rule_id"], e["original"], e["replacement"], e["category"]))
+    changes = F.when(styled, F.concat(F.array(style_change), done))
     pages = F.greatest(F.lit(1), F.ceil(F.col("n_paragraphs") / 10)).cast("int")
-    kinds = F.array(*[F.lit(c) for c in V.CATEGORIES])
-    levels = F.array(*[F.lit(s) for s in V.SEVERITIES])
     rows = proposal_rows.filter("changed").select(
         "doc_id", "lang", "paragraph_index", "location", F.col("stripped").alias("original_text"),
         F.col("final_text").alias("corrected_text"), F.col("origin").alias("source"), "route", "review_status",
-        "review_reason", F.size("ops").alias("rule_hits"), "n_paragraphs",
+        "review_reason", F.size("ops").alias("rule_hits"), F.size("reverted").alias("reverted"), "n_paragraphs",
         page_estimate(index, F.col("n_paragraphs"), pages).alias("page_no"),
         F.posexplode_outer(changes).alias("_pos", "_change"),
     )
     position = F.coalesce("_pos", F.lit(0))
-    at = doc + index + position
+    severity = F.create_map(*[F.lit(x) for pair in V.SEVERITY_OF.items() for x in pair])
     return rows.select(
         F.concat_ws("-", "doc_id", "paragraph_index", position).alias("patch_id"),
         *[c for c in rows.columns if not c.startswith("_")], position.alias("position"),
-        F.when(F.col("_pos").isNotNull(), F.get(kinds, (at % 9).cast("int"))).alias("category"),
-        F.when(F.col("_pos").isNotNull(), F.get(levels, (at % 3).cast("int"))).alias("severity"),
+        F.col("_change.category").alias("category"), F.element_at(severity, F.col("_change.category")).alias("severity"),
+        F.col("_change.rule_id").alias("rule_id"), F.col("_change.original").alias("change_original"),
+        F.col("_change.replacement").alias("change_replacement"),
         F.when(F.col("source").contains("chatgpt"), "model").otherwise("rules").alias("model_used"),
     )
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from redline import vocab as V
+from redline.functions.edits import any_of
 from redline.operators import triage
 from redline.sources import paragraphs as scan
 from redline.sources.derived import AS_OF, STATUSES
@@ -82,9 +83,45 @@ def chain(c: str, pairs: list[tuple[str, str]]) -> str:
     return c
 
 
-def rule_hits(c: str) -> str:
-    active = [(a, b) for a, b in triage.RULES if a != b]
-    return " + ".join(f"(contains({chain(c, active[:i])}, {q(a)}))::BIGINT" for i, (a, _) in enumerate(active))
+ANY_RULE = any_of(V.EDIT_RULES)
+_replacements = "MAP {" + ", ".join(f"{q(wrong)}: {q(right)}" for _, _, wrong, right, _ in V.EDIT_RULES) + "}"
+
+
+def found(c: str, pattern: str = ANY_RULE) -> str:
+    return f"regexp_extract_all({c}, {q(pattern)})"
+
+
+def pieces(c: str, pattern: str = ANY_RULE) -> str:
+    return f"string_split_regex({c}, {q(pattern)})"
+
+
+def match_start(found: str, pieces: str, i: str) -> str:
+    """Place, from 0, of the i-th match."""
+    return f"(list_sum(list_transform({pieces}[1:{i}], lambda p: length(p))) + coalesce(list_sum(list_transform({found}[1:{i} - 1], lambda f: length(f))), 0))::BIGINT"
+
+
+def joined(pieces: str, values: str) -> str:
+    """Pieces with a value after each but the last."""
+    return f"(coalesce(array_to_string(list_transform(range(1, len({pieces})), lambda i: {pieces}[i] || {values}[i]), ''), '') || {pieces}[len({pieces})])"
+
+
+def fixed(found: str, pieces: str) -> str:
+    return joined(pieces, f"list_transform({found}, lambda f: {_replacements}[f])")
+
+
+def _region_hits() -> str:
+    """Matches of each pattern, of proper names with the two characters before them, which they are told by, and of terms."""
+    parts = []
+    listed = [(reason, p, 0) for reason, p in V.REGION_PATTERNS] + [("proper_name", V.PROPER_NAME.replace("(?<=[^.!?]\\s)", "[^.!?]\\s"), 2)]
+    for k, (reason, pattern, lead) in enumerate(listed):
+        parts.append(f"""SELECT doc_id, paragraph_index, {k} AS pat, i, {q(reason)} AS reason, {match_start('found', 'pieces', 'i')} + {lead} AS start_at, substr(found[i], {lead + 1}) AS text
+            FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id, paragraph_index, {found('stripped', pattern)} AS found, {pieces('stripped', pattern)} AS pieces
+                FROM t_typed WHERE regexp_matches(stripped, {q(pattern)})))""")
+    parts.append("""SELECT doc_id, paragraph_index, 100 + j AS pat, i, 'profile_term' AS reason, spot AS start_at, substr(stripped, spot + 1, length(term)) AS text
+        FROM (SELECT *, (list_sum(list_transform(ps[1:i], lambda p: length(p))) + (i - 1) * length(term))::BIGINT AS spot
+            FROM (SELECT *, unnest(range(1, len(ps))) AS i FROM (SELECT *, string_split(lower(stripped), lower(term)) AS ps
+                FROM (SELECT doc_id, paragraph_index, stripped, unnest(protected_terms) AS term, generate_subscripts(protected_terms, 1) AS j FROM t_typed))))""")
+    return " UNION ALL ".join(parts)
 
 
 def first_hit(c: str, pairs: list[tuple[str, str]]) -> str:
@@ -92,6 +129,14 @@ def first_hit(c: str, pairs: list[tuple[str, str]]) -> str:
     return f"CASE {cases} ELSE {c} END"
 
 
+def first_of(c: str, words: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN contains({c}, {q(w)}) THEN {q(w)}" for w in words) + " END"
+
+
+def one_of(c: str, pairs: list[tuple[str, str]]) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in pairs) + " END"
+
+
 def classify(s: str, location: str, style: str, table: str = "false", terms: str | None = None) -> str:
     dense = ""
     if terms:
@@ -201,16 +246,43 @@ TABLES: dict[str, str] = {
         FROM t_sectioned s JOIN t_presets p ON p.preset_no = s.doc_id % 10""",
     "t_typed": f"""SELECT *, {classify('stripped', 'location', 'style_name')} AS paragraph_type
         FROM (SELECT *, {strip('text')} AS stripped FROM t_profiled)""",
-    "t_pass0": f"""SELECT * EXCLUDE (fixed), CASE WHEN doc_id % 17 = 0 AND paragraph_index % 5 = 0 THEN ''
-            WHEN doc_id % 13 = 0 THEN fixed || ' ' || left(fixed, 40)
-            WHEN doc_id % 11 = 0 THEN translate(fixed, {q(triage.ACCENTED)}, {q(triage.PLAIN)})
-            WHEN doc_id % 7 = 0 AND key_word <> '' THEN replace(fixed, key_word, '') ELSE fixed END AS pass0_text
-        FROM (SELECT *, {chain('stripped', [r for r in triage.RULES if r[0] != r[1]])} AS fixed, ({rule_hits('stripped')}) AS rule_hits
-            FROM t_typed WHERE length(stripped) >= 3)""",
+    "t_region_hits": _region_hits(),
+    "t_region_order": """SELECT *, start_at + length(text) AS end_at,
+        row_number() OVER (PARTITION BY doc_id, paragraph_index ORDER BY start_at, length(text) DESC, pat, i) AS seq FROM t_region_hits""",
+    "t_regions": """SELECT r.* FROM t_region_order r JOIN t_region_walk w ON w.doc_id = r.doc_id AND w.paragraph_index = r.paragraph_index AND w.seq = r.seq WHERE w.stays""",
+    "t_rules": f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(q(x) for x in rule) + ')' for rule in V.EDIT_RULES)}) AS r(rule_id, category, original, replacement, message)",
+    "t_matches": f"""SELECT m.*, r.rule_id, r.category, r.replacement,
+        m.paragraph_type <> 'cita' AND NOT list_contains(list_concat(m.disabled_rules, {str_list(V.STYLE_RULES_OFF)}, CASE WHEN m.paragraph_type IN ('titulo', 'subtitulo') THEN {str_list(V.TITLE_RULES_OFF)} ELSE [] END), r.rule_id) AS is_on
+        FROM (SELECT *, start_at + length(original) AS end_at FROM (SELECT doc_id, paragraph_index, paragraph_type, disabled_rules, i, found[i] AS original, {match_start('found', 'pieces', 'i')} AS start_at
+            FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT *, {found('stripped')} AS found, {pieces('stripped')} AS pieces FROM t_typed WHERE length(stripped) >= 3)))) m
+        JOIN t_rules r USING (original)""",
+    "t_edits_done": """SELECT m.*, g IS NOT NULL AS is_inside, is_on AND g IS NULL AS applied, g.s || ':' || g.e || ':' || g.reason || ':' || m.original AS undone
+        FROM (SELECT m.doc_id, m.paragraph_index, m.i, m.original, m.replacement, m.rule_id, m.category, m.start_at, m.end_at, m.is_on,
+            arg_max({'s': r.start_at, 'e': r.end_at, 'reason': r.reason}, r.start_at) AS g
+            FROM t_matches m LEFT JOIN t_regions r ON r.doc_id = m.doc_id AND r.paragraph_index = m.paragraph_index AND r.start_at < m.end_at AND r.end_at > m.start_at GROUP BY ALL) m""",
+    "t_pass0": f"""SELECT t.*, CASE WHEN e.vals IS NULL THEN stripped ELSE {joined(pieces('stripped'), 'e.vals')} END AS pass0_text,
+        coalesce(e.rule_hits, 0)::BIGINT AS rule_hits, coalesce(e.reverted, 0)::BIGINT AS reverted, coalesce(e.undone, []) AS undone, coalesce(e.applied, []) AS applied
+        FROM t_typed t LEFT JOIN (SELECT doc_id, paragraph_index, list(CASE WHEN applied THEN replacement ELSE original END ORDER BY i) AS vals,
+            count(*) FILTER (is_on) AS rule_hits, count(*) FILTER (is_on AND is_inside) AS reverted,
+            list(undone ORDER BY i) FILTER (is_on AND is_inside) AS undone, list({{'rule_id': rule_id, 'category': category, 'original': original, 'replacement': replacement}} ORDER BY i) FILTER (applied) AS applied
+            FROM t_edits_done GROUP BY ALL) e ON e.doc_id = t.doc_id AND e.paragraph_index = t.paragraph_index WHERE length(stripped) >= 3""",
+    "t_moved": """SELECT r.doc_id, r.paragraph_index, r.start_at + coalesce(sum(length(m.replacement) - length(m.original)), 0) AS s, r.start_at + coalesce(sum(length(m.replacement) - length(m.original)), 0) + length(r.text) AS e
+        FROM t_regions r LEFT JOIN t_edits_done m ON m.doc_id = r.doc_id AND m.paragraph_index = r.paragraph_index AND m.applied AND m.end_at <= r.start_at
+        GROUP BY r.doc_id, r.paragraph_index, r.start_at, r.text""",
+    "t_styled": f"""SELECT doc_id, paragraph_index, string_agg(pieces[i] || CASE WHEN i = len(pieces) THEN '' WHEN is_inside THEN w ELSE new END, '' ORDER BY i) AS styled FROM (
+        SELECT o.doc_id, o.paragraph_index, o.i, o.pieces, o.w, o.new, count(v.s) > 0 AS is_inside
+        FROM (SELECT *, (list_sum(list_transform(pieces[1:i], lambda p: length(p))) + (i - 1) * length(w))::BIGINT AS spot FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS i
+            FROM (SELECT doc_id, paragraph_index, w, {one_of('w', triage.STYLE)} AS new, string_split(pass0_text, w) AS pieces
+                FROM (SELECT *, {first_of('pass0_text', [a for a, _ in triage.STYLE])} AS w FROM t_routed WHERE route <> 'skip') WHERE w IS NOT NULL))) o
+        LEFT JOIN t_moved v ON v.doc_id = o.doc_id AND v.paragraph_index = o.paragraph_index AND v.s < o.spot + length(o.w) AND v.e > o.spot AND o.i < len(o.pieces) GROUP BY ALL) GROUP BY ALL""",
     "t_routed": f"""SELECT * EXCLUDE (rr), split_part(rr, '|', 1) AS route, split_part(rr, '|', 2) AS route_reason
         FROM (SELECT *, {_route_case()} AS rr FROM t_pass0)""",
     "t_candidates": f"""SELECT *, route <> 'skip' AND candidate <> stripped AS gated
-        FROM (SELECT *, CASE WHEN route = 'skip' THEN pass0_text ELSE {first_hit('pass0_text', triage.STYLE)} END AS candidate FROM t_routed)""",
+        FROM (SELECT *, CASE WHEN route = 'skip' THEN pass0_text WHEN doc_id % 17 = 0 AND paragraph_index % 5 = 0 THEN ''
+            WHEN doc_id % 13 = 0 THEN answer || ' ' || left(answer, 40)
+            WHEN doc_id % 11 = 0 THEN translate(answer, {q(triage.ACCENTED)}, {q(triage.PLAIN)})
+            WHEN doc_id % 7 = 0 AND key_word <> '' THEN replace(answer, key_word, '') ELSE answer END AS candidate
+            FROM (SELECT r.*, coalesce(y.styled, r.pass0_text) AS answer FROM t_routed r LEFT JOIN t_styled y ON y.doc_id = r.doc_id AND y.paragraph_index = r.paragraph_index))""",
     "t_measured": f"""SELECT *,
         CASE WHEN gated THEN CASE WHEN stripped = '' OR candidate = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - ({jaccard('stripped', 'candidate')}) END END AS rewrite_ratio,
         CASE WHEN gated THEN {readability('candidate')} END AS score,
@@ -233,11 +305,13 @@ TABLES: dict[str, str] = {
     "t_patches": f"""SELECT doc_id || '-' || paragraph_index || '-' || position AS patch_id, doc_id, lang, paragraph_index, position, location,
         stripped AS original_text, final_text AS corrected_text, origin AS source, route, review_status, rule_hits, n_paragraphs,
         {page_of('paragraph_index', 'n_paragraphs', 'greatest(1, ceil(n_paragraphs / 10.0))::BIGINT')} AS page_no,
-        CASE WHEN contains(origin, 'chatgpt') THEN ({str_list(V.CATEGORIES)})[((doc_id + paragraph_index + position) % 9 + 1)::BIGINT] END AS category,
-        CASE WHEN contains(origin, 'chatgpt') THEN ({str_list(V.SEVERITIES)})[((doc_id + paragraph_index + position) % 3 + 1)::BIGINT] END AS severity,
+        category, {one_of('category', list(V.SEVERITY_OF.items()))} AS severity, reverted,
+        CASE WHEN position = 0 AND category IS NOT NULL THEN 'STYLE' WHEN position > 0 THEN applied[position].rule_id END AS rule_id,
+        CASE WHEN position > 0 THEN applied[position].original END AS change_original, CASE WHEN position > 0 THEN applied[position].replacement END AS change_replacement,
         CASE WHEN contains(origin, 'chatgpt') THEN 'model' ELSE 'rules' END AS model_used
-        FROM (SELECT *, unnest(range(0, CASE WHEN contains(origin, 'chatgpt') THEN 1 + rule_hits ELSE 1 END)) AS position
-            FROM t_proposals WHERE changed)""",
+        FROM (SELECT *, CASE WHEN contains(origin, 'chatgpt') THEN CASE WHEN position = 0 THEN {q(V.STYLE_CATEGORY)} ELSE applied[position].category END END AS category
+            FROM (SELECT *, unnest(range(0, CASE WHEN contains(origin, 'chatgpt') THEN 1 + len(applied) ELSE 1 END)) AS position
+            FROM t_proposals WHERE changed))""",
     "t_changes": "SELECT * FROM t_patches WHERE position = 0",
     "t_usage": f"""SELECT doc_id, paragraph_index, route, lang, source, pass_number, prompt_tokens, completion_tokens,
         prompt_tokens + completion_tokens AS total_tokens, {V.PROMPT_E8} * prompt_tokens + {V.COMPLETION_E8} * completion_tokens AS cost_e8,
@@ -310,16 +384,26 @@ TABLES: dict[str, str] = {
                 '(?i)<nav\\b[^>]*>', chr(1) || 'nav' || chr(2), 'g'), '(?i)</nav>', chr(1) || 'body' || chr(2), 'g'),
                 {q(scan.HTML_OPEN)}, chr(1) || '\\1' || chr(2), 'g') AS marked FROM pages))""",
     "t_html_paras": f"""SELECT page_id, paragraph_index, tag, kind, {html_text('body')} AS text,
-        len(list_filter(list_transform(regexp_extract_all(body, '(?is)<a\\b[^>]*>(.*?)</a>', 1), lambda x: {html_text('x')}), lambda t: t <> '')) AS links
+        list_filter(list_transform(regexp_extract_all(body, '(?is)<a\\b[^>]*>(.*?)</a>', 1), lambda x: {html_text('x')}), lambda t: t <> '') AS link_texts, len(link_texts) AS links
         FROM (SELECT *, CASE WHEN tag = 'footer' THEN 'footer' WHEN has_nav AND paragraph_index < nav_end THEN 'header' ELSE 'body' END AS kind
             FROM (SELECT *, lower(CASE WHEN contains(chunk, chr(2)) THEN split_part(chunk, chr(2), 1) ELSE '' END) AS tag,
                 CASE WHEN contains(chunk, chr(2)) THEN substr(chunk, instr(chunk, chr(2)) + 1) ELSE chunk END AS body FROM t_html))""",
+    "t_html_links": "SELECT * FROM t_html_paras WHERE links > 0",
     "t_cells": """SELECT nation AS doc_id, r, c, v[c + 1] AS text, 'table:0:' || r || ':' || c || ':0' AS location FROM (
         SELECT *, unnest([0, 1, 2]::BIGINT[]) AS c FROM (
             SELECT DISTINCT c_nationkey::BIGINT AS nation, 0::BIGINT AS r, ['name', 'segment', 'key'] AS v FROM customer
             UNION ALL SELECT c_nationkey::BIGINT, c_custkey + 1, [c_name, c_mktsegment, c_custkey::VARCHAR] FROM customer))""",
 }
 RECURSIVE: dict[str, str] = {
+    "t_region_walk": """SELECT DISTINCT doc_id, paragraph_index, 0::BIGINT AS seq, -1::BIGINT AS last, false AS stays FROM t_region_order
+        UNION ALL
+        SELECT w.doc_id, w.paragraph_index, w.seq + 1, CASE WHEN r.start_at >= w.last THEN r.end_at ELSE w.last END, r.start_at >= w.last
+        FROM t_region_walk w JOIN t_region_order r ON r.doc_id = w.doc_id AND r.paragraph_index = w.paragraph_index AND r.seq = w.seq + 1""",
+    "t_link_walk": """SELECT page_id, paragraph_index, 0::BIGINT AS k, 0::BIGINT AS cursor, 0::BIGINT AS at, '' AS link FROM t_html_links
+        UNION ALL
+        SELECT page_id, paragraph_index, k, CASE WHEN found_at > 0 THEN cursor + found_at - 1 + length(link) ELSE cursor END, found_at, link
+        FROM (SELECT w.page_id, w.paragraph_index, w.k + 1 AS k, w.cursor, p.link_texts[w.k + 1] AS link, instr(substr(p.text, w.cursor + 1), p.link_texts[w.k + 1]) AS found_at
+            FROM t_link_walk w JOIN t_html_links p USING (page_id, paragraph_index) WHERE w.k < p.links)""",
     "t_walk": """SELECT doc_id, 0::BIGINT AS seq, []::VARCHAR[] AS kept FROM (SELECT DISTINCT doc_id FROM t_ranked)
         UNION ALL
         SELECT w.doc_id, w.seq + 1, CASE WHEN len(list_filter(w.kept, lambda k: contains(k, r.term) OR contains(r.term, k))) = 0 THEN list_append(w.kept, r.term) ELSE w.kept END

@@ -273,29 +273,31 @@ def word_diff(c: Corpus) -> DataFrame:
     return rows.select(*KEY, F.inline(F.array(text.word_diff(F.col("original_text"), F.col("corrected_text")))))
 
 
-@query("lexicon_fix", f"SELECT doc_id, paragraph_index, {O.chain('stripped', V.LEXICON + V.CORPUS_RULES)} AS fixed FROM t_typed")
+@query("lexicon_fix", f"SELECT doc_id, paragraph_index, {O.chain('stripped', V.CORPUS_RULES)} AS fixed FROM t_typed")
 def lexicon_fix(c: Corpus) -> DataFrame:
-    return c.typed.select(*KEY, edits.replace_chain(F.col("stripped"), V.LEXICON + V.CORPUS_RULES).alias("fixed"))
+    return c.typed.select(*KEY, edits.replace_chain(F.col("stripped"), V.CORPUS_RULES).alias("fixed"))
 
 
-@query("first_hit_fix", f"""SELECT doc_id, paragraph_index, {O.first_hit('stripped', V.STYLE_OFFLINE + V.CORPUS_STYLE)} AS fixed FROM t_typed""")
+@query("first_hit_fix", f"""SELECT doc_id, paragraph_index, {O.first_hit('stripped', V.CORPUS_STYLE)} AS fixed FROM t_typed""")
 def first_hit_fix(c: Corpus) -> DataFrame:
-    return c.typed.select(*KEY, edits.first_hit(F.col("stripped"), V.STYLE_OFFLINE + V.CORPUS_STYLE).alias("fixed"))
+    return c.typed.select(*KEY, edits.first_hit(F.col("stripped"), V.CORPUS_STYLE).alias("fixed"))
 
 
-@query("rule_pass", """SELECT doc_id, paragraph_index, length(stripped) < 3 AS skipped,
-    CASE WHEN length(stripped) < 3 THEN text ELSE """ + O.chain("stripped", [r for r in triage.RULES if r[0] != r[1]]) + """ END AS corrected_text,
-    CASE WHEN length(stripped) < 3 THEN 0 ELSE """ + O.rule_hits("stripped") + """ END AS ops FROM t_typed""")
+@query("rule_pass", f"""SELECT doc_id, paragraph_index, length(stripped) < 3 AS skipped,
+    CASE WHEN length(stripped) < 3 THEN text ELSE {O.fixed('found', 'pieces')} END AS corrected_text,
+    CASE WHEN length(stripped) < 3 THEN 0 ELSE len(found) END::BIGINT AS ops,
+    CASE WHEN length(stripped) < 3 OR len(found) = 0 THEN '' ELSE array_to_string(list_transform(range(1, len(found) + 1), lambda i: {O.match_start('found', 'pieces', 'i')} || ':' || found[i]), ' ') END AS log
+    FROM (SELECT *, {O.found('stripped')} AS found, {O.pieces('stripped')} AS pieces FROM t_typed)""")
 def rule_pass(c: Corpus) -> DataFrame:
-    rows = corrector.first_pass_all(c.paragraphs, triage.RULES)
-    return rows.select(*KEY, "skipped", "corrected_text", F.size("ops").alias("ops"))
+    log = F.array_join(F.transform("ops", lambda e: F.concat_ws(":", e["offset"], e["original"])), " ")
+    return corrector.first_pass_all(c.paragraphs).select(*KEY, "skipped", "corrected_text", F.size("ops").alias("ops"), log.alias("log"))
 
 
 @query("block_pass", f"""SELECT doc_id, page_no, block_no, fixed AS corrected_text FROM
-    (SELECT *, {O.chain(O.strip('block_text'), [r for r in triage.RULES if r[0] != r[1]])} AS fixed FROM t_blocks)
+    (SELECT *, {O.fixed('found', 'pieces')} AS fixed FROM (SELECT *, {O.found(O.strip('block_text'))} AS found, {O.pieces(O.strip('block_text'))} AS pieces FROM t_blocks))
     WHERE length({O.strip('block_text')}) >= 3 AND fixed <> block_text""")
 def block_pass(c: Corpus) -> DataFrame:
-    return corrector.block_pass(c.blocks, triage.RULES).select("doc_id", "page_no", "block_no", "corrected_text")
+    return corrector.block_pass(c.blocks).select("doc_id", "page_no", "block_no", "corrected_text")
 
 
 @query("page_split", f"""SELECT doc_id, paragraph_index, place AS cut, regexp_replace(left(stripped, place), {O.q(V.WS + '+$')}, '') AS before,
@@ -333,21 +335,23 @@ def number_spans(c: Corpus) -> DataFrame:
     return rows.select(*KEY, (F.col("k") + 1).alias("k"), F.col("r.text").alias("text"), F.col("r.start").alias("start_at"), F.col("r.end").alias("end_at"))
 
 
-@query("region_scan")
+@query("region_scan", """SELECT doc_id, paragraph_index, start_at AS "start", end_at AS "end", reason, text FROM t_regions""")
 def region_scan(c: Corpus) -> DataFrame:
-    """All protected spans after overlap resolution (look-behind is needed, so there is no checking SQL)."""
-    rows = triage.with_profile(c.paragraphs)
-    found = protect.detect_regions(F.col("text"), F.col("protected_terms"))
+    """All protected spans of the stripped paragraphs after overlap resolution."""
+    rows = triage.typed(triage.with_profile(c.paragraphs))
+    found = protect.detect_regions(F.col("stripped"), F.col("protected_terms"))
     return rows.select(*KEY, F.inline(found)).select(*KEY, "start", "end", "reason", "text")
 
 
-@query("revert_regions")
+@query("revert_regions", """SELECT doc_id, paragraph_index, pass0_text AS text, rule_hits, reverted, rule_hits - reverted AS net_changes,
+    array_to_string(undone, ' ') AS log FROM t_pass0 WHERE rule_hits > 0""")
 def revert_regions(c: Corpus) -> DataFrame:
-    rows = c.prepared.filter("pass0_text <> stripped").withColumn("regions", protect.detect_regions(F.col("stripped"), F.col("protected_terms")))
-    rows = rows.filter(F.size("regions") > 0).select(*KEY, "pass0_text", "ops", "regions", F.inline(F.array(
-        protect.revert_in_regions(F.col("stripped"), F.col("pass0_text"), F.col("regions"))
-    )))
-    return rows.select(*KEY, "text", F.size("log").alias("reverted"), protect.net_changes(F.col("ops"), F.col("log")).alias("net_changes"))
+    """Paragraphs with edits: the text after those inside protected spans are undone, and what was undone where."""
+    log = F.array_join(F.transform("reverted", lambda r: F.concat_ws(":", r["region_start"], r["region_end"], r["reason"], r["restored"])), " ")
+    return c.prepared.filter(F.size("ops") > 0).select(
+        *KEY, F.col("pass0_text").alias("text"), F.size("ops").alias("rule_hits"), F.size("reverted").alias("reverted"),
+        protect.net_changes(F.col("ops"), F.col("reverted")).alias("net_changes"), log.alias("log"),
+    )
 
 
 @query("apply_edits", "SELECT doc_id, paragraph_index, regexp_replace(text, '[0-9]+', '<\\0>', 'g') AS text FROM t_paras WHERE regexp_matches(text, '[0-9]')")
@@ -374,13 +378,15 @@ def similarity_tokens(c: Corpus) -> DataFrame:
     return c.patches.filter("position = 0").select(*KEY, edits.token_jaccard(F.col("original_text"), F.col("corrected_text")).alias("similarity"))
 
 
-@query("link_overlap")
+@query("link_overlap", f"""SELECT p.page_id AS doc_id, p.paragraph_index, len(p.found) AS edits, count(l.k) FILTER (l.at > 0) AS links,
+    coalesce(bool_or(len(list_filter(range(1, len(p.found) + 1), lambda i: {O.match_start('p.found', 'p.pieces', 'i')} < l.cursor AND {O.match_start('p.found', 'p.pieces', 'i')} + length(p.found[i]) > l.cursor - length(l.link))) > 0) FILTER (l.at > 0), false) AS overlaps
+    FROM (SELECT *, CASE WHEN length(text) < 3 THEN [] ELSE {O.found('text')} END AS found, {O.pieces('text')} AS pieces FROM t_html_links) p JOIN t_link_walk l USING (page_id, paragraph_index)
+    WHERE l.k > 0 GROUP BY ALL""")
 def link_overlap(c: Corpus) -> DataFrame:
     """Web paragraphs with links: does the rule pass change text inside a link?"""
-    rows = corrector.first_pass_all(c.html.filter(F.size("links") > 0), triage.RULES)
+    rows = corrector.first_pass_all(c.html.filter(F.size("links") > 0))
     rows = rows.withColumn("ranges", edits.link_ranges(F.col("text"), F.col("links")))
-    rows = rows.withColumn("ops", edits.opcodes(F.col("text"), F.col("corrected_text")))
-    return rows.select(*KEY, F.size("ranges").alias("links"), edits.touches_links(F.col("ops"), F.col("ranges")).alias("overlaps"))
+    return rows.select(*KEY, F.size("ops").alias("edits"), F.size("ranges").alias("links"), edits.touches_links(F.col("ops"), F.col("ranges")).alias("overlaps"))
 
 
 @query("call_costs", """SELECT doc_id, paragraph_index, pass_number, call_type, prompt_tokens, completion_tokens, cost_e8,
@@ -422,7 +428,7 @@ def _profile(c: Corpus) -> DataFrame:
 def request_table(c: Corpus) -> DataFrame:
     """Correction requests for every routed paragraph, ready to be sent out in batches."""
     rows = structure.neighbours(triage.typed(structure.with_sections(triage.with_profile(c.paragraphs).drop("n_paragraphs"))))
-    rows = triage.routed(triage.first_pass(rows, stress=True)).filter("route <> 'skip'")
+    rows = triage.routed(triage.first_pass(rows)).filter("route <> 'skip'")
     titles = structure.section_table(c.sectioned).select("doc_id", "section_index", "section_title")
     rows = rows.join(titles, ["doc_id", "section_index"], "left").join(_profile(c), "doc_id")
     n = F.col("n_paragraphs")
@@ -575,7 +581,7 @@ def gate_log(c: Corpus) -> DataFrame:
 @query("disposition_exact")
 def disposition_exact(c: Corpus) -> DataFrame:
     """Decisions with the exact similarity of the standard library and rounded values."""
-    rows = triage.proposed(c.prepared, "difflib", True)
+    rows = triage.proposed(c.prepared, "difflib", True, stress=True)
     return rows.groupBy("route", "review_status").agg(F.count("*").alias("paragraphs"), F.count_if("changed").alias("changed"))
 
 
@@ -635,7 +641,7 @@ def batch_seeds(c: Corpus) -> DataFrame:
 def _pass0_all(c: Corpus) -> DataFrame:
     """First pass over all paragraphs, unusable ones included, so that positions have no gaps."""
     rows = triage.typed(triage.positioned(triage.with_profile(c.paragraphs)))
-    fixed = triage.fence(triage.first_pass(rows, stress=True), ["pass0_text", "ops"]).select(*KEY, "stripped", "pass0_text")
+    fixed = triage.fence(triage.first_pass(rows), ["pass0_text"]).select(*KEY, "stripped", "pass0_text")
     return store(fixed, "pass0")
 
 
@@ -1248,7 +1254,7 @@ def stream_decisions(c: Corpus) -> DataFrame:
 def stream_enrich(c: Corpus) -> DataFrame:
     """New documents through the stateless part of the chain: the batch functions, on a stream."""
     arriving = jobs.event_stream(c.spark, f"{c.path}/documents.parquet", jobs.DOCUMENTS)
-    rows = triage.prepared(arriving, stress=True).select(*KEY, "paragraph_type", "route", "route_reason", "pass0_text")
+    rows = triage.prepared(arriving).select(*KEY, "paragraph_type", "route", "route_reason", "pass0_text")
     return jobs.run_available(rows, _sink(c, "enrich"))
 
 

@@ -73,12 +73,12 @@ class Corpus:
 
     @cached_property
     def prepared(self) -> DataFrame:
-        return triage.prepared(self.documents, stress=True)
+        return triage.prepared(self.documents)
 
     @cached_property
     def proposals(self) -> DataFrame:
         """Decisions with the native similarity and unrounded values, as SQL engines can check them."""
-        return triage.proposed(self.prepared, "jaccard", False)
+        return triage.proposed(self.prepared, "jaccard", False, stress=True)
 
     def keep_proposals(self) -> None:
         """Store the proposals once, for plans that read patches or usage in several branches."""
