@@ -5,13 +5,16 @@ sample of them, gives every document a posterior p over the domains (tempered, a
 Document rates r >= 0 are then fitted so that the expected domain totals sum_d r_d * words_d * p_dk meet the targets T_k,
 by projected gradient on the least squares sum_k (total_k - T_k)^2 / now_k, from r = 1: each step is one aggregation of
 the document rows, to as many numbers as there are domains; rows replay the steps, so no rates are stored in between. With
-weights 1 / now_k the step length 1 never overshoots.
+weights 1 / now_k the step length 1 never overshoots. Steps end when all targets are met within TOLERANCE, or when PATIENCE
+more of them bring the misfit down by less than STALLED of itself: then no rates meet the targets, those reached are the
+least-squares fit, and met is false. A token is a word here (a run of non-spaces), as SQL functions cut them.
 
 The targets' scale is MARGIN above the smallest at which no domain has to shrink in total, so documents are repeated
 rather than lost; pass total to set it.
 
-Defined results: null and empty texts have no words, the prior as posterior, and a rate as all others. Domains without
-labelled rows keep smoothed flat word chances. Labelled rows with a null or foreign domain are left out; a doc_id labelled
+Defined results: null and empty texts have no words, the prior as posterior, and a rate as all others. A target domain
+without labelled rows can't be told: its posterior is 0, no document is repeated for it, the others are fitted to their own
+targets, and met is false; without any labelled rows all rates are 1. Labelled rows with a null or foreign domain are left out; a doc_id labelled
 twice counts once for each of its domains. Repeated rows and null doc_ids are documents of their own. Empty tables give
 no rows. Other columns are ignored by rates() and kept by mixed().
 """
@@ -30,8 +33,10 @@ from redline.session import store
 PLACES = 4096
 MAX_ROWS = 4000
 SHARP_WORDS = 30
-STEPS = 60
 TOLERANCE = 1e-4
+PATIENCE, STALLED = 10, 0.01
+#: Log prior of a domain that no labelled row has.
+NEVER = -1e6
 MARGIN = 1.02
 
 
@@ -57,7 +62,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], max_rows: int
         total = sum(table[d])
         chances.append([math.log(x / total) for x in table[d]])
     rows = sum(prior.values()) + len(domains)
-    return chances, [math.log((prior.get(d, 0) + 1) / rows) for d in domains]
+    return chances, [math.log((prior[d] + 1) / rows) if d in prior else NEVER for d in domains]
 
 
 def constant(values: list) -> Column:
@@ -77,7 +82,10 @@ def with_posteriors(docs: DataFrame, chances: list[list[float]], prior: list[flo
     temper = F.least("n_words", F.lit(SHARP_WORDS)) / F.greatest("n_words", F.lit(1))
     some = some.withColumn("score", F.array(*[s * temper + F.lit(q) for s, q in zip(sums, prior)])).drop("places")
     some = some.withColumn("e", F.transform("score", lambda x: F.exp(x - F.array_max("score"))))
-    return some.withColumn("p", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y))).drop("score", "e")
+    some = some.withColumn("p", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y))).drop("score", "e")
+    if max(prior) == NEVER:
+        some = some.withColumn("p", F.transform("p", lambda x: F.lit(0.0)))
+    return some
 
 
 def posteriors(docs: DataFrame, chances: list[list[float]], prior: list[float]) -> DataFrame:
@@ -94,8 +102,8 @@ def rate_after(steps: list[list[float]]) -> Column:
     return F.aggregate(constant(steps), F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
 
 
-def fit_steps(rows: DataFrame, weights: list[float], total: float | None = None) -> list[list[float]]:
-    """The steps of the projected gradient, until the totals are within TOLERANCE of the targets."""
+def fit_steps(rows: DataFrame, weights: list[float], total: float | None = None) -> tuple[list[list[float]], bool]:
+    """The steps of the projected gradient, and whether the totals are within TOLERANCE of the targets after them."""
     size = len(weights)
 
     def totals(steps):
@@ -105,24 +113,29 @@ def fit_steps(rows: DataFrame, weights: list[float], total: float | None = None)
 
     now = totals([])
     if not sum(now):
-        return []
+        return [], False
     share = [w / sum(weights) for w in weights]
     if total is None:
         total = MARGIN * max(n / s for n, s in zip(now, share) if s > 0)
-    target, steps, held = [s * total for s in share], [], now
-    for _ in range(STEPS):
-        if all(abs(h - t) <= TOLERANCE * total for h, t in zip(held, target)):
-            break
-        steps.append([(h - t) / max(n, 1.0) for h, t, n in zip(held, target, now)])
+    target, steps, held, misfits = [s * total for s in share], [], now, []
+    while True:
+        off = [h - t if n > 0 else 0.0 for h, t, n in zip(held, target, now)]  # what no document has can't be fitted
+        if all(abs(x) <= TOLERANCE * total for x in off):
+            return steps, all(n > 0 or t == 0 for n, t in zip(now, target))
+        misfits.append(sum(x * x / max(n, 1.0) for x, n in zip(off, now)))
+        if len(misfits) > PATIENCE and misfits[-1] > (1 - STALLED) * misfits[-1 - PATIENCE]:
+            return steps, False
+        steps.append([x / max(n, 1.0) for x, n in zip(off, now)])
         held = totals(steps)
-    return steps
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, n_words, p (posteriors in the order of the targets) and rate of each document."""
+    """doc_id, n_words, p (posteriors in the order of the targets) and rate of each document, and met: do the rates meet
+    the targets?"""
     domains = list(targets)
     rows = store(posteriors(docs, *fit(docs, labelled, domains, max_rows)), "posteriors")
-    return rows.withColumn("rate", rate_after(fit_steps(rows, list(targets.values()), total)))
+    steps, met = fit_steps(rows, list(targets.values()), total)
+    return rows.withColumn("rate", rate_after(steps)).withColumn("met", F.lit(met))
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -132,14 +145,11 @@ def copies(rate: Column, key: Column) -> Column:
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The documents, with all their columns, each as often as its rate says. The model is applied to the rows where
-    they are, so no text is shuffled."""
+    """The documents, with all their columns, each as often as its rate says. Documents are written once, with their
+    posteriors, from which all else is worked out; no text is shuffled."""
     domains = list(targets)
-    model = fit(docs, labelled, domains, max_rows)
-    steps = fit_steps(store(posteriors(docs, *model), "posteriors"), list(targets.values()), total)
-    names = docs.columns
-    packed = docs.select(F.struct(*names).alias("_row"), F.col("doc_id"), F.col("text"))
-    scored = with_posteriors(packed, *model)
-    times = copies(rate_after(steps), F.coalesce(F.col("doc_id"), F.xxhash64("text")))
-    out = scored.withColumn("_times", times).where("_times > 0")
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("_key"), F.col("text"))
+    rows = store(with_posteriors(packed, *fit(docs, labelled, domains, max_rows)).drop("text"), "posteriors")
+    steps, _ = fit_steps(rows, list(targets.values()), total)
+    out = rows.select("_row", copies(rate_after(steps), F.col("_key")).alias("_times")).where("_times > 0")
     return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

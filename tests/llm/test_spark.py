@@ -349,6 +349,30 @@ def test_mixing(spark):
     assert source_mixing.mixed(docs.where("false"), known, targets).count() == 0
 
 
+def test_mixing_of_a_domain_that_no_label_has(spark):
+    """Its target can't be met: nothing is repeated in its stead, the others meet theirs, and the result says so."""
+    draw = random.Random(4)
+    words = {"en": "the and of with that".split(), "fr": "le la avec pour dans".split()}
+    data = [(i, " ".join(draw.choice(words["fr" if i % 3 == 0 else "en"]) for _ in range(40)), "fr" if i % 3 == 0 else "en") for i in range(150)] + [(150, None, None), (151, "le " * 5000, "fr")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, domain string")
+    got = source_mixing.rates(docs, docs.select("doc_id", "domain"), {"en": 0.4, "fr": 0.4, "xx": 0.2}).collect()
+    total = [sum(r.rate * r.n_words * r.p[k] for r in got) for k in range(3)]
+    assert total[0] / total[1] == pytest.approx(1, abs=0.01) and total[2] == 0
+    assert max(r.rate for r in got) < 4 and not any(r.met for r in got)
+    assert all(r.met for r in source_mixing.rates(docs, docs.select("doc_id", "domain"), {"en": 0.5, "fr": 0.5}).select("met").collect())
+    none = source_mixing.rates(docs, docs.where("false").select("doc_id", "domain"), {"en": 0.5, "fr": 0.5}).collect()
+    assert {(r.rate, r.met) for r in none} == {(1.0, False)}
+
+
+def test_mixed_works_posteriors_out_once(spark, docs):
+    """The copies are read from stored posteriors: the plan cuts no text."""
+    labelled = docs.select("doc_id", F.col("lang").alias("domain"))
+    mixed = source_mixing.mixed(docs, labelled, {"en": 1.0})
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "xxhash64" in plan
+    assert mixed.columns == docs.columns
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a<p>b", 3), (2, None, None, 4), (None, "v", "", 5), (1, "u", "<p>a<p>b", 3)], "page_id long, url string, html string, text long")
     got = render_pages(pages)
