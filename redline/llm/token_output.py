@@ -166,19 +166,22 @@ class PieceEncoder:
         self.after_blank: dict[str, bytes] = {}
         self.after_line: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.pieces_kept = PIECES_KEPT
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     @classmethod
-    def of_worker(cls, path: str) -> "PieceEncoder":
-        """One encoder for all tasks of a worker process: what it has learnt holds for any text."""
+    def of_worker(cls, path: str, pieces_kept: int) -> "PieceEncoder":
+        """One encoder for all tasks of a worker process: what it has learnt holds for any text. Fewer pieces kept take less
+        memory and more time; results are the same."""
         import tokenizers
 
         kept = tokenizers.__dict__.setdefault("_piece_encoders", {})
         if path not in kept:
             kept[path] = cls(path)
+        kept[path].pieces_kept = pieces_kept
         return kept[path]
 
     def regular(self, text: str) -> bool:
@@ -218,15 +221,15 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        if len(self.after_blank) + len(self.after_line) > PIECES_KEPT:
-            self.after_blank.clear()
-            self.after_line.clear()
         cut = [[line.split(" ") for line in text.split("\n")] if self.regular(text) else None for text in texts]
         blank, line_start = set(), set()
         for lines in cut:
             for words in lines or ():
                 line_start.add(words[0])
                 blank.update(words[1:])
+        if len(self.after_blank) + len(self.after_line) > self.pieces_kept:  # keep what these texts use
+            self.after_blank = {p: self.after_blank[p] for p in blank if p in self.after_blank}
+            self.after_line = {p: self.after_line[p] for p in line_start if p in self.after_line}
         self.learn_words(self.after_blank, blank.difference(self.after_blank), " ")
         self.learn_words(self.after_line, line_start.difference(self.after_line), "")
         feed, out = np.array([self.line], "<u4").tobytes(), []
@@ -238,7 +241,7 @@ class PieceEncoder:
         return out
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, parts: int | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, parts: int | None = None, pieces_kept: int = PIECES_KEPT) -> DataFrame:
     """Segments of all documents in ascending doc_id order. The text is shuffled once, by ranges of (doc_id, hash of the
     text), so equal ids don't pile up; a task holds one segment at a time."""
     spark = docs.sparkSession
@@ -247,7 +250,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, part
     ordered = some.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches):
-        encoder, part, segment = PieceEncoder.of_worker(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, part, segment = PieceEncoder.of_worker(tokenizer_path, pieces_kept), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         ids, texts, size = [], [], 0
 
