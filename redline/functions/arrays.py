@@ -69,12 +69,17 @@ def touching(spans: Column, others: Column) -> Column:
     """For each span the place of the last of the others that shares a character with it, or -1. Both are arrays of structs
     with start and end, sorted and disjoint. One sort of all ends and starts; of the others that start before a span
     ends, counted along, only the last can reach into it."""
-    asked = F.transform(spans, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("kind"), s["start"].alias("start")))
-    given = F.transform(others, lambda o: F.struct(o["start"].alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("start")))
 
-    def placed(e: Column) -> Column:
-        seen = F.arrays_zip(e.alias("e"), running_sum(F.transform(e, lambda x: x["kind"])).alias("n"))
-        own = F.filter(seen, lambda x: x["e"]["kind"] == 0)  # at one place a span ends before another starts
-        return F.transform(own, lambda x: F.when((x["n"] > 0) & (F.get(others, x["n"] - 1)["end"] > x["e"]["start"]), x["n"] - 1).otherwise(-1))
+    def among(both: Column) -> Column:
+        spans, others = both["spans"], both["others"]
+        asked = F.transform(spans, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("kind"), s["start"].alias("start")))
+        given = F.transform(others, lambda o: F.struct(o["start"].alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("start")))
 
-    return F.when(F.size(others) == 0, F.transform(spans, lambda s: F.lit(-1))).otherwise(let(F.sort_array(F.concat(asked, given)), placed))
+        def placed(e: Column) -> Column:
+            seen = F.arrays_zip(e.alias("e"), running_sum(F.transform(e, lambda x: x["kind"])).alias("n"))
+            own = F.filter(seen, lambda x: x["e"]["kind"] == 0)  # at one place a span ends before another starts
+            return F.transform(own, lambda x: F.when((x["n"] > 0) & (F.get(others, x["n"] - 1)["end"] > x["e"]["start"]), x["n"] - 1).otherwise(-1))
+
+        return F.when(F.size(others) == 0, F.transform(spans, lambda s: F.lit(-1))).otherwise(let(F.sort_array(F.concat(asked, given)), placed))
+
+    return let(F.struct(spans.alias("spans"), others.alias("others")), among)

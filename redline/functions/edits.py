@@ -94,18 +94,23 @@ def applied(ops: Column, regions: Column) -> Column:
 
 def moved(regions: Column, ops: Column) -> Column:
     """Regions of a text as they stand after edits that touch none of them: each moves by what the edits before it add."""
-    before = F.transform(ops, lambda e: F.struct(
-        (e["offset"] + e["length"]).alias("at"), F.lit(0).alias("kind"), (F.length(e["replacement"]) - e["length"]).alias("by"), F.lit(-1).alias("i"),
-    ))
-    asked = F.transform(regions, lambda r, i: F.struct(r["start"].alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("by"), i.alias("i")))
 
-    def shifted(e: Column) -> Column:
-        sums = F.arrays_zip(e.alias("e"), arrays.running_sum(F.transform(e, lambda x: x["by"])).alias("by"))
-        return F.transform(F.filter(sums, lambda x: x["e"]["kind"] == 1), lambda x: let(F.get(regions, x["e"]["i"]), lambda r: F.struct(
-            (r["start"] + x["by"]).alias("start"), (r["end"] + x["by"]).alias("end"), r["reason"].alias("reason"), r["text"].alias("text"),
-        )))
+    def among(both: Column) -> Column:
+        regions, ops = both["regions"], both["ops"]
+        before = F.transform(ops, lambda e: F.struct(
+            (e["offset"] + e["length"]).alias("at"), F.lit(0).alias("kind"), (F.length(e["replacement"]) - e["length"]).alias("by"), F.lit(-1).alias("i"),
+        ))
+        asked = F.transform(regions, lambda r, i: F.struct(r["start"].alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("by"), i.alias("i")))
+
+        def shifted(e: Column) -> Column:
+            sums = F.arrays_zip(e.alias("e"), arrays.running_sum(F.transform(e, lambda x: x["by"])).alias("by"))
+            return F.transform(F.filter(sums, lambda x: x["e"]["kind"] == 1), lambda x: let(F.get(regions, x["e"]["i"]), lambda r: F.struct(
+                (r["start"] + x["by"]).alias("start"), (r["end"] + x["by"]).alias("end"), r["reason"].alias("reason"), r["text"].alias("text"),
+            )))
+
+        return let(F.sort_array(F.concat(before, asked)), shifted)
 
-    return F.when((F.size(ops) == 0) | (F.size(regions) == 0), regions).otherwise(let(F.sort_array(F.concat(before, asked)), shifted))
+    return F.when((F.size(ops) == 0) | (F.size(regions) == 0), regions).otherwise(let(F.struct(regions.alias("regions"), ops.alias("ops")), among))
 
 
 def style_fix(text: Column, pairs: list[tuple[str, str]], regions: Column) -> Column:
@@ -179,26 +184,25 @@ def similarity_by(metric: str, left: Column, right: Column) -> Column:
 
 
 def link_ranges(text: Column, links: Column) -> Column:
-    """Place each link text left to right with a moving cursor: array<struct<start,end>>."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+    """Place each link text left to right with a moving cursor: array<struct<start,end>>. The places are written to one
+    string on the way, which costs bytes where a growing array would cost its elements each time."""
 
     def place(acc: Column, link: Column) -> Column:
         at = F.position(link, text, acc["cursor"] + 1)
-        end = at - 1 + F.length(link)
-        return F.when(
-            (link != "") & (at > 0),
-            F.struct(
-                end.alias("cursor"),
-                F.concat(acc["out"], F.array(F.struct((at - 1).alias("start"), end.alias("end")))).alias("out"),
-            ),
-        ).otherwise(acc)
 
-    return F.aggregate(
-        F.coalesce(links, F.array().cast("array<string>")),
-        F.struct(F.lit(0).alias("cursor"), empty.alias("out")),
-        place,
-        lambda acc: acc["out"],
+        def placed(a: Column) -> Column:
+            end = a - 1 + F.length(link)
+            return F.struct(end.alias("cursor"), F.concat(acc["out"], (a - 1).cast("string"), F.lit(":"), end.cast("string"), F.lit(" ")).alias("out"))
+
+        return let(at, lambda a: F.when((link != "") & (a > 0), placed(a)).otherwise(acc))
+
+    written = F.aggregate(
+        F.coalesce(links, F.array().cast("array<string>")), F.struct(F.lit(0).alias("cursor"), F.lit("").alias("out")), place, lambda acc: acc["out"],
     )
+    parts = F.filter(F.split(written, " ", -1), lambda x: x != "")
+    return F.transform(parts, lambda x: F.struct(
+        F.substring_index(x, ":", 1).cast("int").alias("start"), F.substring_index(x, ":", -1).cast("int").alias("end")
+    ))
 
 
 def touches_links(ops: Column, links: Column) -> Column:

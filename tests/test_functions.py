@@ -1,5 +1,8 @@
 """Facts about single texts, run through DataFrames."""
 
+import random
+import re
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -118,18 +121,63 @@ def test_apply_edits_from_the_right(spark):
     assert got == "Había algo más" and len(ops) == 2
 
 
-def test_rule_chain_and_log(spark):
-    rows = [("hola, esto es dificil y facil", )]
-    fix = edits.apply_rules(F.col("t"), edits.rule_array(V.LEXICON))
-    got = one(spark, "t string", rows[0], fix)
-    assert got["text"] == "Hola, esto es difícil y fácil"
-    assert [o["original"] for o in got["ops"]] == ["hola", "facil", "dificil"]
-    assert one(spark, "t string", rows[0], edits.replace_chain(F.col("t"), V.LEXICON)) == got["text"]
+RULES = [("HOLA", "lexico", "hola", "Hola", ""), ("FACIL", "lexico", "facil", "fácil", ""), ("MARKS", "puntuacion", "!!", "!", ""), ("PAIR", "lexico", "a b", "", "")]
+
+
+def plain_fix(text, rules, off=(), regions=()):
+    """All rules' matches from the left, put in unless switched off or inside a region."""
+    pattern = re.compile("|".join(re.escape(r[2]) for r in rules))
+    table = {r[2]: r for r in rules}
+    out, ops, undone, at = [], [], [], 0
+    for m in pattern.finditer(text):
+        rule = table[m.group()]
+        hit = [r for r in regions if r[0] < m.end() and r[1] > m.start()]
+        out += [text[at:m.start()], m.group() if rule[0] in off or hit else rule[3]]
+        at = m.end()
+        if rule[0] not in off:
+            ops.append((m.start(), m.group(), rule[3]))
+            if hit:
+                undone.append((*hit[-1], m.group()))
+    return "".join(out) + text[at:], ops, undone
+
+
+def test_fix_logs_edits_and_undoes_those_in_regions(spark):
+    draw = random.Random(3)
+    rows = [("hola, esto es facil!!!", [], []), ("", [], []), ("nada", [], []), ("!!", ["MARKS"], []), ("hola hola", [], [(0, 4), (5, 9)])]
+    for _ in range(60):
+        text = "".join(draw.choice(["hola", "facil", "!", "!!", " ", "é", "a b", "x"]) for _ in range(draw.randrange(30)))
+        cuts = sorted(draw.sample(range(len(text) + 1), min(len(text) // 4 * 2, 8)))
+        rows.append((text, draw.sample(["HOLA", "MARKS"], draw.randrange(3)), list(zip(cuts[::2], cuts[1::2]))))
+    regions = F.transform("g", lambda r: F.struct(r["s"].alias("start"), r["e"].alias("end"), F.lit("x").alias("reason"), F.lit("").alias("text")))
+    got = values(spark, "t string, off array<string>, g array<struct<s:int,e:int>>", rows, v=edits.fix(F.col("t"), RULES, F.col("off"), regions))
+    for (text, off, spans), (v, ) in zip(rows, got):
+        want = plain_fix(text, RULES, off, spans)
+        assert (v["text"], [(o["offset"], o["original"], o["replacement"]) for o in v["ops"]]) == want[:2]
+        assert [(r["region_start"], r["region_end"], r["restored"]) for r in v["reverted"]] == want[2]
+        if not off:
+            kept = [o for o in v["ops"] if not any(s < o["offset"] + o["length"] and e > o["offset"] for s, e in spans)]
+            places = one(spark, f"o array<{edits.EDIT}>, g array<struct<s:int,e:int>>", ([tuple(o) for o in kept], spans), edits.moved(regions, F.col("o")))
+            assert [v["text"][p["start"]:p["end"]] for p in places] == [text[s:e] for s, e in spans]
+
+
+def test_style_outside_regions(spark):
+    text, pairs = "uno of the dos of the tres", [(" to the ", " to "), (" of the ", " of ")]
+    inside = F.array(F.struct(F.lit(0).alias("start"), F.lit(8).alias("end"), F.lit("x").alias("reason"), F.lit("").alias("text")))
+    assert one(spark, "t string", (text, ), edits.style_fix(F.col("t"), pairs, protect.no_regions())) == "uno of dos of tres"
+    assert one(spark, "t string", (text, ), edits.style_fix(F.col("t"), pairs, inside)) == "uno of the dos of tres"
+    assert one(spark, "t string", ("nada", ), edits.style_fix(F.col("t"), pairs, inside)) == "nada"
 
 
 def test_first_hit_applies_one_pair(spark):
-    got = one(spark, "t string", ("A veces Este texto falla", ), edits.first_hit(F.col("t"), V.STYLE_OFFLINE))
-    assert got == "A veces El presente texto falla"
+    got = one(spark, "t string", ("a of the b to the c of the d", ), edits.first_hit(F.col("t"), [(" to the ", " to "), (" of the ", " of ")]))
+    assert got == "a of the b to c of the d"
+    assert one(spark, "t string", ("hola facil", ), edits.replace_chain(F.col("t"), [(r[2], r[3]) for r in RULES])) == "Hola fácil"
+
+
+def test_rules_are_literals_that_stand_for_themselves():
+    for rule in V.EDIT_RULES:
+        assert re.fullmatch(edits.quoted(rule[2]), rule[2]) and not set(rule[2]) & set("\\^")
+        assert rule[1] in V.SEVERITY_OF
 
 
 def test_similarity_equals_difflib(spark):
@@ -143,9 +191,39 @@ def test_links_and_overlap(spark):
     ranges = edits.link_ranges(F.col("t"), F.col("l"))
     got = one(spark, "t string, l array<string>, c string", row, ranges)
     assert [tuple(r) for r in got] == [(4, 8), (11, 15)]
-    df = spark.createDataFrame([row, (row[0], row[1], "vea aquí y aquí también")], "t string, l array<string>, c string")
-    df = df.withColumn("r", ranges).withColumn("o", edits.opcodes(F.col("t"), F.col("c")))
-    assert [r[0] for r in df.select(edits.touches_links(F.col("o"), F.col("r"))).collect()] == [True, False]
+    rows = [(row[0], row[1], [(4, 4)]), (row[0], row[1], [(0, 4), (8, 3), (15, 8)]), (row[0], row[1], [(0, 3), (14, 5)]), (row[0], [], [(0, 9)]), (row[0], row[1], [])]
+    ops = F.transform("o", lambda x: F.struct(x["a"].alias("offset"), x["n"].alias("length")))
+    got = values(spark, "t string, l array<string>, o array<struct<a:int,n:int>>", rows, v=edits.touches_links(ops, ranges))
+    assert [v for (v, ) in got] == [True, False, True, False, False]
+
+
+def test_long_arrays_take_little_more_than_linear_time(spark):
+    """100,000 matches, overlapping ones among them, and 10,000 links in one paragraph."""
+    n = 100000
+    df = spark.createDataFrame([("see 12.5 and " * n, )], "t string")
+    number, longer = protect.spans(F.col("t"), F.lit("[0-9]+(?:[.][0-9]+)+"), "number"), protect.spans(F.col("t"), F.lit("12.5 and see"), "longer")
+    started = time.time()
+    got = df.select(F.size(number).alias("n"), F.size(protect.resolve_overlaps(F.concat(number, longer))).alias("kept"), number[n - 1].alias("last")).first()
+    assert (got["n"], got["kept"], got["last"]["start"]) == (n, n, 13 * n - 9)
+    fixed = spark.createDataFrame([("ab!!" * n, )], "t string").select(F.length(edits.fix(F.col("t"))["text"])).first()[0]
+    assert fixed == 3 * n
+    links = spark.createDataFrame([("one two !! " * 10000, ["two"] * 10000)], "t string, l array<string>").select(
+        F.size(edits.link_ranges(F.col("t"), F.col("l"))), edits.touches_links(edits.found_edits(F.col("t")), edits.link_ranges(F.col("t"), F.col("l")))).first()
+    assert tuple(links) == (10000, False)
+    assert time.time() - started < 120
+
+
+def test_overlaps_against_a_plain_walk(spark):
+    draw = random.Random(8)
+    rows = [([(s, s + draw.randrange(1, 9)) for s in (draw.randrange(40) for _ in range(draw.randrange(25)))], ) for _ in range(60)]
+    regions = F.transform("r", lambda r: F.struct(r["s"].alias("start"), r["e"].alias("end"), F.lit("x").alias("reason"), F.lit("").alias("text")))
+    for (spans, ), (got, ) in zip(rows, values(spark, "r array<struct<s:int,e:int>>", rows, v=protect.resolve_overlaps(regions))):
+        last, want = -1, []
+        for s, e in sorted(spans, key=lambda r: (r[0], r[0] - r[1])):
+            if s >= last:
+                want.append((s, e))
+                last = e
+        assert [(g["start"], g["end"]) for g in got] == want
 
 
 # --- protected spans ---------------------------------------------------------------------------------------
@@ -186,15 +264,13 @@ def test_name_after_sentence_end_is_not_a_name(spark):
     assert one(spark, "t string", ("Fin. Juan Pérez vino", ), protect.detect_regions(F.col("t"))) == []
 
 
-def test_touched_and_reverted(spark):
+def test_touched_regions_and_their_lines(spark):
     original, changed = "Cita de doi: 10.1000/abc en el texto final", "Cita de doi: 10.2000/abd en el texto final"
     df = spark.createDataFrame([(original, changed)], "o string, c string").withColumn("r", protect.detect_regions(F.col("o")))
     row = df.select(
-        F.size(protect.touched_regions(F.col("o"), F.col("c"), F.col("r"))).alias("n"),
-        protect.revert_in_regions(F.col("o"), F.col("c"), F.col("r")).alias("v"),
-        protect.regions_text(F.col("r")).alias("lines"),
+        F.size(protect.touched_regions(F.col("o"), F.col("c"), F.col("r"))).alias("n"), protect.regions_text(F.col("r")).alias("lines"),
     ).first()
-    assert row["n"] == 1 and row["v"]["text"] == original and len(row["v"]["log"]) == 1
+    assert row["n"] == 1
     assert row["lines"].splitlines()[0] == V.REGIONS_HEAD and 'doi: 10.1000/abc" (pos 8-24): doi' in row["lines"]
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from redline.operators import analytics, corrector, match, ordered, review, structure, terms, triage
-from redline.functions import routing
+from redline.functions import protect, routing
 from redline.sources import files, presets
 from redline.sources import paragraphs as scan
 
@@ -370,3 +370,34 @@ def test_gates_are_monotone(spark, corpus):
     critical = F.exists("gates", lambda g: ~g["passed"] & g["critical"])
     assert rows.filter(critical & (F.col("review_status") != "gate_rejected")).count() == 0
     assert rows.filter(~critical & (F.col("review_status") == "gate_rejected")).count() == 0
+
+
+def test_no_protected_span_changes_in_the_chain(spark):
+    """Every span of the original stands unchanged in the final text; the word-level lists say what was undone."""
+    texts = [
+        "Vino ayer Teh Juan Pérez!! y visitó https://ejemplo.org/a!!b###c?x=1 !!fin###",
+        "El sesgo cognitivo of the adn (García, 2020) pesa***, dijo [1, 2] teh doi: 10.1234/adn!!x",
+        "antes *** de la casa el 12 de mayo de 1998!! y ISBN 978-84-376-0494-7$$$ to the end of the story teh",
+        "Tehran adn teh of the world wide web is long enough here!! " * 3,
+    ]
+    rows = [(i, "\n".join(["Heading of it", "— Cita!! teh", *texts]), "es", "src1") for i in range(1, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    prepared = triage.prepared(docs).drop("regions").withColumn("regions", protect.detect_regions(F.col("stripped"), F.col("protected_terms")))
+    got = triage.proposed(prepared).select("regions", "stripped", "final_text", "reverted", "ops", "changed").collect()
+    assert sum(len(r.reverted) for r in got) > 10 and sum(r.changed for r in got) > 30
+    for r in got:
+        at = 0
+        for span in sorted(r.regions, key=lambda x: x.start):
+            at = r.final_text.find(span.text, at)
+            assert at >= 0, (span, r.stripped, r.final_text)
+            at += len(span.text)
+        for undone in r.reverted:
+            assert undone.restored in r.stripped and undone.had != undone.restored
+
+
+def test_quotes_are_left_alone_and_titles_keep_their_rules_off(spark):
+    rows = [("Un texto !! .", "Quote"), ("Un texto !! .", "Heading 1"), ("Un texto !! .", None)]
+    df = spark.createDataFrame([(7, i, t, s, f"body:{i}") for i, (t, s) in enumerate(rows)], "doc_id long, paragraph_index int, text string, style_name string, location string")
+    df = df.withColumns({"is_in_table": F.lit(False), "protected_terms": F.array().cast("array<string>"), "disabled_rules": F.array().cast("array<string>")})
+    got = [r.pass0_text for r in triage.first_pass(triage.typed(df)).orderBy("paragraph_index").collect()]
+    assert got == ["Un texto !! .", "Un texto ! .", "Un texto !."]
