@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from redline import vocab as V
 from redline.functions import edits
 from redline.functions.text import ends_abruptly, strip
-from redline.operators.ordered import running
+from redline.operators.match import merge_patches
+from redline.operators.ordered import dense, running
 from redline.operators.structure import batch_seeds
 from redline.operators.triage import fence
+from redline.session import store
 
 # (text, previous corrected text or None) -> corrected text
 Corrector = Callable[[str, "str | None"], str]
@@ -94,29 +96,88 @@ def stock_corrector(text: str, previous: str | None) -> str:
 
 
 def boundary_check(batches: DataFrame, pass0: DataFrame, corrected: DataFrame) -> DataFrame:
-    """Batch heads whose approximate seed (rule-corrected text before) differs from the real one (last text of
-    the batch before). ``corrected`` has doc_id, paragraph_index, final_text."""
+    """Batch heads whose approximate seed (rule-corrected text before) differs from the real one: the last text of the
+    batch before, or of the last one before that holds any; empty where none does. ``corrected`` has doc_id,
+    paragraph_index, final_text."""
     usable = pass0.filter(F.length("stripped") >= 3).select("doc_id", "paragraph_index")
     placed = assign_batches(pass0.select("doc_id", "paragraph_index", "stripped"), batches)
     heads = placed.filter(F.length("stripped") >= 3).groupBy("doc_id", "batch_index").agg(
         F.min("paragraph_index").alias("head"), F.max("paragraph_index").alias("tail")
     )
+    heads = dense(heads, ["doc_id"], "batch_index", "place")
     texts = corrected.join(usable, ["doc_id", "paragraph_index"], "left_semi").select(
         "doc_id", F.col("paragraph_index").alias("tail"), F.left("final_text", F.lit(200)).alias("real_seed")
     )
-    real = heads.join(texts, ["doc_id", "tail"]).select("doc_id", (F.col("batch_index") + 1).alias("batch_index"), "real_seed")
+    real = heads.join(texts, ["doc_id", "tail"]).select("doc_id", (F.col("place") + 1).alias("place"), "real_seed")
     before = pass0.select(
         "doc_id", (F.col("paragraph_index") + 1).alias("head"), F.left("pass0_text", F.lit(200)).alias("approx_seed")
     )
+    seeds = [F.coalesce("real_seed", F.lit("")).alias("real_seed"), F.coalesce("approx_seed", F.lit("")).alias("approx_seed")]
     return (
-        heads.filter("batch_index > 0").join(real, ["doc_id", "batch_index"])
+        heads.filter("batch_index > 0").join(real, ["doc_id", "place"], "left")
         .join(before, ["doc_id", "head"], "left")
-        .select("doc_id", "batch_index", F.col("head").alias("paragraph_index"), "real_seed",
-                F.coalesce("approx_seed", F.lit("")).alias("approx_seed"),
-                (F.col("real_seed") != F.coalesce("approx_seed", F.lit(""))).alias("rerun"))
+        .select("doc_id", "batch_index", F.col("head").alias("paragraph_index"), *seeds)
+        .withColumn("rerun", F.col("real_seed") != F.col("approx_seed"))
     )
 
 
+SEED = 200
+HEAD = "doc_id long, place long, seed string, head_out string"
+
+
+def repaired_heads(corrected: DataFrame, pass0: DataFrame, corrector: Corrector) -> DataFrame:
+    """The first text of every batch, corrected after the text that really comes before it.
+
+    Batches run side by side, each from an approximate seed; ``corrected`` is what they made (see correct_batches). A head
+    whose seed isn't the last corrected text before it, be that several batches back when those between hold none, is
+    corrected again with it. That changes what the next batch should have seen only where the head is all there is of its
+    batch, so the flags are set again, for the heads after those, until none is left. Returns doc_id, batch_index, paragraph_index, original_text,
+    corrected_text of the heads that were corrected again.
+    """
+    ends = corrected.groupBy("doc_id", "batch_index").agg(
+        F.min("paragraph_index").alias("head"), F.max("paragraph_index").alias("tail"),
+        F.min_by(F.struct("context", "corrected_text", "original_text"), "paragraph_index").alias("_h"),
+        F.max_by("corrected_text", "paragraph_index").alias("tail_out"),
+    )
+    texts = pass0.select("doc_id", F.col("paragraph_index").alias("head"), "pass0_text")
+    state = dense(ends, ["doc_id"], "batch_index", "place").join(texts, ["doc_id", "head"]).select(
+        "doc_id", F.col("place").cast("long").alias("place"), "batch_index", "head", "tail", "pass0_text", F.col("_h.original_text").alias("original_text"),
+        F.coalesce("_h.context", F.lit("")).alias("seed"), F.col("_h.corrected_text").alias("head_out"), "tail_out", F.lit(False).alias("again"),
+    )
+    state = store(state, "batch-heads")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = [corrector(text, seed) for text, seed in zip(pdf["pass0_text"], pdf["real"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "place": pdf["place"], "seed": pdf["real"], "head_out": out})
+
+    while True:
+        before = state.select("doc_id", (F.col("place") + 1).alias("place"), F.left("tail_out", F.lit(SEED)).alias("real"))
+        wrong = state.join(before, ["doc_id", "place"]).filter("real <> seed")
+        if wrong.isEmpty():
+            break
+        new = wrong.select("doc_id", "place", "pass0_text", "real").mapInPandas(run, HEAD)
+        new = new.select("doc_id", "place", F.col("seed").alias("_seed"), F.col("head_out").alias("_out"))
+        done = F.col("_seed").isNotNull()
+        state = store(state.join(new, ["doc_id", "place"], "left").withColumns({
+            "tail_out": F.when(done & (F.col("head") == F.col("tail")), F.col("_out")).otherwise(F.col("tail_out")),
+            "head_out": F.when(done, F.col("_out")).otherwise(F.col("head_out")),
+            "seed": F.coalesce("_seed", "seed"), "again": done | F.col("again"),
+        }).drop("_seed", "_out"), "batch-heads")
+    return state.filter("again").select(
+        "doc_id", "batch_index", F.col("head").alias("paragraph_index"), "original_text", F.col("head_out").alias("corrected_text")
+    )
+
+
+def assembled_patches(corrected: DataFrame, again: DataFrame) -> DataFrame:
+    """The batches' patches with those of the repaired heads merged in, in document order and numbered in it."""
+    patch = F.when(F.col("corrected_text") != F.col("original_text"), F.col("corrected_text"))
+    base = corrected.withColumn("corrected_text", patch).filter("corrected_text is not null")
+    merged = merge_patches(base, again.withColumn("corrected_text", patch)).filter("action <> 'drop'")
+    rows = dense(merged, ["doc_id"], "paragraph_index", "patch_no")
+    return rows.select("doc_id", F.col("patch_no").cast("long").alias("patch_no"), "paragraph_index", "corrected_text", "action").orderBy("doc_id", "paragraph_index")
+
+
 def second_pass_merge(pass1: DataFrame, pass2: DataFrame) -> DataFrame:
     """Second-pass text over the first: override, make a patch where there was none, mark the source.
 

@@ -652,12 +652,12 @@ def batch_progress(c: Corpus) -> DataFrame:
     return analytics.batch_progress(c.batches.withColumn("status", done))
 
 
-@query("boundary_check", """SELECT h.doc_id, h.batch_index, h.head AS paragraph_index, p.real_seed, coalesce(left(a.pass0_text, 200), '') AS approx_seed,
-    p.real_seed <> coalesce(left(a.pass0_text, 200), '') AS rerun
-    FROM (SELECT b.doc_id, b.batch_index, min(u.paragraph_index) AS head FROM t_batches b JOIN t_proposals u ON u.doc_id = b.doc_id AND u.paragraph_index BETWEEN b.start_paragraph AND b.end_paragraph WHERE b.batch_index > 0 GROUP BY ALL) h
-    JOIN (SELECT b.doc_id, b.batch_index + 1 AS batch_index, arg_max(left(u.final_text, 200), u.paragraph_index) AS real_seed FROM t_batches b JOIN t_proposals u ON u.doc_id = b.doc_id AND u.paragraph_index BETWEEN b.start_paragraph AND b.end_paragraph GROUP BY ALL) p
-      ON p.doc_id = h.doc_id AND p.batch_index = h.batch_index
-    LEFT JOIN t_pass0 a ON a.doc_id = h.doc_id AND a.paragraph_index = h.head - 1""")
+@query("boundary_check", """SELECT h.doc_id, h.batch_index, h.head AS paragraph_index, coalesce(h.real_seed, '') AS real_seed, coalesce(left(a.pass0_text, 200), '') AS approx_seed,
+    coalesce(h.real_seed, '') <> coalesce(left(a.pass0_text, 200), '') AS rerun
+    FROM (SELECT *, lag(last_text) OVER (PARTITION BY doc_id ORDER BY batch_index) AS real_seed
+        FROM (SELECT b.doc_id, b.batch_index, min(u.paragraph_index) AS head, arg_max(left(u.final_text, 200), u.paragraph_index) AS last_text
+            FROM t_batches b JOIN t_proposals u ON u.doc_id = b.doc_id AND u.paragraph_index BETWEEN b.start_paragraph AND b.end_paragraph GROUP BY ALL)) h
+    LEFT JOIN t_pass0 a ON a.doc_id = h.doc_id AND a.paragraph_index = h.head - 1 WHERE h.batch_index > 0""")
 def boundary_check(c: Corpus) -> DataFrame:
     usable_before = _pass0_all(c)
     return corrector.boundary_check(c.batches, usable_before, c.proposals.select(*KEY, "final_text"))
@@ -958,6 +958,26 @@ def corrector_batches(c: Corpus) -> DataFrame:
     return corrector.correct_batches(_pass0_all(c), c.batches, corrector.stock_corrector)
 
 
+_lowered = "CASE WHEN coalesce({0}, '') <> '' AND pass0_text <> '' AND NOT contains(" + O.q(V.SENTENCE_CLOSERS) + ", right({0}, 1)) THEN lower(left(pass0_text, 1)) || substr(pass0_text, 2) ELSE pass0_text END"
+
+
+@query("assembled_patches", f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index) - 1 AS patch_no, paragraph_index, new AS corrected_text,
+    CASE WHEN old = new THEN 'keep' WHEN old = stripped THEN 'add' ELSE 'replace' END AS action
+    FROM (SELECT *, {_lowered.format('CASE WHEN rn = 1 THEN approx ELSE before END')} AS old, {_lowered.format('CASE WHEN rn = 1 THEN real ELSE before END')} AS new
+        FROM (SELECT p.doc_id, p.paragraph_index, p.stripped, p.pass0_text, row_number() OVER batch AS rn, lag(p.pass0_text) OVER batch AS before,
+            left(lag(p.pass0_text) OVER (PARTITION BY p.doc_id ORDER BY p.paragraph_index), 200) AS real,
+            CASE WHEN b.batch_index > 0 THEN (SELECT nullif(arg_max(left(z.pass0_text, 200), z.paragraph_index), '') FROM t_pass0 z WHERE z.doc_id = b.doc_id AND z.paragraph_index BETWEEN f.first_usable - 5 AND f.first_usable - 1) END AS approx
+            FROM t_pass0 p JOIN t_batches b ON b.doc_id = p.doc_id AND p.paragraph_index BETWEEN b.start_paragraph AND b.end_paragraph
+            JOIN (SELECT b.doc_id, b.batch_index, b.start_paragraph AS first_usable FROM t_batches b) f ON f.doc_id = b.doc_id AND f.batch_index = b.batch_index
+            WINDOW batch AS (PARTITION BY b.doc_id, b.batch_index ORDER BY p.paragraph_index)))
+    WHERE new <> stripped""")
+def assembled_patches(c: Corpus) -> DataFrame:
+    """Batches corrected side by side, their first texts corrected again after the real text before, and all patches in order."""
+    pass0 = _pass0_all(c)
+    corrected = store(corrector.correct_batches(pass0, c.batches, corrector.stock_corrector), "corrected")
+    return corrector.assembled_patches(corrected, corrector.repaired_heads(corrected, pass0, corrector.stock_corrector))
+
+
 # --- matching ------------------------------------------------------------------------------------------
 
 

@@ -401,3 +401,35 @@ def test_quotes_are_left_alone_and_titles_keep_their_rules_off(spark):
     df = df.withColumns({"is_in_table": F.lit(False), "protected_terms": F.array().cast("array<string>"), "disabled_rules": F.array().cast("array<string>")})
     got = [r.pass0_text for r in triage.first_pass(triage.typed(df)).orderBy("paragraph_index").collect()]
     assert got == ["Un texto !! .", "Un texto ! .", "Un texto !."]
+
+
+def test_batch_heads_are_repaired_to_a_fixed_point(spark):
+    """Batches without any usable text, with a single one, and runs of those; the corrector hands its own text on."""
+    texts = ["uno", "", "dos", "", "", "tres", "cuatro", "", "", "", "", "", "", "cinco", "seis", "x", "siete"]
+    cuts = [(0, 1), (2, 2), (3, 4), (5, 5), (6, 6), (7, 12), (13, 14), (15, 15), (16, 16)]
+    rows = [(doc, i, t, t) for doc in (1, 2) for i, t in enumerate(texts)]
+    pass0 = spark.createDataFrame(rows, "doc_id long, paragraph_index int, stripped string, pass0_text string")
+    batches = spark.createDataFrame([(doc, k, a, b) for doc in (1, 2) for k, (a, b) in enumerate(cuts)], "doc_id long, batch_index int, start_paragraph int, end_paragraph int")
+
+    def chained(t, before):
+        return f"{t}({before or ''})"[:60] if t != "seis" else t
+
+    corrected = corrector.correct_batches(pass0, batches, chained)
+    again = corrector.repaired_heads(corrected, pass0, chained)
+    got = corrector.assembled_patches(corrected, again).collect()
+    want, before = [], None
+    for k, (a, b) in enumerate(cuts):
+        for i in range(a, b + 1):
+            if len(texts[i]) >= 3:
+                head = all(len(texts[j]) < 3 for j in range(a, i))
+                # only heads are corrected again; texts after them keep what their batch made of them
+                made = {r.paragraph_index: r.corrected_text for r in corrected.filter("doc_id = 1").collect()} if not head else {}
+                before = chained(texts[i], before[:200] if before else before) if head else made[i]
+                if before != texts[i]:
+                    want.append((i, before))
+    for doc in (1, 2):
+        mine = [r for r in got if r.doc_id == doc]
+        assert [(r.paragraph_index, r.corrected_text) for r in mine] == want
+        assert [r.patch_no for r in mine] == list(range(len(want)))
+    assert {r.paragraph_index for r in again.filter("doc_id = 1").collect()} <= {2, 5, 6, 13, 16}
+    assert corrector.repaired_heads(corrected.filter("doc_id = 9"), pass0, chained).count() == 0
