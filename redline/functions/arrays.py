@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from redline.functions.text import let
 
-_POWERS = [1 << k for k in range(30)]
+#: 1, 2, 4 … as one constant: the distances that double.
+_POWERS = "array(" + ", ".join(str(1 << k) for k in range(30)) + ")"
 
 
 def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
@@ -18,7 +19,7 @@ def running(values: Column, combine: Callable[[Column, Column], Column]) -> Colu
 
     def passes(v: Column) -> Column:
         return F.aggregate(
-            F.filter(F.array(*[F.lit(p) for p in _POWERS]), lambda p: p < F.size(v)), v,
+            F.filter(F.expr(_POWERS), lambda p: p < F.size(v)), v,
             lambda acc, p: F.transform(acc, lambda x, i: F.when(i >= p, combine(F.get(acc, i - p), x)).otherwise(x)),
         )
 
@@ -54,7 +55,7 @@ def first_fitting(spans: Column) -> Column:
             far = F.transform(acc["jump"], lambda j: F.coalesce(F.get(acc["jump"], j), j))
             return F.struct(F.concat(acc["chain"], ahead).alias("chain"), far.alias("jump"))
 
-        steps = F.filter(F.array(*[F.lit(p) for p in _POWERS]), lambda p: p < F.size(v))
+        steps = F.filter(F.expr(_POWERS), lambda p: p < F.size(v))
         return F.sort_array(F.aggregate(steps, start, doubled, lambda acc: acc["chain"]))
 
     def fitting(v: Column) -> Column:

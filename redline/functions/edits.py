@@ -115,13 +115,22 @@ def moved(regions: Column, ops: Column) -> Column:
 
 def style_fix(text: Column, pairs: list[tuple[str, str]], regions: Column) -> Column:
     """The first pair that occurs in the text is applied, everywhere but in the regions (positions in this text)."""
-    rules = [("STYLE", V.STYLE_CATEGORY, wrong, right, "") for wrong, right in pairs]
-    out = None
-    for rule in rules:
-        test = F.contains(text, F.lit(rule[2]))
-        value = F.when(F.size(regions) == 0, F.replace(text, F.lit(rule[2]), F.lit(rule[3]))).otherwise(fix(text, [rule], None, regions)["text"])
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(text)
+    chosen = None
+    for wrong, right in pairs:
+        test, pair = F.contains(text, F.lit(wrong)), F.struct(F.lit(wrong).alias("wrong"), F.lit(quoted(wrong)).alias("pattern"), F.lit(right).alias("right"))
+        chosen = F.when(test, pair) if chosen is None else chosen.when(test, pair)
+
+    def joined(s: Column) -> Column:
+        value = lambda at, i: F.concat(F.get(s["pieces"], i), F.when(at < 0, s["right"]).otherwise(s["wrong"]))
+        return F.concat(F.array_join(F.transform(s["at"], value), ""), F.element_at(s["pieces"], -1))
+
+    def careful(p: Column) -> Column:
+        at = arrays.touching(spans(text, p["pattern"], "style"), regions)
+        return let(F.struct(at.alias("at"), F.split(text, p["pattern"], -1).alias("pieces"), p["wrong"].alias("wrong"), p["right"].alias("right")), joined)
+
+    return let(chosen, lambda p: F.when(p.isNull(), text).when(
+        F.size(regions) == 0, F.replace(text, p["wrong"], p["right"])
+    ).otherwise(careful(p)))
 
 
 def first_hit(text: Column, pairs: list[tuple[str, str]]) -> Column:

@@ -17,13 +17,13 @@ def no_regions() -> Column:
     return F.array().cast(REGIONS)
 
 
-def spans(text: Column, pattern: Column, reason: str) -> Column:
+def spans(text: Column, pattern: Column, reason: Column | str) -> Column:
     """All matches of one pattern with offsets: running sums over the lengths of the pieces between and the matches."""
 
     def placed(s: Column) -> Column:
         return F.transform(s["hits"], lambda hit, i: F.struct(
             (F.get(s["ends"], i) - F.length(hit)).alias("start"), F.get(s["ends"], i).alias("end"),
-            F.lit(reason).alias("reason"), hit.alias("text"),
+            (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), hit.alias("text"),
         ))
 
     def with_ends(cut: Column) -> Column:
@@ -34,24 +34,28 @@ def spans(text: Column, pattern: Column, reason: str) -> Column:
     return F.when(F.regexp_like(text, pattern), let(cut, with_ends)).otherwise(no_regions()).cast(REGIONS)
 
 
-def term_spans(text: Column, terms: Column, reason: str) -> Column:
-    """Literal terms, any case, without the white space around them."""
+def term_patterns(text: Column, terms: Column, reason: str) -> Column:
+    """array<struct<pattern,reason>> for the literal terms that occur, any case, without the white space around them."""
     present = F.filter(F.transform(terms, strip), lambda t: (t != "") & F.contains(F.lower(text), F.lower(t)))
 
     def quoted(term: Column) -> Column:
         return F.concat(F.lit(r"(?iu)\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
-    return F.flatten(F.transform(present, lambda t: spans(text, quoted(t), reason)))
+    return F.transform(present, lambda t: F.struct(quoted(t).alias("pattern"), F.lit(reason).alias("reason")))
 
 
 def all_spans(text: Column, profile_terms: Column | None = None, glossary: Column | None = None, names: bool = True) -> Column:
+    """Matches of every pattern and term. Most paragraphs hold few of them, so those that occur are listed first, and only
+    they are cut out."""
     patterns = V.REGION_PATTERNS + ([("proper_name", V.PROPER_NAME)] if names else [])
-    parts = [spans(text, F.lit(p), reason) for reason, p in patterns]
+    parts = [F.array_compact(F.array(*[
+        F.when(text.rlike(p), F.struct(F.lit(p).alias("pattern"), F.lit(reason).alias("reason"))) for reason, p in patterns
+    ]))]
     if profile_terms is not None:
-        parts.append(term_spans(text, profile_terms, "profile_term"))
+        parts.append(term_patterns(text, profile_terms, "profile_term"))
     if glossary is not None:
-        parts.append(term_spans(text, glossary, "glossary_term"))
-    return F.concat(*parts)
+        parts.append(term_patterns(text, glossary, "glossary_term"))
+    return F.flatten(F.transform(F.concat(*parts), lambda p: spans(text, p["pattern"], p["reason"])))
 
 
 def resolve_overlaps(regions: Column) -> Column:

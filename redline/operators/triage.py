@@ -5,6 +5,8 @@ The whole chain is column expressions over the paragraph scan: nothing is shuffl
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,21 +61,32 @@ def first_pass(paragraphs: DataFrame) -> DataFrame:
     """Rule-corrected text with its log. The engine decision says whether the rules may touch this type and which of them
     are off; edits inside protected spans are undone. ``regions`` are the spans of the original, looked for only where
     something can change, and ``pass0_regions`` the same ones where they stand in the corrected text."""
+    c = chain_columns(paragraphs.sparkSession.sparkContext.applicationId)
+    rows = fence(paragraphs.withColumns({"_engine": c["engine"], "regions": c["regions"]}), ["_engine", "regions"])
+    rows = fence(rows.withColumn("_fix", c["fix"]), ["_fix"])
+    rows = rows.withColumns({
+        "pass0_text": F.col("_fix.text"), "ops": F.col("_fix.ops"), "reverted": F.col("_fix.reverted"), "applied": c["applied"],
+    })
+    return rows.withColumn("pass0_regions", c["moved"]).drop("_fix", "_engine")
+
+
+@cache
+def chain_columns(application: str) -> dict[str, Column]:
+    """The long expressions of the chain over its own column names. They are put together once for each application, as
+    that takes thousands of calls into the JVM."""
     text = F.col("stripped")
     change = text.rlike("|".join([edits.any_of(V.EDIT_RULES), *[edits.quoted(wrong) for wrong, _ in STYLE]]))
-    engine = routing.engines(F.col("paragraph_type"), F.col("disabled_rules"))
-    rows = paragraphs.withColumn("_engine", engine).withColumn(
-        "regions", F.when(change, protect.detect_regions(text, F.col("protected_terms"))).otherwise(protect.no_regions())
-    )
-    rows = fence(rows, ["_engine", "regions"])
     fixed = edits.fix(text, V.EDIT_RULES, F.col("_engine.disabled_rules"), F.col("regions"))
     untouched = F.struct(text.alias("text"), F.array().alias("ops"), F.array().alias("reverted")).cast(edits.FIXED)
-    rows = fence(rows.withColumn("_fix", F.when(F.col("_engine.apply_rules"), fixed).otherwise(untouched)), ["_fix"])
-    kept = F.when(F.size("_fix.reverted") == 0, F.col("_fix.ops")).otherwise(edits.applied(F.col("_fix.ops"), F.col("regions")))
-    rows = rows.withColumns({
-        "pass0_text": F.col("_fix.text"), "ops": F.col("_fix.ops"), "reverted": F.col("_fix.reverted"), "applied": kept,
-    })
-    return rows.withColumn("pass0_regions", edits.moved(F.col("regions"), F.col("applied"))).drop("_fix", "_engine")
+    ops = F.col("_fix.ops")
+    return {
+        "engine": routing.engines(F.col("paragraph_type"), F.col("disabled_rules")),
+        "regions": F.when(change, protect.detect_regions(text, F.col("protected_terms"))).otherwise(protect.no_regions()),
+        "fix": F.when(F.col("_engine.apply_rules"), fixed).otherwise(untouched),
+        "applied": F.when(F.size("_fix.reverted") == 0, ops).otherwise(edits.applied(ops, F.col("regions"))),
+        "moved": edits.moved(F.col("regions"), F.col("applied")),
+        "styled": edits.style_fix(F.col("pass0_text"), STYLE, F.col("pass0_regions")),
+    }
 
 
 def stressed(text: Column) -> Column:
@@ -110,8 +123,10 @@ def prepared(documents: DataFrame) -> DataFrame:
 def proposed(rows: DataFrame, metric: str = "jaccard", rounded: bool = True, stress: bool = False) -> DataFrame:
     """Style step outside protected spans, gates and disposition. Keeps every row; ``changed`` marks those that became
     patches. A Python metric gets nulls for rows that no gate looks at."""
-    styled = edits.style_fix(F.col("pass0_text"), STYLE, F.col("pass0_regions"))
-    rows = rows.withColumn("candidate", F.when(F.col("route") == "skip", F.col("pass0_text")).otherwise(stressed(styled) if stress else styled))
+    styled = chain_columns(rows.sparkSession.sparkContext.applicationId)["styled"]
+    rows = fence(rows.withColumn("candidate", F.when(F.col("route") == "skip", F.col("pass0_text")).otherwise(styled)), ["candidate"])
+    if stress:
+        rows = fence(rows.withColumn("candidate", F.when(F.col("route") == "skip", F.col("candidate")).otherwise(stressed(F.col("candidate")))), ["candidate"])
     gated = (F.col("route") != "skip") & (F.col("candidate") != F.col("stripped"))
     digits = 4 if rounded else None
     ratio = gates.rewrite_ratio(F.when(gated, F.col("stripped")), F.when(gated, F.col("candidate")), metric, digits)
