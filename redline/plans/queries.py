@@ -929,11 +929,12 @@ def cascade_delete(c: Corpus) -> DataFrame:
 
 @query("merge_patches", """SELECT coalesce(p.doc_id, n.doc_id) AS doc_id, coalesce(p.paragraph_index, n.paragraph_index) AS paragraph_index, CASE WHEN n.doc_id IS NULL THEN p.corrected_text ELSE n.new END AS corrected_text,
     CASE WHEN n.doc_id IS NULL THEN 'keep' WHEN n.new IS NULL THEN 'drop' WHEN p.doc_id IS NULL THEN 'add' WHEN n.new <> p.corrected_text THEN 'replace' ELSE 'keep' END AS action
-    FROM t_changes p FULL JOIN (SELECT doc_id, paragraph_index, CASE WHEN doc_id % 2 = 0 THEN stripped || '!' END AS new FROM t_proposals WHERE paragraph_index = 0) n
+    FROM t_changes p FULL JOIN (SELECT doc_id, paragraph_index, CASE WHEN doc_id % 2 = 0 THEN stripped || '!' END AS new FROM t_proposals JOIN (SELECT doc_id, start_paragraph AS paragraph_index FROM t_batches) USING (doc_id, paragraph_index)) n
       ON n.doc_id = p.doc_id AND n.paragraph_index = p.paragraph_index WHERE NOT (p.doc_id IS NULL AND n.new IS NULL)""")
 def merge_patches(c: Corpus) -> DataFrame:
     c.keep_proposals()
-    again = c.proposals.filter("paragraph_index = 0").select(*KEY, F.when(F.col("doc_id") % 2 == 0, F.concat("stripped", F.lit("!"))).alias("corrected_text"))
+    heads = c.batches.select("doc_id", F.col("start_paragraph").alias("paragraph_index"))
+    again = c.proposals.join(heads, KEY).select(*KEY, F.when(F.col("doc_id") % 2 == 0, F.concat("stripped", F.lit("!"))).alias("corrected_text"))
     return match.merge_patches(c.patches.filter("position = 0"), again)
 
 
