@@ -50,7 +50,7 @@ STAGES = [
     ("source_mixing", mixed_to_targets),
     ("token_output", token_files),
 ]
-ORACLE_SQL = None  # trained models, tokenizer: SQL can't express them; tests hold run() against a brute-force version
+ORACLE_SQL = None  # trained models, tokenizer: SQL can't express them; tests check each stage's rows by plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
