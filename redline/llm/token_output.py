@@ -221,15 +221,15 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
+        if len(self.after_blank) + len(self.after_line) > self.pieces_kept:
+            self.after_blank.clear()
+            self.after_line.clear()
         cut = [[line.split(" ") for line in text.split("\n")] if self.regular(text) else None for text in texts]
         blank, line_start = set(), set()
         for lines in cut:
             for words in lines or ():
                 line_start.add(words[0])
                 blank.update(words[1:])
-        if len(self.after_blank) + len(self.after_line) > self.pieces_kept:  # keep what these texts use
-            self.after_blank = {p: self.after_blank[p] for p in blank if p in self.after_blank}
-            self.after_line = {p: self.after_line[p] for p in line_start if p in self.after_line}
         self.learn_words(self.after_blank, blank.difference(self.after_blank), " ")
         self.learn_words(self.after_line, line_start.difference(self.after_line), "")
         feed, out = np.array([self.line], "<u4").tobytes(), []
