@@ -96,7 +96,7 @@ def stock_corrector(text: str, previous: str | None) -> str:
 
 
 def boundary_check(batches: DataFrame, pass0: DataFrame, corrected: DataFrame) -> DataFrame:
-    """Batch heads whose approximate seed (rule-corrected text before) differs from the real one: the last text of the
+    """Batch heads whose approximate seed (rule-corrected text before, if usable) differs from the real one: the last text of the
     batch before, or of the last one before that holds any; empty where none does. ``corrected`` has doc_id,
     paragraph_index, final_text."""
     usable = pass0.filter(F.length("stripped") >= 3).select("doc_id", "paragraph_index")
@@ -109,7 +109,7 @@ def boundary_check(batches: DataFrame, pass0: DataFrame, corrected: DataFrame) -
         "doc_id", F.col("paragraph_index").alias("tail"), F.left("final_text", F.lit(200)).alias("real_seed")
     )
     real = heads.join(texts, ["doc_id", "tail"]).select("doc_id", (F.col("place") + 1).alias("place"), "real_seed")
-    before = pass0.select(
+    before = pass0.filter(F.length("stripped") >= 3).select(
         "doc_id", (F.col("paragraph_index") + 1).alias("head"), F.left("pass0_text", F.lit(200)).alias("approx_seed")
     )
     seeds = [F.coalesce("real_seed", F.lit("")).alias("real_seed"), F.coalesce("approx_seed", F.lit("")).alias("approx_seed")]
