@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -119,13 +119,61 @@ def stall_alerts(events: DataFrame, gap_seconds: float = V.STALL_SECONDS, late:
     return out.select("user_id", F.timestamp_millis("at").alias("stalled_at"))
 
 
-def request_rate(requests: DataFrame, limit: int = 20, late: str = "10 minutes") -> DataFrame:
-    """Documents over the hourly limit, on hours that slide by five minutes."""
-    return (
-        requests.withWatermark("ts", late).groupBy("doc_id", F.window("ts", "1 hour", "5 minutes").alias("w"))
-        .agg(F.count("*").alias("requests")).filter(F.col("requests") > limit)
-        .select("doc_id", F.col("w.start").alias("from_ts"), F.col("w.end").alias("to_ts"), "requests")
+HOUR, SLIDE = 3600, 300
+RATES = "doc_id long, from_ts timestamp, to_ts timestamp, requests long"
+
+
+def request_rate(requests: DataFrame, folder: str, limit: int = 20, late: int = 600) -> DataFrame:
+    """Documents over the hourly limit, on hours that slide by five minutes. Needs doc_id, ts.
+
+    What is kept between micro-batches are requests per document and five minutes, not a count for each of the twelve
+    hours that a request falls in; hours are added up only around five minutes where the limit can be passed. An hour is
+    reported once, when the watermark (``late`` seconds behind the newest request) passes its end. A batch that is replayed
+    writes the same counts and hours again.
+    """
+    spark = requests.sparkSession
+
+    def watermark(newest: int) -> float:
+        return newest / 1_000_000 - late
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.filter("ts is not null").groupBy("doc_id", F.floor(F.unix_seconds("ts") / SLIDE).alias("slot")).agg(
+            F.count("*").alias("requests"), F.max(F.unix_micros("ts")).alias("newest")
+        )
+        reported = float("-inf")
+        if batch_id > 0:
+            before = spark.read.parquet(f"{folder}/counts/v{batch_id - 1}")
+            seen = before.agg(F.max("newest")).first()[0]
+            if seen is not None:
+                reported = watermark(seen)
+                before = before.filter(F.col("slot") * SLIDE + HOUR > reported)
+            rows = before.unionByName(rows).groupBy("doc_id", "slot").agg(
+                F.sum("requests").alias("requests"), F.max("newest").alias("newest")
+            )
+        rows.write.mode("overwrite").parquet(f"{folder}/counts/v{batch_id}")
+        counts = spark.read.parquet(f"{folder}/counts/v{batch_id}")
+        seen = counts.agg(F.max("newest")).first()[0]
+        reach = HOUR // SLIDE - 1
+        around = F.sum("requests").over(Window.partitionBy("doc_id").orderBy("slot").rangeBetween(-reach, reach))
+        hours = (
+            counts.withColumn("_near", around).filter(F.col("_near") > limit)
+            .select("doc_id", "requests", F.explode(F.sequence(F.col("slot") - reach, F.col("slot"))).alias("slot"))
+            .filter((F.col("slot") * SLIDE + HOUR > reported) & (F.col("slot") * SLIDE + HOUR <= (reported if seen is None else watermark(seen))))
+            .groupBy("doc_id", "slot").agg(F.sum("requests").alias("requests")).filter(F.col("requests") > limit)
+        )
+        hours.select(
+            "doc_id", F.timestamp_seconds(F.col("slot") * SLIDE).alias("from_ts"),
+            F.timestamp_seconds(F.col("slot") * SLIDE + HOUR).alias("to_ts"), "requests",
+        ).write.mode("overwrite").parquet(f"{folder}/data/v{batch_id}")
+
+    query = (
+        requests.select("doc_id", "ts").writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True).start()
     )
+    query.awaitTermination()
+    if not query.lastProgress:
+        return spark.createDataFrame([], RATES)
+    return spark.read.schema(RATES).option("recursiveFileLookup", True).parquet(f"{folder}/data")
 
 
 def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
