@@ -164,11 +164,11 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = X.BLOCK_B
 
     def ask_pairs(key, table):
         t = BlockTokens(table)
-        return X.questions(key[0].as_py(), t.pairs, shards, 5, np.bincount(t.pair[t.learnt], minlength=len(t.pairs)).astype("<u4"))
+        return X.questions(key[0].as_py(), t.pairs, shards, 5, np.bincount(t.pair[t.learnt], minlength=len(t.pairs))[None, :])
 
     def count_pairs(key, table):
-        asked, shard = X.Asked(table, "<u4"), key[0].as_py()
-        extra = asked.extra[asked.order]
+        asked, shard = X.Asked(table, 1), key[0].as_py()
+        extra = asked.extra[0, asked.order].astype("<u4")
         count = np.add.reduceat(extra, asked.first, dtype=np.int64) if len(extra) else np.zeros(0, np.int64)
         model = MappedCounts(asked.values[asked.order][asked.first], 2 * count[None, :])
         items = np.zeros((1, len(asked.values)), np.uint64)
