@@ -11,7 +11,7 @@ from redline.session import store
 
 #: Near-duplicates: word shingles of this length, sharing this percentage of their union or more.
 SHINGLE, PERCENT = 5, 80
-#: Pieces that a token encoder keeps: workers share an executor with what four stages have left there.
+#: Pieces that a token encoder keeps, for its task only: workers share an executor with what four stages have left there.
 PIECES_KEPT = 1 << 18
 
 
@@ -40,7 +40,7 @@ def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the shared folder; what comes back are the documents as read from them."""
-    return token_output.read_documents(store(token_output.encode_documents(docs, tokenizer_path(), pieces_kept=PIECES_KEPT), "token-segments"))
+    return token_output.read_documents(store(token_output.encode_documents(docs, tokenizer_path(), pieces_kept=PIECES_KEPT, keep_encoder=False), "token-segments"))
 
 
 STAGES = [

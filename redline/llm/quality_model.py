@@ -18,7 +18,6 @@ there are none). Repeated documents are scored each for itself. Columns other th
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,13 +135,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, label:
     in one task; only the weights come to the driver."""
     sample = labelled_sample(labels, label, F.lit(True) if usable is None else usable, max_rows)
 
-    def train(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id")
-        w, intercept = fit_sample([(np.asarray(p), np.asarray(v), int(y)) for p, v, y in zip(rows.places, rows.marks, rows.y)], bits, epochs)
+    def train(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("doc_id")
+        w, intercept = fit_sample([(np.asarray(p.values), np.asarray(v.values), y) for p, v, y in zip(rows.column("places"), rows.column("marks"), rows.column("y").to_pylist())], bits, epochs)
         at = np.flatnonzero(w)
-        return pd.DataFrame({"place": np.append(at, -1).astype("int32"), "weight": np.append(w[at], intercept)})
+        return pa.table({"place": pa.array(np.append(at, -1).astype("int32")), "weight": pa.array(np.append(w[at], intercept).astype("float64"))})
 
-    trained = sample_features(docs, sample, bits, max_n).groupBy().applyInPandas(train, MODEL_FIELDS).toPandas()
+    trained = sample_features(docs, sample, bits, max_n).groupBy().applyInArrow(train, MODEL_FIELDS).toPandas()
     w = np.zeros(1 << bits, np.float32)
     inner = trained[trained.place >= 0]
     w[inner.place.to_numpy()] = inner.weight.to_numpy()

@@ -173,12 +173,12 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     @classmethod
-    def of_worker(cls, path: str, pieces_kept: int) -> "PieceEncoder":
+    def of_worker(cls, path: str, pieces_kept: int, keep: bool = True) -> "PieceEncoder":
         """One encoder for all tasks of a worker process: what it has learnt holds for any text. Fewer pieces kept take less
         memory and more time; results are the same."""
         import tokenizers
 
-        kept = tokenizers.__dict__.setdefault("_piece_encoders", {})
+        kept = tokenizers.__dict__.setdefault("_piece_encoders", {}) if keep else {}
         if path not in kept:
             kept[path] = cls(path)
         kept[path].pieces_kept = pieces_kept
@@ -241,16 +241,17 @@ class PieceEncoder:
         return out
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, parts: int | None = None, pieces_kept: int = PIECES_KEPT) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, parts: int | None = None, pieces_kept: int = PIECES_KEPT, keep_encoder: bool = True) -> DataFrame:
     """Segments of all documents in ascending doc_id order. The text is shuffled once, by ranges of (doc_id, hash of the
-    text), so equal ids don't pile up; a task holds one segment at a time."""
+    text), so equal ids don't pile up; a task holds one segment at a time. With keep_encoder off, what an encoder has learnt goes with
+    its task, for jobs whose workers go on to other work."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = some.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches):
-        encoder, part, segment = PieceEncoder.of_worker(tokenizer_path, pieces_kept), TaskContext.get().partitionId(), 0
+        encoder, part, segment = PieceEncoder.of_worker(tokenizer_path, pieces_kept, keep_encoder), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         ids, texts, size = [], [], 0
 
