@@ -12,7 +12,16 @@ from redline.session import store
 #: Near-duplicates: word shingles of this length, sharing this percentage of their union or more.
 SHINGLE, PERCENT = 5, 80
 #: Pieces that a token encoder keeps, for its task only: workers share an executor with what four stages have left there.
-PIECES_KEPT = 1 << 18
+PIECES_KEPT = 1 << 16
+#: Documents that go to a Python worker at a time: both sides of the pipe hold a batch, the usual one 10,000 whole texts.
+ROWS_A_BATCH = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on: no batch of more rows than ROWS_A_BATCH."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(rows, ROWS_A_BATCH) if rows > 0 else ROWS_A_BATCH))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +49,7 @@ def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the shared folder; what comes back are the documents as read from them."""
+    small_batches(spark)
     return token_output.read_documents(store(token_output.encode_documents(docs, tokenizer_path(), pieces_kept=PIECES_KEPT, keep_encoder=False), "token-segments"))
 
 
