@@ -14,8 +14,8 @@ the last word of a block may be part-filled with zeros. Selector 15 is the escap
 needs over 60 bits. Blocks are coded independently, so any block can be decoded alone, and all blocks at once.
 
 Texts are encoded with a public tokenizer file of the tokenizers library. Its pre-tokenizer never joins text across
-the start of a single blank between two visible characters, or of a line feed there, so a text's ids are those of its
-pieces in order: each distinct piece is encoded once per worker and kept in a bounded table. A text with any other white
+the start of a single blank between two visible characters, or of a line feed there, or of a mark after a letter, so a
+text's ids are those of its pieces in order: each distinct piece is encoded once per worker and kept in a bounded table. A text with any other white
 space, or with an added token of the tokenizer, is encoded whole.
 
 Defined results: a null or empty text gives the end id only. Null doc_ids come first, as Spark sorts them; repeated
@@ -24,16 +24,22 @@ doc_ids are documents of their own, in order of text hash. An empty table gives
 
 from __future__ import annotations
 
+import json
 import string
 import zlib
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from redline.llm.words import text_chunks
+
 BLOCK_IDS = 128
 SEGMENT_IDS = 1 << 18
 PIECES_KEPT = 1 << 20
@@ -153,21 +159,73 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK_ID
 ODD_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 
 MARKS = string.punctuation
+#: Letters in every version of Unicode: of ASCII, Latin and Cyrillic, the two-byte ones those that begin with IS_LEAD.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u027f\u0400-\u047f"
+
+
+def _bytes(values) -> np.ndarray:
+    """True for these bytes, by byte."""
+    is_in = np.zeros(256, bool)
+    is_in[list(values)] = True
+    return is_in
+
+
+IS_GAP, IS_MARK, IS_LETTER = _bytes(b" \n"), _bytes(MARKS.encode()), _bytes(string.ascii_letters.encode())
+IS_LEAD = _bytes([*range(0xC3, 0xCA), 0xD0, 0xD1])
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces of regular texts start: at a text's start, at a blank or line feed, which goes with what follows, and
+    at a mark after a letter, where the pre-tokenizer always parts them."""
+    cut = IS_GAP[data]
+    mark = np.flatnonzero(IS_MARK[data])
+    mark = mark[mark > 0]
+    last, lead = data[mark - 1], data[np.maximum(mark, 2) - 2]
+    sign = (lead == 0xC3) & ((last == 0x97) | (last == 0xB7))
+    cut[mark[IS_LETTER[last] | (IS_LEAD[lead] & (last >> 6 == 2) & ~sign)]] = True
+    cut[offsets[:-1]] = True
+    return np.flatnonzero(cut)
+
+
+def _with(store: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """The store with more after its used part; it doubles when it is full."""
+    if used + len(more) > len(store):
+        store = np.concatenate([store[:used], np.empty(used + 2 * len(more), store.dtype)])
+    store[used : used + len(more)] = more
+    return store
 
 
 class PieceEncoder:
     """Whole texts to ids, as little-endian u32 bytes, with each distinct piece encoded once."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.after_blank: dict[str, bytes] = {}
-        self.after_line: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
         self.pieces_kept = PIECES_KEPT
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.irregular = rf"\A(?:[ \n]|\z)|[ \n]\z|[ \n][ \n]|[{ODD_SPACE}]"
+        # the library's model alone, for a blank and letters: the pre-tokenizer leaves them whole, each byte as a character
+        self.model = None
+        steps = self.tokenizer.pre_tokenizer and json.loads(self.tokenizer.pre_tokenizer.__getstate__())
+        if self.tokenizer.normalizer is None and steps and (steps["type"], steps.get("add_prefix_space"), steps.get("use_regex")) == ("ByteLevel", False, True):
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        vocabulary = self.tokenizer.get_vocab()
+        self.has_blank = np.zeros(max(vocabulary.values()) + 1, bool)
+        as_is = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.character = np.zeros(256, "<u2")
+        self.character[as_is] = as_is
+        self.character[self.character == 0] = 256 + np.arange(256 - len(as_is))
+        self.has_blank[[i for token, i in vocabulary.items() if token[:1] == chr(self.character[ord(" ")])]] = True
+        self.character[0] = ord(" ")  # what parts the pieces
+        self.forget()
+
+    def forget(self) -> None:
+        """No piece is known: its row, and by row the place and number of its ids in the store."""
+        self.row: dict[bytes, int] = {}
+        self.place, self.size, self.store, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4"), 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -184,61 +242,90 @@ class PieceEncoder:
         kept[path].pieces_kept = pieces_kept
         return kept[path]
 
-    def regular(self, text: str) -> bool:
+    def regular(self, texts: pa.Array) -> pa.Array:
         """Only single blanks and line feeds, each between two visible characters, and no added token, which is one id
         wherever it stands."""
-        if not text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
-            return False
-        if any(token in text for token in self.added):
-            return False
-        odd = ODD_SPACE[:8] if text.isascii() else ODD_SPACE
-        return not any(c in text for c in odd)
-
-    def learn_words(self, table: dict[str, bytes], missing: set[str], lead: str) -> None:
-        """As learn; letters followed by marks are coded as two pieces, for the pre-tokenizer parts them there."""
-        marked, plain = [], set()
-        for p in missing:
-            word = p.rstrip(MARKS)
-            if word is not p and len(word) < len(p) and word.isalpha():
-                marked.append((p, word, p[len(word) :]))
-                plain.add(word)
-            else:
-                plain.add(p)
-        self.learn(table, plain.difference(table), lead)
-        self.learn(self.marks, {m for _, _, m in marked}.difference(self.marks), "")
-        for p, word, mark in marked:
-            table[p] = table[word] + self.marks[mark]
-
-    def learn(self, table: dict[str, bytes], missing: set[str], lead: str) -> None:
-        """Encode pieces many at a time: joined by line feeds, which always are one id of their own."""
-        pieces = sorted(missing)
-        for i in range(0, len(pieces), 4096):
-            some = pieces[i : i + 4096]
-            (coded,) = self.tokenizer.encode_batch_fast(["\n".join([lead + p for p in some])], add_special_tokens=False)
-            ids = np.array(coded.ids, "<u4")
-            cut, raw = np.flatnonzero(ids == self.line) * 4, ids.tobytes()
-            table.update(zip(some, [raw[a:b] for a, b in zip([0] + (cut + 4).tolist(), cut.tolist() + [len(raw)])]))
+        odd = pc.match_substring_regex(texts, self.irregular)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        return pc.invert(odd)
+
+    def learn(self, pieces: pa.Array, names: list[bytes]) -> np.ndarray:
+        """Encode new pieces many at a time. Those of a blank and letters go to the model, the first id of each is the one with
+        the blank; others are joined by line feeds, which always are one id of their own, and a piece's own is the one before
+        it. Returns their rows."""
+        rows = np.empty(len(names), np.int64)
+        words = pc.match_substring_regex(pieces, rf"\A [{LETTERS}]+\z").to_numpy(zero_copy_only=False) & (self.model is not None)
+        for are_words in (True, False):
+            places = np.flatnonzero(words == are_words)
+            for i in range(0, len(places), 4096):
+                at = places[i : i + 4096]
+                some = [names[k] for k in at.tolist()]
+                if are_words:
+                    joined = self.character[np.frombuffer(b"\0".join(some), np.uint8)].tobytes().decode("utf-16-le")
+                    (coded,) = self.model.encode_batch_fast([joined], add_special_tokens=False)
+                    ids = np.array(coded.ids, "<u4")
+                    first = np.flatnonzero(self.has_blank[ids])
+                    ends = np.append(first[1:], len(ids))
+                else:
+                    joined = b"".join([p if p[0] == 10 else b"\n" + p for p in some]).decode()
+                    (coded,) = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)
+                    ids = np.array(coded.ids, "<u4")
+                    first = np.flatnonzero(ids == self.line)
+                    ends = np.append(first[1:], len(ids))
+                    first += [p[0] != 10 for p in some]
+                n = len(self.row)
+                self.place, self.size = _with(self.place, n, self.used + first), _with(self.size, n, ends - first)
+                self.store = _with(self.store, self.used, ids)
+                self.used += len(ids)
+                rows[at] = np.arange(n, n + len(some))
+                self.row.update(zip(some, range(n, n + len(some))))
+        return rows
+
+    def encode_regular(self, texts: pa.Array) -> tuple[bytes, list[int]]:
+        """Ids of all these texts, and the byte at which each text's ids start, with the number of bytes last."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        starts = piece_starts(data, offsets)
+        bounds = np.append(starts, len(data)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        distinct, which = pieces.dictionary, pieces.indices.to_numpy()
+        raw, cut = distinct.buffers()[2].to_pybytes(), np.frombuffer(distinct.buffers()[1], np.int32, len(distinct) + 1).tolist()
+        names = [raw[a:b] for a, b in zip(cut, cut[1:])]
+        rows = np.fromiter(map(self.row.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(rows < 0)
+        if self.row and len(self.row) + len(new) > self.pieces_kept:
+            self.forget()
+            new = np.arange(len(names))
+        if len(new):
+            rows[new] = self.learn(distinct.take(pa.array(new)), [names[k] for k in new.tolist()])
+        size = self.size[rows][which]
+        ends = np.cumsum(size)
+        ids = np.repeat(self.place[rows][which] - ends + size, size)
+        ids += np.arange(len(ids))
+        at = np.append(ends - size, ends[-1])[np.searchsorted(bounds, offsets)]
+        return self.store[ids].tobytes(), (at * 4).tolist()
+
+    def coded(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text, worked out for many texts at a time; null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        for first, end, _, _ in text_chunks(texts):
+            some = texts.slice(first, end - first)
+            regular = self.regular(some)
+            raw, at = self.encode_regular(some.filter(regular)) if pc.any(regular).as_py() else (b"", [])
+            k = 0
+            for i, is_regular in enumerate(regular.to_pylist()):
+                if is_regular:
+                    yield raw[at[k] : at[k + 1]]
+                    k += 1
+                else:
+                    text = some[i].as_py()
+                    yield self.whole(text) if text else b""
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        if len(self.after_blank) + len(self.after_line) > self.pieces_kept:
-            self.after_blank.clear()
-            self.after_line.clear()
-        cut = [[line.split(" ") for line in text.split("\n")] if self.regular(text) else None for text in texts]
-        blank, line_start = set(), set()
-        for lines in cut:
-            for words in lines or ():
-                line_start.add(words[0])
-                blank.update(words[1:])
-        self.learn_words(self.after_blank, blank.difference(self.after_blank), " ")
-        self.learn_words(self.after_line, line_start.difference(self.after_line), "")
-        feed, out = np.array([self.line], "<u4").tobytes(), []
-        for text, lines in zip(texts, cut):
-            if lines is None:
-                out.append(self.whole(text) if text else b"")
-            else:
-                out.append(feed.join([self.after_line[w[0]] + b"".join(map(self.after_blank.__getitem__, w[1:])) for w in lines]))
-        return out
+        return list(self.coded(pa.array(texts, pa.string())))
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, parts: int | None = None, pieces_kept: int = PIECES_KEPT, keep_encoder: bool = True) -> DataFrame:
@@ -263,16 +350,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, part
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "segment", "n_ids", "doc_ids", "lengths", "offsets", "words"])
 
         for batch in batches:
-            row_ids = batch.column(0).to_pylist()
-            for i in range(0, len(row_ids), 256):
-                coded = encoder.encode([x or "" for x in batch.column(1).slice(i, 256).to_pylist()])
-                for doc, code in zip(row_ids[i : i + 256], coded):
-                    ids.append(doc)
-                    texts.append(code + end)
-                    size += len(code) // 4 + 1
-                    if size >= SEGMENT_IDS:
-                        yield close(ids, texts)
-                        ids, texts, size, segment = [], [], 0, segment + 1
+            for doc, code in zip(batch.column(0).to_pylist(), encoder.coded(batch.column(1))):
+                ids.append(doc)
+                texts.append(code + end)
+                size += len(code) // 4 + 1
+                if size >= SEGMENT_IDS:
+                    yield close(ids, texts)
+                    ids, texts, size, segment = [], [], 0, segment + 1
         if ids:
             yield close(ids, texts)
 
